@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from checks import summaries  # noqa: F401
+from checks import quality, retrieval, summaries  # noqa: F401
 from checks.registry import ORACLE, QUERIES  # noqa: F401
