@@ -118,7 +118,7 @@ def inventory_daily(completeness: DataFrame, obs: DataFrame, year: int, month: i
     )
     known = data.groupBy(*SERIES).agg(F.min(F.struct("day_no", "dow")).alias("_known"))
     grid = known.withColumn("day_no", F.explode(F.sequence(F.lit(1), F.lit(31))))
-    passed = trunc_to(F.col("qc_passed_amount") / F.col("qc_amount") * 100, 2)
+    passed = trunc_to(F.try_divide("qc_passed_amount", "qc_amount") * 100, 2)
     return (
         grid.join(data, [*SERIES, "day_no"], "left")
         .select(

@@ -64,7 +64,8 @@ def rating_curve_flow(levels: DataFrame, curves: DataFrame, points: DataFrame) -
         & (h != F.lit(MISSING))
         & (((h >= F.col("h1")) & (h < F.col("h2"))) | ((h == F.col("h1")) & F.col("h2").isNull()))
     )
-    line = (F.col("q2") - F.col("q1")) / (F.col("h2") - F.col("h1")) * (h - F.col("h1")) + F.col("q1")
+    slope = F.try_divide(F.col("q2") - F.col("q1"), F.col("h2") - F.col("h1"))
+    line = slope * (h - F.col("h1")) + F.col("q1")
     flow = F.when(h == F.col("h1"), F.col("q1")).otherwise(line)
     return levels.join(steps, on, "left").select(
         *[levels[c] for c in levels.columns], F.coalesce(flow, F.lit(MISSING)).alias("flow")

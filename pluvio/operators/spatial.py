@@ -19,7 +19,7 @@ def _inside(rings: Column, x: Column, y: Column) -> Column:
         def crosses(i: Column) -> Column:
             a, b = ring[i], ring[i + 1]
             spans = (a["y"] > y) != (b["y"] > y)
-            at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+            at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
             return F.when(spans & (x < at), 1).otherwise(0)
 
         edges = F.sequence(F.lit(0), F.size(ring) - 2)
@@ -152,7 +152,7 @@ def cressman_grid(
             "gy",
             (F.lit(west) + F.col("gx") * F.lit(dx)).alias("longitude"),
             (F.lit(south) + F.col("gy") * F.lit(dy)).alias("latitude"),
-            (F.col("_wv") / F.col("_ws")).alias("value"),
+            F.try_divide("_wv", "_ws").alias("value"),
             "neighbors",
         )
     )

@@ -122,7 +122,7 @@ def _weighted(keys: list[Column], daily: DataFrame) -> DataFrame:
     names = [F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")]
     return daily.groupBy(*keys).agg(
         *names,
-        (F.sum("sum_value") / F.sum("num_records")).alias("avg_value"),
+        F.try_divide(F.sum("sum_value"), F.sum("num_records")).alias("avg_value"),
         F.sum("sum_value").alias("sum_value"),
         F.sum("num_records").alias("num_records"),
     )

@@ -54,17 +54,19 @@ def ingest_hobo_csv(lines: DataFrame, var_format: DataFrame, station: DataFrame)
         lines.filter(F.col("line").contains("Plot Title:"))
         .select(
             "path",
-            F.trim(F.split(F.split(csv_fields(F.col("line"))[0], ":")[1], "_")[0]).alias("station_code"),
+            F.trim(F.get(F.split(F.get(F.split(csv_fields(F.col("line"))[0], ":"), F.lit(1)), "_"), F.lit(0))).alias(
+                "station_code"
+            ),
         )
         .join(station_offsets(station), "station_code")
     )
     rows = lines.select("path", csv_fields(F.col("line")).alias("fields"))
     header = (
-        rows.filter(F.col("fields")[1].startswith("Date Time"))
+        rows.filter(F.get("fields", F.lit(1)).startswith("Date Time"))
         .withColumn("fields", F.transform("fields", lambda name: F.split(name, ",")[0]))
         .join(title, "path")
     )
-    local = F.try_to_timestamp(F.col("fields")[1], F.lit("MM/dd/yy hh:mm:ss a"))
+    local = F.try_to_timestamp(F.get("fields", F.lit(1)), F.lit("MM/dd/yy hh:mm:ss a"))
     data = rows.withColumn("local", local).filter("local IS NOT NULL")
     cells = mapped_cells(data, header, var_format, HOBO_DAILY_COLUMNS)
     return _readings(cells, F.col("local"), F.lit(None).cast("int"))
@@ -76,7 +78,7 @@ def ingest_wide_csv(lines: DataFrame, variable: DataFrame, station: DataFrame) -
     rows = lines.select("path", F.split(F.rtrim("line"), ";", -1).alias("fields"))
     header = rows.filter(F.col("fields")[0] == "datetime")
     text = F.col("fields")[0]
-    code = F.split(F.split(file_name(F.col("path")), "_")[1], r"\.")[0]
+    code = F.get(F.split(F.get(F.split(file_name(F.col("path")), "_"), F.lit(1)), r"\."), F.lit(0))
     zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
     data = (
         rows.filter(text != "datetime")

@@ -22,9 +22,9 @@ def stamp(text: Column) -> Column:
     yy = part(1, 2)
     year = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
     day = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), part(3, 3) - 1)
-    return shift_seconds(
-        day.cast("timestamp"), part(6, 2) * 3600 + part(8, 2) * 60 + part(10, 2)
-    )
+    valid = part(3, 3).between(1, 366) & (part(6, 2) < 24) & (part(8, 2) < 60) & (part(10, 2) < 60)
+    seconds = part(6, 2) * 3600 + part(8, 2) * 60 + part(10, 2)
+    return F.when(valid, shift_seconds(day.cast("timestamp"), seconds))
 
 
 def header_fields(header: Column) -> dict[str, Column]:
@@ -78,7 +78,8 @@ def _line_time(hhmm: Column) -> Column:
     hour, minute = F.substring(hhmm, 1, 2).try_cast("int"), F.substring(hhmm, 3, 2).try_cast("int")
     day = F.date_trunc("day", "sent_at")
     seconds = hour * 3600 + minute * 60
-    return shift_seconds(day, F.when(hour > F.hour("sent_at"), seconds - 86400).otherwise(seconds))
+    valid = (hour < 24) & (minute < 60)
+    return F.when(valid, shift_seconds(day, F.when(hour > F.hour("sent_at"), seconds - 86400).otherwise(seconds)))
 
 
 def _by_position(rows: DataFrame, values: Column, variables: list[int], intervals: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def _by_position(rows: DataFrame, values: Column, variables: list[int], interval
     return (
         rows.select("station_id", "datetime", F.posexplode(values).alias("_pos", "measured"))
         .filter((F.col("_pos") < len(variables)) & F.col("measured").isNotNull() & F.col("datetime").isNotNull())
-        .withColumn("variable_id", ids[F.col("_pos")])
+        .withColumn("variable_id", F.get(ids, F.col("_pos")))
         .withColumn("position", F.col("_pos") + 1)
         .join(intervals.select("position", "seconds"), "position")
         .select(

@@ -133,10 +133,10 @@ def ingest_synoptic_hourly(sheet_rows: DataFrame, station: DataFrame) -> DataFra
     for f in filled[1:]:
         any_value = any_value | f
     hour = F.col("hour").try_cast("int")
-    local = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("date").cast("timestamp")) + hour * 3600)
+    local = F.timestamp_seconds(F.unix_seconds(F.col("day").try_cast("date").cast("timestamp")) + hour * 3600)
     offsets = station.select("code", F.col("id").alias("station_id"), "utc_offset_minutes")
     rows = (
-        sheet_rows.filter(hour.isNotNull() & any_value)
+        sheet_rows.filter(hour.between(0, 23) & F.col("day").try_cast("date").isNotNull() & any_value)
         .withColumn("_local", local)
         .join(offsets, F.col("station_code") == F.col("code"))
         .withColumn("datetime", to_utc("_local"))
