@@ -26,45 +26,24 @@ def with_previous(
     """Add ``prev_<col>`` taken from the preceding row of the series (null on the first row).
 
     ``lag`` runs inside blocks; the first row of a block gets the last row of the nearest earlier
-    non-empty block, found on one row per (series, block).
+    non-empty block, found on one row per (series, block). Both branches read the same shuffle of
+    the input, which Spark reuses, so the input itself is computed once.
     """
     keys = list(keys)
     names = [order, *[c for c in cols if c != order]]
     row = F.struct(*names)
-    blocked = df.withColumn("_block", F.floor(micros(order) / F.lit(block_seconds * 1_000_000)).cast("long"))
     by_block = [*keys, "_block"]
-
-    lagged = blocked.withColumn("_prev", F.lag(row).over(Window.partitionBy(*by_block).orderBy(order)))
-    carry = (
-        blocked.groupBy(*by_block)
-        .agg(F.max(row).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")))
-        .select(*by_block, "_carry")
+    blocked = df.withColumn("_block", F.floor(micros(order) / F.lit(block_seconds * 1_000_000)).cast("long"))
+    lagged = blocked.withColumn("_prev", F.lag(row).over(Window.partitionBy(*by_block).orderBy(order))).withColumn(
+        "_last", F.max(row).over(Window.partitionBy(*by_block))
     )
-    joined = lagged.join(carry, by_block, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
-    out = [F.col(c) for c in df.columns]
-    return joined.select(*out, *[F.col(f"_prev.{c}").alias(prefix + c) for c in names if c in cols or c == order])
-
-
-def _both_sides(df: DataFrame, keys: Sequence[str], order: str, width: Column, values: dict[str, Column], step: int):
-    """Rows of each block plus the neighbouring block's rows moved by one window width."""
-    w = F.greatest(width.cast("long") * F.lit(1_000_000), F.lit(1).cast("long"))
-    base = (
-        df.withColumn("_w", w)
-        .withColumn("_t", micros(order))
-        .withColumn("_block", F.floor(F.col("_t") / F.col("_w")).cast("long"))
+    heads = lagged.filter("_prev IS NULL").withColumn(
+        "_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
     )
-    own = base.withColumn("_at", F.col("_t")).withColumn("_own", F.lit(True))
-    for name, value in values.items():
-        own = own.withColumn(f"_v_{name}", value)
-    halo = own.select(
-        *keys,
-        (F.col("_block") + step).alias("_block"),
-        (F.col("_t") + F.lit(step) * F.col("_w")).alias("_at"),
-        F.lit(False).alias("_own"),
-        *[f"_v_{name}" for name in values],
+    stepped = lagged.filter("_prev IS NOT NULL").unionByName(heads)
+    return stepped.select(
+        *df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in names if c in cols or c == order]
     )
-    return own.unionByName(halo, allowMissingColumns=True)
 
 
 def sliding_max(
@@ -83,19 +62,33 @@ def sliding_max(
     (own block, neighbour) whatever the width.
     """
     step = -1 if ahead else 1
-    rows = _both_sides(df, keys, order, width, values, step)
     blocks = Window.partitionBy(*keys, "_block")
     rising = blocks.orderBy(F.col("_at").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     falling = blocks.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own_frame, halo_frame = (falling, rising) if ahead else (rising, falling)
+
+    w = F.greatest(width.cast("long") * F.lit(1_000_000), F.lit(1).cast("long"))
+    base = (
+        df.withColumns({"_w": w, "_t": micros(order), **{f"_v_{n}": v for n, v in values.items()}})
+        .withColumn("_b", F.floor(F.col("_t") / F.col("_w")).cast("long"))
+        .withColumn("_row", F.struct(*[c for c in df.columns if c not in keys]))
+    )
+    # a row goes to its own block in full and to the neighbouring block with its values only
+    own = F.struct(F.col("_b").alias("_block"), F.col("_t").alias("_at"), F.col("_row").alias("_row"))
+    halo = F.struct(
+        (F.col("_b") + step).alias("_block"),
+        (F.col("_t") + F.lit(step) * F.col("_w")).alias("_at"),
+        F.lit(None).cast(base.schema["_row"].dataType).alias("_row"),
+    )
+    rows = base.select(*keys, *[f"_v_{n}" for n in values], F.inline(F.array(own, halo)))
+    is_own = F.col("_row").isNotNull()
     for name in values:
-        value = F.col(f"_v_{name}")
-        rows = rows.withColumn(f"_o_{name}", F.max(F.when(F.col("_own"), value)).over(own_frame))
+        rows = rows.withColumn(f"_o_{name}", F.max(F.when(is_own, F.col(f"_v_{name}"))).over(own_frame))
     for name in values:
-        value = F.col(f"_v_{name}")
-        rows = rows.withColumn(f"_h_{name}", F.max(F.when(~F.col("_own"), value)).over(halo_frame))
-    return rows.filter("_own").select(
-        *df.columns, *[F.greatest(f"_o_{name}", f"_h_{name}").alias(name) for name in values]
+        rows = rows.withColumn(f"_h_{name}", F.max(F.when(~is_own, F.col(f"_v_{name}"))).over(halo_frame))
+    return rows.filter(is_own).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns],
+        *[F.greatest(f"_o_{name}", f"_h_{name}").alias(name) for name in values],
     )
 
 
@@ -116,21 +109,18 @@ def complete_rolling_sum(
     """
     block = max(span_seconds, DAY_SECONDS) * 1_000_000
     span = span_seconds * 1_000_000
-    own = (
+    home = F.floor(F.col("_t") / F.lit(block)).cast("long")
+    near_end = F.col("_t") >= (F.col("_home") + 1) * F.lit(block) - F.lit(span)
+    blocks = F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))
+    rows = (
         df.withColumn("_t", micros(order))
-        .withColumn("_block", F.floor(F.col("_t") / F.lit(block)).cast("long"))
-        .withColumn("_own", F.lit(True))
-    )
-    halo = (
-        own.filter(F.col("_t") >= (F.col("_block") + 1) * F.lit(block) - F.lit(span))
-        .withColumn("_block", F.col("_block") + 1)
-        .withColumn("_own", F.lit(False))
+        .withColumn("_home", home)
+        .select("*", F.explode(blocks).alias("_block"))
     )
     w = Window.partitionBy(*keys, "_block").orderBy("_t")
     return (
-        own.unionByName(halo)
-        .withColumn(out, F.sum(value).over(w.rowsBetween(-previous_rows, 0)))
+        rows.withColumn(out, F.sum(value).over(w.rowsBetween(-previous_rows, 0)))
         .withColumn("_oldest", F.lag("_t", previous_rows).over(w) if previous_rows else F.col("_t"))
-        .filter(F.col("_own") & (F.col("_t") - F.col("_oldest") < F.lit(span)))
+        .filter((F.col("_block") == F.col("_home")) & (F.col("_t") - F.col("_oldest") < F.lit(span)))
         .select(*df.columns, out)
     )

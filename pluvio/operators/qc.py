@@ -35,55 +35,49 @@ def _station_part(station: DataFrame) -> DataFrame:
     return station.select(F.col("id").alias("station_id"), "reference_station_id", "is_automatic")
 
 
-def _attempt(keys: DataFrame, thr: DataFrame, owner: str, exact: bool, more: list[str], limits: list[str], name: str):
-    """Left join one step of the chain; its limits arrive as the struct ``name``."""
-    side = thr.filter(F.col("interval").isNotNull() if exact else F.col("interval").isNull())
-    on = [F.col(owner) == F.col("t.station_id"), F.col("k.variable_id") == F.col("t.variable_id")]
-    on += [F.col(f"k.{c}") == F.col(f"t.{c}") for c in more]
-    if exact:
-        on.append(F.col("k.interval") == F.col("t.interval"))
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return (
-        keys.alias("k")
-        .join(side.alias("t"), condition, "left")
-        .select(
-            "k.*", F.when(F.col("t.station_id").isNotNull(), F.struct(*[F.col(f"t.{c}") for c in limits])).alias(name)
-        )
+def _variable_part(variable: DataFrame, *columns: str) -> DataFrame:
+    return variable.select(F.col("id").alias("variable_id"), *[F.col(c).alias(f"_{c}") for c in columns])
+
+
+def _own_and_reference(thr: DataFrame, station: DataFrame, exact: bool, detail: list[str], limits: list[str]):
+    """Limits of each station and of its reference station side by side, for one kind of interval."""
+    on = [*SERIES, *(["interval"] if exact else []), *detail]
+    kind = "exact" if exact else "any"
+    rows = thr.filter(F.col("interval").isNotNull() if exact else F.col("interval").isNull())
+    own = rows.select(*on, F.struct(*limits).alias(f"_own_{kind}"))
+    references = station.filter("reference_station_id IS NOT NULL").select(
+        F.col("id").alias("_user"), F.col("reference_station_id").alias("station_id")
     )
+    lent = (
+        own.join(references, "station_id")
+        .drop("station_id")
+        .withColumnsRenamed({"_user": "station_id", f"_own_{kind}": f"_ref_{kind}"})
+    )
+    return own.join(lent, on, "full_outer"), on
 
 
 def _chain(
-    keys: DataFrame, thr: DataFrame, station: DataFrame, more: list[str], limits: list[str], messages: list[str]
+    rows: DataFrame, thr: DataFrame, station: DataFrame, detail: list[str], limits: list[str], messages: list[str]
 ) -> DataFrame:
-    """Own station exact, own station any interval, reference exact, reference any interval.
+    """First hit of: own station exact, own station any interval, reference exact, reference any interval.
 
-    The chain runs over distinct keys, which stay as small as the threshold tables, never over
-    readings.
+    The tables of one interval kind are merged beforehand, so rows meet two look-ups of the size of the
+    threshold table. Readings are neither scanned twice nor reduced to their distinct keys first.
     """
-    rows = keys.join(_station_part(station), "station_id", "left")
-    steps = [
-        ("k.station_id", True, "_own_exact"),
-        ("k.station_id", False, "_own_any"),
-        ("k.reference_station_id", True, "_ref_exact"),
-        ("k.reference_station_id", False, "_ref_any"),
-    ]
-    for owner, exact, name in steps:
-        rows = _attempt(rows, thr, owner, exact, more, limits, name)
-    names = [s[2] for s in steps]
-    source = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(m)) for n, m in zip(names, messages)])
-    return rows.select(
-        *keys.columns, "is_automatic", F.coalesce(*names).alias("_hit"), source.alias("_source")
+    for exact in (True, False):
+        table, on = _own_and_reference(thr, station, exact, detail, limits)
+        rows = rows.join(table, on, "left")
+    steps = ["_own_exact", "_own_any", "_ref_exact", "_ref_any"]
+    source = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(m)) for n, m in zip(steps, messages)])
+    return (
+        rows.withColumns({"_hit": F.coalesce(*steps), "_source": source})
+        .drop(*steps)
+        .join(_station_part(station).drop("reference_station_id"), "station_id", "left")
     )
 
 
-def _variable_part(variable: DataFrame, *columns: str) -> DataFrame:
-    return variable.select(F.col("id").alias("variable_id"), *[F.col(c).alias(f"_{c}") for c in columns])
-
-
 def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
-    """Limits per (station, variable, interval, month); the variable's own limits come last."""
+    """Limits for rows with (station, variable, interval, month); the variable's own limits come last."""
     rows = _chain(
         keys,
         thr,
@@ -97,7 +91,6 @@ def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame,
         "left",
     )
     auto = F.col("is_automatic")
-    known = auto.isNotNull()
     hit = F.col("_hit").isNotNull()
 
     def limit(name: str) -> Column:
@@ -111,14 +104,12 @@ def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame,
         *keys.columns,
         limit("range_min").alias("range_min"),
         limit("range_max").alias("range_max"),
-        F.coalesce(
-            "_source", F.when(known & auto, GLOBAL_AUTOMATIC).when(known, GLOBAL_MANUAL)
-        ).alias("range_description"),
+        F.coalesce("_source", F.when(auto, GLOBAL_AUTOMATIC).when(~auto, GLOBAL_MANUAL)).alias("range_description"),
     )
 
 
 def resolve_step_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
-    """Limits per (station, variable, interval); the global rule is plus/minus one step, if any."""
+    """Limits for rows with (station, variable, interval); the global rule is plus/minus one step, if any."""
     rows = _chain(
         keys, thr, station, [], ["step_min", "step_max"], [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE]
     ).join(_variable_part(variable, "step", "step_hourly"), "variable_id", "left")
@@ -137,7 +128,7 @@ def resolve_step_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame,
 
 
 def resolve_persist_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
-    """Smallest variation per (station, variable, interval, window); nothing for a zero window or interval."""
+    """Smallest variation for (station, variable, interval, window); nothing for a zero window or interval."""
     rows = _chain(
         keys, thr, station, ["window"], ["minimum_variance"], [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE]
     ).join(_variable_part(variable, "persistence", "persistence_hourly"), "variable_id", "left")
@@ -146,9 +137,7 @@ def resolve_persist_threshold(keys: DataFrame, thr: DataFrame, station: DataFram
     limit = F.when(F.col("_hit").isNotNull(), F.col("_hit.minimum_variance")).otherwise(
         F.when(auto, F.col("_persistence_hourly")).when(~auto, F.col("_persistence"))
     )
-    source = F.coalesce(
-        "_source", F.when(auto, F.lit(GLOBAL_AUTOMATIC)).when(~auto, F.lit(GLOBAL_MANUAL))
-    )
+    source = F.coalesce("_source", F.when(auto, F.lit(GLOBAL_AUTOMATIC)).when(~auto, F.lit(GLOBAL_MANUAL)))
     return rows.select(
         *keys.columns,
         F.when(usable, limit).alias("persist_min"),
@@ -208,17 +197,11 @@ def final_flag() -> Column:
     )
 
 
-def _with_limits(batch: DataFrame, limits: DataFrame, on: list[str]) -> DataFrame:
-    return batch.join(limits.withColumnRenamed("interval", "seconds"), on, "left")
-
-
 def qc_range_test(batch: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
     """Inclusive range test against the limits of the reading's month."""
-    rows = batch.withColumn("month", F.month("datetime"))
-    keys = rows.select(*SERIES, F.col("seconds").alias("interval"), "month").distinct()
-    limits = resolve_range_threshold(keys, thr, station, variable)
+    rows = batch.withColumns({"month": F.month("datetime"), "interval": F.col("seconds")})
     return (
-        _with_limits(rows, limits, [*SERIES, "seconds", "month"])
+        resolve_range_threshold(rows, thr, station, variable)
         .withColumn("qc_range_quality_flag", range_flag())
         .withColumn("qc_range_description", range_message())
         .select(*batch.columns, "qc_range_quality_flag", "qc_range_description")
@@ -245,10 +228,9 @@ def qc_step_test(
     rows = batch.withColumn("_new", F.lit(True))
     if last_stored is not None:
         rows = rows.unionByName(last_stored.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    keys = batch.select(*SERIES, F.col("seconds").alias("interval")).distinct()
-    limits = resolve_step_threshold(keys, thr, station, variable)
+    stepped = step_differences(rows).filter("_new").withColumn("interval", F.col("seconds"))
     return (
-        _with_limits(step_differences(rows).filter("_new"), limits, [*SERIES, "seconds"])
+        resolve_step_threshold(stepped, thr, station, variable)
         .withColumn("qc_step_quality_flag", step_flag())
         .withColumn("qc_step_description", step_message())
         .select(*batch.columns, "qc_step_quality_flag", "qc_step_description")
@@ -351,42 +333,21 @@ def threshold_matrix(
 ) -> DataFrame:
     """Twelve months of global, reference and own limits as text; ``---`` where there is none and
     ``*`` where the reference holds for any interval."""
-    months = pairs.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn(
-        "interval", F.lit(interval)
-    )
-    rows = months.join(_station_part(station), "station_id", "left").join(
-        _variable_part(variable, "range_min", "range_max", "range_min_hourly", "range_max_hourly"),
-        "variable_id",
-        "left",
-    )
-    for owner, exact, name in (
-        ("k.station_id", True, "_own"),
-        ("k.reference_station_id", True, "_ref"),
-        ("k.reference_station_id", False, "_any"),
-    ):
-        rows = _attempt(rows, thr, owner, exact, ["month"], ["range_min", "range_max"], name)
-
-    def text(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit("---"))
-
-    def reference(limit: str) -> Column:
-        starred = F.concat(F.col(f"_any.{limit}").cast("string"), F.lit("*"))
-        return F.when(F.col("_ref").isNotNull(), text(F.col(f"_ref.{limit}"))).otherwise(
-            F.coalesce(starred, F.lit("---"))
-        )
+    auto = F.col("is_automatic")
 
     def overall(limit: str) -> Column:
-        return text(F.when(F.col("is_automatic"), F.col(f"_{limit}_hourly")).otherwise(F.col(f"_{limit}")))
+        return F.when(auto, F.col(f"_{limit}_hourly")).otherwise(F.col(f"_{limit}"))
 
-    return rows.select(
-        *SERIES,
-        "month",
-        overall("range_min").alias("global_min"),
-        overall("range_max").alias("global_max"),
-        reference("range_min").alias("reference_min"),
-        reference("range_max").alias("reference_max"),
-        text(F.col("_own.range_min")).alias("custom_min"),
-        text(F.col("_own.range_max")).alias("custom_max"),
+    dims = _variable_part(variable, "range_min", "range_max", "range_min_hourly", "range_max_hourly")
+    months = pairs.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return _limits_as_text(
+        months.join(dims, "variable_id", "left"),
+        months.columns,
+        thr,
+        station,
+        interval,
+        ["month"],
+        {"min": ("range_min", overall("range_min")), "max": ("range_max", overall("range_max"))},
     )
 
 
@@ -421,24 +382,35 @@ def persist_threshold_matrix(
     )
 
 
-def _limits_as_text(rows, columns, thr, station, interval, more, limits) -> DataFrame:
-    rows = rows.withColumn("interval", F.lit(interval)).join(_station_part(station), "station_id", "left")
+def _limits_as_text(
+    rows: DataFrame,
+    columns: list[str],
+    thr: DataFrame,
+    station: DataFrame,
+    interval: int,
+    detail: list[str],
+    limits: dict[str, tuple[str, Column]],
+) -> DataFrame:
+    """``limits`` gives for each label the threshold column and the global value."""
+    rows = rows.withColumn("interval", F.lit(interval)).join(
+        _station_part(station).drop("reference_station_id"), "station_id", "left"
+    )
     names = [limit for limit, _ in limits.values()]
-    for owner, exact, name in (
-        ("k.station_id", True, "_own"),
-        ("k.reference_station_id", True, "_ref"),
-        ("k.reference_station_id", False, "_any"),
-    ):
-        rows = _attempt(rows, thr, owner, exact, more, names, name)
+    shown = thr.withColumns({f"_t_{n}": F.col(n) for n in names})
+    for exact in (True, False):
+        table, on = _own_and_reference(shown, station, exact, detail, [f"_t_{n}" for n in names])
+        rows = rows.join(table, on, "left")
     none = F.lit("---")
     out = [F.col(c) for c in columns]
     for label, (limit, overall) in limits.items():
-        starred = F.concat(F.col(f"_any.{limit}").cast("string"), F.lit("*"))
-        reference = F.when(F.col("_ref").isNotNull(), F.col(f"_ref.{limit}").cast("string")).otherwise(starred)
+        starred = F.concat(F.col(f"_ref_any._t_{limit}").cast("string"), F.lit("*"))
+        reference = F.when(
+            F.col("_ref_exact").isNotNull(), F.col(f"_ref_exact._t_{limit}").cast("string")
+        ).otherwise(starred)
         out += [
             F.coalesce(overall.cast("string"), none).alias(f"global_{label}"),
             F.coalesce(reference, none).alias(f"reference_{label}"),
-            F.coalesce(F.col(f"_own.{limit}").cast("string"), none).alias(f"custom_{label}"),
+            F.coalesce(F.col(f"_own_exact._t_{limit}").cast("string"), none).alias(f"custom_{label}"),
         ]
     return rows.select(*out)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# a comma outside quotes
-CSV_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# a comma outside quotes; only used on lines that have a comma inside quotes
+QUOTED_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# fields without a comma inside quotes
+PLAIN_FIELDS = '^(?:[^",]*+|"[^",]*+")(?:,(?:[^",]*+|"[^",]*+"))*+$'
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -19,34 +21,46 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     )
 
 
+def clean_line(line: Column) -> Column:
+    """Without NUL bytes and trailing blanks."""
+    return F.rtrim(F.replace(line, F.lit("\0"), F.lit("")))
+
+
 def csv_fields(line: Column) -> Column:
-    """Fields of a CSV line without their quotes and NUL bytes."""
-    clean = F.replace(F.rtrim(line), F.lit("\0"), F.lit(""))
-    return F.transform(F.split(clean, CSV_COMMA, -1), lambda f: F.regexp_replace(F.trim(f), '^"|"$', ""))
+    """Fields of a CSV line, still quoted."""
+    return F.when(line.rlike(PLAIN_FIELDS), F.split(line, ",", -1)).otherwise(F.split(line, QUOTED_COMMA, -1))
+
+
+def unquoted(field: Column) -> Column:
+    return F.btrim(F.trim(field), F.lit('"'))
+
+
+def first_field(line: Column, separator: str = ",") -> Column:
+    return unquoted(F.substring_index(line, separator, 1))
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def station_offsets(station: DataFrame) -> DataFrame:
     return station.select(F.col("code").alias("station_code"), F.col("id").alias("station_id"), "utc_offset_minutes")
 
 
-def mapped_cells(data: DataFrame, header: DataFrame, var_format: DataFrame, ignored: list[str] | None = None) -> DataFrame:
+def mapped_cells(
+    data: DataFrame, header: DataFrame, var_format: DataFrame, fields: Column, ignored: list[str] | None = None
+) -> DataFrame:
     """One row per non-empty cell whose column name has a look-up key.
 
-    ``data`` has (path, fields, ...) and ``header`` one (path, names, ...) row per file.
+    ``header`` has one ``(path, names, ...)`` row per file; ``fields`` splits a data line.
     """
-    names = header.withColumnRenamed("fields", "names")
-    cells = data.join(names, "path").select(
-        "*", F.posexplode(F.arrays_zip("names", "fields")).alias("_pos", "_cell")
-    )
-    named = cells.withColumns({"lookup_key": F.col("_cell.names"), "text": F.col("_cell.fields")}).filter(
-        ~F.coalesce(F.col("text"), F.lit("")).isin("", "NAN")
+    keep = [c for c in (*data.columns, *header.columns) if c not in ("path", "line", "names")]
+    cells = data.join(header, "path").select(
+        "path", *keep, "names", F.posexplode(fields).alias("_pos", "_field")
     )
+    named = cells.select(
+        "path", *keep, unquoted(F.get("names", F.col("_pos"))).alias("lookup_key"), unquoted(F.col("_field")).alias("text")
+    ).filter(~F.col("text").isin("", "NAN"))
     if ignored:
         named = named.filter(~F.col("lookup_key").isin(ignored))
-    return named.join(var_format.select("lookup_key", "variable_id", "seconds"), "lookup_key").drop(
-        "_pos", "_cell", "names", "fields"
-    )
+    return named.join(var_format.select("lookup_key", "variable_id", "seconds"), "lookup_key")

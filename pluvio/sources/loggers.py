@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.columns import seconds_between, to_utc
 from pluvio.functions.series import with_previous
-from pluvio.sources.lines import csv_fields, file_name, mapped_cells, station_offsets
+from pluvio.sources.lines import (
+    clean_line,
+    csv_fields,
+    file_name,
+    first_field,
+    mapped_cells,
+    station_offsets,
+    unquoted,
+)
 
 # HOBO columns that repeat daily totals.
 HOBO_DAILY_COLUMNS = ["Rain_mm_TOT_24hr", "Rainfall"]
@@ -36,58 +44,61 @@ def _readings(cells: DataFrame, local: Column, flag: Column) -> DataFrame:
 
 def ingest_logger_csv(lines: DataFrame, var_format: DataFrame, station: DataFrame) -> DataFrame:
     """The station code is the file name up to the first underscore; names stand in the second line."""
-    rows = lines.select("path", csv_fields(F.col("line")).alias("fields"))
-    header = rows.filter(F.col("fields")[0] == "TIMESTAMP")
-    local = F.try_to_timestamp(F.col("fields")[0], F.lit("yyyy-MM-dd HH:mm:ss"))
+    rows = lines.select("path", clean_line(F.col("line")).alias("line"))
+    fields = csv_fields(F.col("line"))
+    header = rows.filter(first_field(F.col("line")) == "TIMESTAMP").select("path", fields.alias("names"))
     data = (
-        rows.withColumn("local", local)
+        rows.withColumn("local", F.try_to_timestamp(first_field(F.col("line")), F.lit("yyyy-MM-dd HH:mm:ss")))
         .filter("local IS NOT NULL")
-        .withColumn("station_code", F.split(file_name(F.col("path")), "_")[0])
+        .withColumn("station_code", F.substring_index(file_name(F.col("path")), "_", 1))
         .join(station_offsets(station), "station_code")
     )
-    return _readings(mapped_cells(data, header, var_format), F.col("local"), F.lit(1))
+    return _readings(mapped_cells(data, header, var_format, fields), F.col("local"), F.lit(1))
 
 
 def ingest_hobo_csv(lines: DataFrame, var_format: DataFrame, station: DataFrame) -> DataFrame:
     """The title line names the station; column names end at their first comma."""
+    rows = lines.select("path", clean_line(F.col("line")).alias("line"))
+    line = F.col("line")
+    fields = csv_fields(line)
+    code = F.substring_index(F.substring_index(F.substring_index(line, "Plot Title:", -1), '"', 1), "_", 1)
     title = (
-        lines.filter(F.col("line").contains("Plot Title:"))
-        .select(
-            "path",
-            F.trim(F.get(F.split(F.get(F.split(csv_fields(F.col("line"))[0], ":"), F.lit(1)), "_"), F.lit(0))).alias(
-                "station_code"
-            ),
-        )
+        rows.filter(line.contains("Plot Title:"))
+        .select("path", F.trim(code).alias("station_code"))
         .join(station_offsets(station), "station_code")
     )
-    rows = lines.select("path", csv_fields(F.col("line")).alias("fields"))
-    header = (
-        rows.filter(F.get("fields", F.lit(1)).startswith("Date Time"))
-        .withColumn("fields", F.transform("fields", lambda name: F.split(name, ",")[0]))
-        .join(title, "path")
+    names = F.transform(fields, lambda f: F.substring_index(unquoted(f), ",", 1))
+    header = rows.filter(line.contains("Date Time")).select("path", names.alias("names")).join(title, "path")
+    second = unquoted(F.substring_index(F.substring_index(line, ",", 2), ",", -1))
+    data = rows.withColumn("local", F.try_to_timestamp(second, F.lit("MM/dd/yy hh:mm:ss a"))).filter(
+        "local IS NOT NULL"
     )
-    local = F.try_to_timestamp(F.get("fields", F.lit(1)), F.lit("MM/dd/yy hh:mm:ss a"))
-    data = rows.withColumn("local", local).filter("local IS NOT NULL")
-    cells = mapped_cells(data, header, var_format, HOBO_DAILY_COLUMNS)
+    cells = mapped_cells(data, header, var_format, fields, HOBO_DAILY_COLUMNS)
     return _readings(cells, F.col("local"), F.lit(None).cast("int"))
 
 
 def ingest_wide_csv(lines: DataFrame, variable: DataFrame, station: DataFrame) -> DataFrame:
     """``datetime;SYMBOL;...``; the interval is the file's most frequent time step, the smaller one on
     a tie. Times with a zone keep it, others are at the station's offset."""
-    rows = lines.select("path", F.split(F.rtrim("line"), ";", -1).alias("fields"))
-    header = rows.filter(F.col("fields")[0] == "datetime")
-    text = F.col("fields")[0]
-    code = F.get(F.split(F.get(F.split(file_name(F.col("path")), "_"), F.lit(1)), r"\."), F.lit(0))
-    zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    rows = lines.select("path", clean_line(F.col("line")).alias("line"))
+    line = F.col("line")
+    fields = F.split(line, ";", -1)
+    header = rows.filter(line.startswith("datetime;")).select("path", fields.alias("names"))
+    code = F.substring_index(
+        F.substring_index(F.substring_index(file_name(F.col("path")), "_", 2), "_", -1), ".", 1
+    )
     data = (
-        rows.filter(text != "datetime")
-        .withColumn("station_code", code)
+        rows.select(
+            "path", "line", code.alias("station_code"), F.substring_index(line, ";", 1).alias("_text")
+        )
+        .withColumn("_stamp", F.col("_text").try_cast("timestamp"))
+        .filter("_stamp IS NOT NULL")
         .join(station_offsets(station), "station_code")
-        .withColumn("_stamp", text.try_cast("timestamp"))
-        .withColumn("datetime", F.when(zoned, F.col("_stamp")).otherwise(to_utc("_stamp")))
-        .filter("datetime IS NOT NULL")
-        .drop("_stamp")
+        .withColumn(
+            "datetime",
+            F.when(F.col("_text").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.col("_stamp")).otherwise(to_utc("_stamp")),
+        )
+        .select("path", "line", "station_id", "datetime")
     )
     steps = (
         with_previous(data.select("path", "datetime"), ["path"], [])
@@ -100,7 +111,7 @@ def ingest_wide_csv(lines: DataFrame, variable: DataFrame, station: DataFrame) -
         F.col("symbol").alias("lookup_key"), F.col("id").alias("variable_id"), F.lit(None).alias("seconds")
     )
     return (
-        mapped_cells(data, header, symbols)
+        mapped_cells(data, header, symbols, fields)
         .drop("seconds")
         .join(steps, "path")
         .withColumn("measured", F.col("text").try_cast("double"))

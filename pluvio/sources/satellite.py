@@ -60,17 +60,21 @@ def decode_dcp_header(messages: DataFrame) -> DataFrame:
 
 
 def _transmissions(responses: DataFrame, separator: str) -> DataFrame:
-    """One row per transmission line of ``(station_id, address, response)``."""
-    parts = F.slice(
-        F.split(F.col("response"), F.concat(F.lit("\\Q"), F.col("address"), F.lit("\\E")), F.lit(-1)), 2, 1_000_000_000
+    """One row per transmission line of ``(station_id, address, response)``.
+
+    The address differs per row; it is replaced by one mark first, so that splitting uses a fixed
+    pattern that is compiled once.
+    """
+    mark = "\u0001"
+    marked = F.replace(F.col("response"), F.col("address"), F.lit(mark))
+    sent = responses.select("station_id", F.posexplode(F.split(marked, mark, -1)).alias("_n", "_t")).filter("_n > 0")
+    return (
+        sent.select("station_id", stamp(F.substring("_t", 1, 11)).alias("sent_at"), "_t")
+        .filter("sent_at IS NOT NULL")
+        .select("station_id", "sent_at", F.posexplode(F.split("_t", separator, -1)).alias("_n", "line"))
+        .filter("_n > 0")
+        .drop("_n")
     )
-    sent = responses.select("station_id", F.explode(parts).alias("_t"))
-    pieces = sent.select("station_id", F.split("_t", separator, -1).alias("_l"))
-    return pieces.select(
-        "station_id",
-        stamp(F.substring(F.col("_l")[0], 1, 11)).alias("sent_at"),
-        F.explode(F.slice("_l", 2, 1_000_000_000)).alias("line"),
-    ).filter("sent_at IS NOT NULL")
 
 
 def _line_time(hhmm: Column) -> Column:
@@ -82,14 +86,19 @@ def _line_time(hhmm: Column) -> Column:
     return F.when(valid, shift_seconds(day, F.when(hour > F.hour("sent_at"), seconds - 86400).otherwise(seconds)))
 
 
-def _by_position(rows: DataFrame, values: Column, variables: list[int], intervals: DataFrame) -> DataFrame:
-    """Values matched with the variable and the interval of their position."""
+def _by_position(cells: DataFrame, value: Column, variables: list[int], intervals: DataFrame) -> DataFrame:
+    """Values matched with the variable and the interval of their position (``_pos`` 1 comes first)."""
     ids = F.array(*[F.lit(v) for v in variables])
     return (
-        rows.select("station_id", "datetime", F.posexplode(values).alias("_pos", "measured"))
-        .filter((F.col("_pos") < len(variables)) & F.col("measured").isNotNull() & F.col("datetime").isNotNull())
-        .withColumn("variable_id", F.get(ids, F.col("_pos")))
-        .withColumn("position", F.col("_pos") + 1)
+        cells.filter(F.col("_pos").between(1, len(variables)))
+        .select(
+            "station_id",
+            "datetime",
+            F.col("_pos").alias("position"),
+            F.get(ids, F.col("_pos") - 1).alias("variable_id"),
+            value.alias("measured"),
+        )
+        .filter("measured IS NOT NULL")
         .join(intervals.select("position", "seconds"), "position")
         .select(
             "station_id",
@@ -106,30 +115,28 @@ def _by_position(rows: DataFrame, values: Column, variables: list[int], interval
 def decode_dcp_space_text(responses: DataFrame, intervals: DataFrame) -> DataFrame:
     """Lines ``HHMM v1 v2 ...``; what is no number is skipped."""
     lines = _transmissions(responses, " \r\n")
-    fields = F.split("line", " ", -1)
-    rows = lines.withColumn("_f", fields).withColumn("datetime", _line_time(F.col("_f")[0]))
-    values = F.transform(F.slice("_f", 2, 1_000_000_000), lambda f: f.try_cast("double"))
-    return _by_position(rows, values, SPACE_TEXT_VARIABLES, intervals)
+    cells = (
+        lines.withColumn("datetime", _line_time(F.col("line")))
+        .filter("datetime IS NOT NULL")
+        .select("station_id", "datetime", F.posexplode(F.split("line", " ", -1)).alias("_pos", "text"))
+    )
+    return _by_position(cells, F.col("text").try_cast("double"), SPACE_TEXT_VARIABLES, intervals)
 
 
 def decode_dcp_comma_text(responses: DataFrame, intervals: DataFrame) -> DataFrame:
     """Comma lines ``xHHMM,...``: two plain values, then tenths that may end in G or B; the closing
     field and the last value are not used."""
     lines = _transmissions(responses, "\r\n").filter(F.length("line") > 0)
-    rows = (
-        lines.withColumn("_f", F.split("line", ",", -1))
-        .filter(F.size("_f") > 3)
-        .withColumn("datetime", _line_time(F.substring(F.col("_f")[0], 2, 4)))
-        # neither the time, nor the field after the last comma, nor the last value
-        .withColumn("_v", F.slice("_f", F.lit(2), F.size("_f") - 3))
-    )
-    values = F.transform(
-        "_v",
-        lambda f, i: F.when(i < 2, f.try_cast("double")).otherwise(
-            F.regexp_replace(f, "[GB]$", "").try_cast("double") / 10
-        ),
+    used = F.slice("_f", F.lit(1), F.greatest(F.size("_f") - 2, F.lit(0)))
+    cells = (
+        lines.withColumn("datetime", _line_time(F.substring("line", 2, 4)))
+        .filter("datetime IS NOT NULL")
+        .withColumn("_f", F.split("line", ",", -1))
+        .select("station_id", "datetime", F.posexplode(used).alias("_pos", "text"))
     )
-    return _by_position(rows, values, COMMA_TEXT_VARIABLES, intervals)
+    tenths = F.regexp_replace("text", "[GB]$", "").try_cast("double") / 10
+    value = F.when(F.col("_pos") <= 2, F.col("text").try_cast("double")).otherwise(tenths)
+    return _by_position(cells, value, COMMA_TEXT_VARIABLES, intervals)
 
 
 def _character(c: Column) -> Column:
@@ -168,12 +175,12 @@ def decode_pseudobinary(messages: DataFrame, elements: DataFrame, with_battery:
         "station_id", F.date_trunc("minute", shift_seconds("sent_at", -minutes * 60)).alias("base"), body.alias("_b")
     ).filter(F.length("_b") >= 3)
     count = F.floor(F.length("_b") / 3).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("_b"), i * 3 + 1, F.lit(3)))
+    chunk = F.substring(F.col("_b"), F.col("position") * 3 - 2, F.lit(3))
     value = pseudobinary_value(F.col("chunk")).cast("double")
     return (
-        rows.select("station_id", "base", F.posexplode(chunks).alias("_pos", "chunk"))
+        rows.select("station_id", "base", "_b", F.explode(F.sequence(F.lit(1), count)).alias("position"))
+        .withColumn("chunk", chunk)
         .filter("chunk <> '///'")
-        .withColumn("position", F.col("_pos") + 1)
         .join(elements, "position")
         .select(
             "station_id",

@@ -36,8 +36,21 @@ class Tables:
         return event_readings(self.raw("events"))
 
     def obs(self) -> DataFrame:
-        """One row per (station, variable, time); the highest event wins."""
-        return latest_per_key(self.event_readings())
+        """One row per (station, variable, time); the highest event wins.
+
+        One aggregate per source column instead of one struct of all of them: unused columns are
+        pruned and the fixed-width ones stay in a hash aggregate.
+        """
+        newest = (
+            _event_keys(self.raw("events"))
+            .groupBy(*schema.KEY)
+            .agg(
+                F.max_by("value", "event_id").alias("value"),
+                F.max_by("props", "event_id").alias("props"),
+                F.max("event_id").alias("event_id"),
+            )
+        )
+        return _reading_columns(newest).drop("event_id")
 
     def obs_regular(self) -> DataFrame:
         """Hourly series with a one-hour hole after every 20 readings."""
@@ -202,6 +215,7 @@ def _sql_literal(value) -> str:
 def _reading_columns(df: DataFrame) -> DataFrame:
     value = F.floor(F.col("value") * 8) / 8
     e = F.col("event_id")
+    coded = F.col("event_type") == "view" if "event_type" in df.columns else F.col("variable_id") == 5
     keep = [c for c in ("seconds", "event_id") if c in df.columns]
     return df.select(
         *keep,
@@ -215,28 +229,31 @@ def _reading_columns(df: DataFrame) -> DataFrame:
         (e % 41 == 0).alias("is_daily"),
         F.when(e % 29 == 0, F.concat(F.lit("note "), e.cast("string"))).alias("remarks"),
         F.when(e % 23 == 0, F.concat(F.lit("obs "), (e % 7).cast("string"))).alias("observer"),
-        F.when(F.col("event_type") == "view", F.col("props")).alias("code"),
+        F.when(coded, F.col("props")).alias("code"),
         F.lit(1).alias("ml_flag"),
     )
 
 
 def event_readings(events: DataFrame) -> DataFrame:
     """Readings before the unique key is enforced; also used on the stream of events."""
+    return _reading_columns(_event_keys(events))
+
+
+def _event_keys(events: DataFrame) -> DataFrame:
     at = F.col("ts").cast("timestamp")
-    return _reading_columns(
-        events.withColumn("station_id", F.expr("user_id div 5").cast("int"))
-        .withColumn(
-            "variable_id",
-            F.when(F.col("event_type") == "click", 1)
-            .when(F.col("event_type") == "error", 2)
-            .when(F.col("event_type") == "purchase", 3)
-            .when(F.col("event_type") == "signup", 4)
+    kind = F.col("event_type")
+    return events.withColumns(
+        {
+            "station_id": F.expr("user_id div 5").cast("int"),
+            "variable_id": F.when(kind == "click", 1)
+            .when(kind == "error", 2)
+            .when(kind == "purchase", 3)
+            .when(kind == "signup", 4)
             .otherwise(5),
-        )
-        .withColumn(
-            "datetime",
-            F.when(F.col("event_id") % 4 == 0, F.date_trunc("hour", at)).otherwise(F.date_trunc("minute", at)),
-        )
+            "datetime": F.when(F.col("event_id") % 4 == 0, F.date_trunc("hour", at)).otherwise(
+                F.date_trunc("minute", at)
+            ),
+        }
     )
 
 
