@@ -323,7 +323,7 @@ register(
 )
 register(
     "station_filter",
-    lambda t: retrieve.station_filter(t.station(), watershed="ASIA", is_active=True, name_contains="SUPPLIER#0"),
+    lambda t: retrieve.station_filter(t.station_places(), watershed="ASIA", is_active=True, name_contains="SUPPLIER#0"),
     "SELECT * FROM station WHERE watershed = 'ASIA' AND is_active AND name ILIKE '%supplier#0%'",
 )
 register(

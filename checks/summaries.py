@@ -164,7 +164,7 @@ register(
 SHARE = t2(r2("avg(record_count_percentage)", 6))
 register(
     "inventory_yearly",
-    lambda t: inventory.inventory_yearly(completeness(t), t.station(), 2023, 2025, True),
+    lambda t: inventory.inventory_yearly(completeness(t), t.station_places(), 2023, 2025, True),
     f"""SELECT CAST(year(day) AS INT) AS year, station_id, name, code, is_automatic, begin_date, watershed, {SHARE} AS percentage
     FROM completeness JOIN station s ON s.id = station_id WHERE is_automatic GROUP BY ALL""",
 )
@@ -275,7 +275,7 @@ for suffix, on_date, where in (("", False, "s.is_active"), ("_on_date", True, CO
 register(
     "status_share",
     lambda t: stats.status_share(
-        monitor.comm_map(hourly(t), t.station(), t.station_variable(), t.flag(), ASOF), t.flag()
+        monitor.comm_map(hourly(t), t.station(), t.station_variable(), t.flag(), ASOF)
     ),
     f"""SELECT f.name, f.color, count(m.color) AS stations,
       {r2('count(m.color) * 100.0 / (SELECT count(*) FROM cmap)')} AS percentage

@@ -96,8 +96,6 @@ def rolling_accumulation(
 
 def latest_by_rank(obs: DataFrame) -> DataFrame:
     """Newest row of each series; a maximum combines on the map side where a rank would sort."""
-    return (
-        obs.groupBy(*SERIES)
-        .agg(F.max_by(F.struct("datetime", "measured", "code"), "datetime").alias("_r"))
-        .select(*SERIES, "_r.datetime", "_r.measured", "_r.code")
+    return obs.groupBy(*SERIES).agg(
+        F.max("datetime").alias("datetime"), *[F.max_by(c, "datetime").alias(c) for c in ("measured", "code")]
     )

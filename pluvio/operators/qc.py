@@ -15,6 +15,7 @@ from pluvio.functions.columns import (
     seconds_between,
     ts,
 )
+from pluvio.functions.joins import lookup
 from pluvio.functions.series import sliding_max, with_previous
 from pluvio.schema import KEY, SERIES
 
@@ -39,21 +40,31 @@ def _variable_part(variable: DataFrame, *columns: str) -> DataFrame:
     return variable.select(F.col("id").alias("variable_id"), *[F.col(c).alias(f"_{c}") for c in columns])
 
 
-def _own_and_reference(thr: DataFrame, station: DataFrame, exact: bool, detail: list[str], limits: list[str]):
-    """Limits of each station and of its reference station side by side, for one kind of interval."""
-    on = [*SERIES, *(["interval"] if exact else []), *detail]
-    kind = "exact" if exact else "any"
-    rows = thr.filter(F.col("interval").isNotNull() if exact else F.col("interval").isNull())
-    own = rows.select(*on, F.struct(*limits).alias(f"_own_{kind}"))
-    references = station.filter("reference_station_id IS NOT NULL").select(
-        F.col("id").alias("_user"), F.col("reference_station_id").alias("station_id")
-    )
-    lent = (
-        own.join(references, "station_id")
-        .drop("station_id")
-        .withColumnsRenamed({"_user": "station_id", f"_own_{kind}": f"_ref_{kind}"})
+# the chain, in order: whose threshold, for exactly the interval or for any, name of the hit
+STEPS = [
+    ("station_id", True, "_own_exact"),
+    ("station_id", False, "_own_any"),
+    ("reference_station_id", True, "_ref_exact"),
+    ("reference_station_id", False, "_ref_any"),
+]
+
+
+def _attempt(
+    rows: DataFrame, thr: DataFrame, owner: str, exact: bool, detail: list[str], limits: list[str], name: str
+) -> DataFrame:
+    """One look-up in the threshold table; its limits arrive as the struct ``name``.
+
+    The table is joined as it is stored: Spark knows its size, broadcasts it when small and otherwise
+    can split the partitions of a crowded station, which it cannot for a table that was joined before.
+    """
+    on = ["variable_id", *(["interval"] if exact else []), *detail]
+    side = thr.filter(F.col("interval").isNotNull() if exact else F.col("interval").isNull()).select(
+        F.col("station_id").alias("_k_station"), *[F.col(c).alias(f"_k_{c}") for c in on], F.struct(*limits).alias(name)
     )
-    return own.join(lent, on, "full_outer"), on
+    condition = F.col(owner) == F.col("_k_station")
+    for c in on:
+        condition = condition & (F.col(c) == F.col(f"_k_{c}"))
+    return rows.join(side, condition, "left").drop("_k_station", *[f"_k_{c}" for c in on])
 
 
 def _chain(
@@ -61,19 +72,14 @@ def _chain(
 ) -> DataFrame:
     """First hit of: own station exact, own station any interval, reference exact, reference any interval.
 
-    The tables of one interval kind are merged beforehand, so rows meet two look-ups of the size of the
-    threshold table. Readings are neither scanned twice nor reduced to their distinct keys first.
+    Rows are looked up directly; they are not scanned a second time to find their distinct keys.
     """
-    for exact in (True, False):
-        table, on = _own_and_reference(thr, station, exact, detail, limits)
-        rows = rows.join(table, on, "left")
-    steps = ["_own_exact", "_own_any", "_ref_exact", "_ref_any"]
-    source = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(m)) for n, m in zip(steps, messages)])
-    return (
-        rows.withColumns({"_hit": F.coalesce(*steps), "_source": source})
-        .drop(*steps)
-        .join(_station_part(station).drop("reference_station_id"), "station_id", "left")
-    )
+    rows = rows.join(_station_part(station), "station_id", "left")
+    for owner, exact, name in STEPS:
+        rows = _attempt(rows, thr, owner, exact, detail, limits, name)
+    names = [name for *_, name in STEPS]
+    source = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(m)) for n, m in zip(names, messages)])
+    return rows.withColumns({"_hit": F.coalesce(*names), "_source": source}).drop(*names, "reference_station_id")
 
 
 def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
@@ -290,7 +296,7 @@ def qc_persist_test(obs: DataFrame, limits: DataFrame) -> DataFrame:
 
     A maximum of the value and one of its negative give the spread in the same two passes.
     """
-    rows = obs.join(limits, SERIES, "left")
+    rows = lookup(obs, limits, SERIES)
     spread = sliding_max(
         rows,
         SERIES,
@@ -392,14 +398,12 @@ def _limits_as_text(
     limits: dict[str, tuple[str, Column]],
 ) -> DataFrame:
     """``limits`` gives for each label the threshold column and the global value."""
-    rows = rows.withColumn("interval", F.lit(interval)).join(
-        _station_part(station).drop("reference_station_id"), "station_id", "left"
-    )
+    rows = rows.withColumn("interval", F.lit(interval)).join(_station_part(station), "station_id", "left")
     names = [limit for limit, _ in limits.values()]
     shown = thr.withColumns({f"_t_{n}": F.col(n) for n in names})
-    for exact in (True, False):
-        table, on = _own_and_reference(shown, station, exact, detail, [f"_t_{n}" for n in names])
-        rows = rows.join(table, on, "left")
+    for owner, exact, name in STEPS:
+        if name != "_own_any":  # not shown
+            rows = _attempt(rows, shown, owner, exact, detail, [f"_t_{n}" for n in names], name)
     none = F.lit("---")
     out = [F.col(c) for c in columns]
     for label, (limit, overall) in limits.items():

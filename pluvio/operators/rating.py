@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import MISSING
+from pluvio.functions.joins import lookup
 
 
 def curve_periods(curves: DataFrame) -> DataFrame:
@@ -29,9 +30,8 @@ def latest_curve_asof(obs: DataFrame, curves: DataFrame) -> DataFrame:
     With validity periods each reading matches one curve, so nothing has to be ranked or grouped
     afterwards and the shuffle carries readings once (not at all when the curves are broadcast).
     """
-    periods = curve_periods(curves).withColumnRenamed("station_id", "_station")
-    on = (F.col("station_id") == F.col("_station")) & _in_force("datetime")
-    return obs.join(periods, on, "left").drop("_station", "start_date", "_until")
+    rows = lookup(obs, curve_periods(curves), ["station_id"], extra=_in_force("datetime"))
+    return rows.drop("start_date", "_until")
 
 
 def curve_segments(points: DataFrame) -> DataFrame:
@@ -50,23 +50,14 @@ def rating_curve_flow(levels: DataFrame, curves: DataFrame, points: DataFrame) -
     """Flow of each level: the table value at an exact level, straight lines in between, -99.9
     outside the table, without a curve or for a missing level.
 
-    Curve periods and segments are joined first (both small), so levels meet one range join.
+    Two look-ups of one row each: the curve in force, then the step of that curve.
     """
-    steps = (
-        curve_periods(curves)
-        .join(curve_segments(points), "curve_id")
-        .withColumnRenamed("station_id", "_station")
-    )
     h = F.col("measured")
-    on = (
-        (F.col("station_id") == F.col("_station"))
-        & _in_force("datetime")
-        & (h != F.lit(MISSING))
-        & (((h >= F.col("h1")) & (h < F.col("h2"))) | ((h == F.col("h1")) & F.col("h2").isNull()))
+    within = (h != F.lit(MISSING)) & (
+        ((h >= F.col("h1")) & (h < F.col("h2"))) | ((h == F.col("h1")) & F.col("h2").isNull())
     )
+    rows = lookup(latest_curve_asof(levels, curves), curve_segments(points), ["curve_id"], extra=within)
     slope = F.try_divide(F.col("q2") - F.col("q1"), F.col("h2") - F.col("h1"))
     line = slope * (h - F.col("h1")) + F.col("q1")
     flow = F.when(h == F.col("h1"), F.col("q1")).otherwise(line)
-    return levels.join(steps, on, "left").select(
-        *[levels[c] for c in levels.columns], F.coalesce(flow, F.lit(MISSING)).alias("flow")
-    )
+    return rows.select(*levels.columns, F.coalesce(flow, F.lit(MISSING)).alias("flow"))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.functions.joins import lookup
+
 NOT_FOUND = "NOT FOUND"
 OUTSIDE = -999
 
@@ -59,9 +61,8 @@ def point_in_polygon(
     produced and nothing is grouped afterwards.
     """
     x, y = F.col(lon), F.col(lat)
-    located = points.withColumns(
-        {"_cx": F.floor(x / cell).cast("int"), "_cy": F.floor(y / cell).cast("int")}
-    ).join(polygon_cells(polygons, cell), ["_cx", "_cy"], "left")
+    celled = points.withColumns({"_cx": F.floor(x / cell).cast("int"), "_cy": F.floor(y / cell).cast("int")})
+    located = lookup(celled, polygon_cells(polygons, cell), ["_cx", "_cy"], spread=[lon, lat])
     holding = F.filter("_candidates", lambda p: _inside(p["rings"], x, y))
     return located.withColumn(out, F.coalesce(F.try_element_at(holding, F.lit(1))["name"], F.lit(NOT_FOUND))).select(
         *points.columns, out

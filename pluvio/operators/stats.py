@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import not_missing, round_half_up
+from pluvio.schema import FLAGS
 
 
 def column_stats_sample(obs: DataFrame, by: list[str]) -> DataFrame:
@@ -56,19 +57,21 @@ def column_stats_population(obs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def status_share(stations: DataFrame, flag: DataFrame) -> DataFrame:
-    """Percent of stations per status colour, colours without stations included."""
-    counts = stations.groupBy("color").agg(F.count(F.lit(1)).alias("n"))
-    total = stations.agg(F.count(F.lit(1)).alias("total"))
+def status_share(stations: DataFrame) -> DataFrame:
+    """Percent of stations per status colour, colours without stations included.
+
+    One pass counts the fixed colours and the total, and the single row is turned into one per colour.
+    """
+    cells = [
+        F.struct(F.lit(name).alias("name"), F.lit(color).alias("color"), F.col(f"n{i}").alias("stations"))
+        for i, _, name, color in FLAGS
+    ]
     return (
-        # four fixed flag rows against one total row
-        F.broadcast(flag.select("name", "color"))
-        .join(counts, "color", "left")
-        .join(F.broadcast(total), F.lit(True))
-        .select(
-            "name",
-            "color",
-            F.coalesce("n", F.lit(0)).alias("stations"),
-            round_half_up(F.coalesce("n", F.lit(0)) * 100.0 / F.nullif("total", F.lit(0)), 2).alias("percentage"),
+        stations.agg(
+            F.count(F.lit(1)).alias("total"),
+            *[F.count_if(F.col("color") == color).alias(f"n{i}") for i, _, _, color in FLAGS],
         )
+        .select("total", F.inline(F.array(*cells)))
+        .withColumn("percentage", round_half_up(F.try_divide(F.col("stations") * 100.0, F.col("total")), 2))
+        .drop("total")
     )

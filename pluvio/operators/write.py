@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import MISSING, MISSING_CODE, hour_bucket, local_day, shift_seconds, to_local, to_utc, ts
+from pluvio.functions.joins import lookup
 from pluvio.schema import KEY, SERIES
 
 
@@ -62,13 +63,13 @@ def latest_value_upsert(latest: DataFrame, batch: DataFrame, with_code: bool = F
     newest = (
         batch.withColumn("_code", code)
         .groupBy(*SERIES)
-        .agg(F.max(F.struct("datetime", "measured", "_code")).alias("_n"))
+        .agg(F.max("datetime").alias("n_datetime"), *[F.max_by(c, "datetime").alias(f"n_{c}") for c in ("measured", "_code")])
     )
     stored = F.col("last_data_datetime")
-    take = F.col("_n").isNotNull() & (stored.isNull() | (F.col("_n.datetime") >= stored))
+    take = F.col("n_datetime").isNotNull() & (stored.isNull() | (F.col("n_datetime") >= stored))
 
     def pick(new: str, old: str) -> Column:
-        return F.when(take, F.col(f"_n.{new}")).otherwise(F.col(old)).alias(old)
+        return F.when(take, F.col(f"n_{new}")).otherwise(F.col(old)).alias(old)
 
     return latest.join(newest, SERIES, "full_outer").select(
         *SERIES,
@@ -203,7 +204,7 @@ def delete_and_refresh_latest(
     )
     stale = named.join(newest, ["station_id", "datetime"], "left_semi").select(*SERIES).distinct()
     fresh = (
-        remaining.join(stale, SERIES, "left_semi")
+        lookup(remaining, stale, SERIES, "left_semi")
         .groupBy(*SERIES)
         .agg(F.max_by(F.struct("datetime", "measured", "code"), "datetime").alias("_n"))
     )

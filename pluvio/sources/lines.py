@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.functions.joins import lookup
+
 # a comma outside quotes; only used on lines that have a comma inside quotes
 QUOTED_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 # fields without a comma inside quotes
@@ -55,7 +57,7 @@ def mapped_cells(
     ``header`` has one ``(path, names, ...)`` row per file; ``fields`` splits a data line.
     """
     keep = [c for c in (*data.columns, *header.columns) if c not in ("path", "line", "names")]
-    cells = data.join(header, "path").select(
+    cells = lookup(data, header, ["path"], "inner", spread="line").select(
         "path", *keep, "names", F.posexplode(fields).alias("_pos", "_field")
     )
     named = cells.select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import seconds_between, to_utc
+from pluvio.functions.joins import lookup
 from pluvio.functions.series import with_previous
 from pluvio.sources.lines import (
     clean_line,
@@ -111,9 +112,7 @@ def ingest_wide_csv(lines: DataFrame, variable: DataFrame, station: DataFrame) -
         F.col("symbol").alias("lookup_key"), F.col("id").alias("variable_id"), F.lit(None).alias("seconds")
     )
     return (
-        mapped_cells(data, header, symbols, fields)
-        .drop("seconds")
-        .join(steps, "path")
+        lookup(mapped_cells(data, header, symbols, fields).drop("seconds"), steps, ["path"], "inner")
         .withColumn("measured", F.col("text").try_cast("double"))
         .filter("measured IS NOT NULL")
         .select(

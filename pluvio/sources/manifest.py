@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.functions.joins import lookup
+
 # File states.
 NOT_PROCESSED, IN_PROCESS, PROCESSED, ERROR, SKIPPED, REPROCESS = 1, 2, 3, 4, 5, 6
 
@@ -39,7 +41,8 @@ def file_manifest_dedup(manifest: DataFrame, limit: int | None = None) -> DataFr
     )
     skip = (F.col("_active") > 0) | (F.col("id") != F.col("_last"))
     return (
-        queue.join(per_hash, "file_hash")
+        # a content copied very often is spread by file, its counts are one row
+        lookup(queue, per_hash, ["file_hash"], "inner", spread="id")
         .withColumn("decision", F.when(skip, "skip").otherwise("process"))
         .withColumn("new_status_id", F.when(skip, SKIPPED).otherwise(IN_PROCESS))
         .drop("_active", "_last")

@@ -100,13 +100,26 @@ class Tables:
 
     # dimensions ------------------------------------------------------------------------------
 
+    def station_places(self) -> DataFrame:
+        """Stations with region and watershed."""
+        return (
+            self._station("s_nationkey")
+            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .withColumnsRenamed({"n_name": "region", "r_name": "watershed"})
+            .drop("s_nationkey", "n_nationkey", "n_regionkey", "r_regionkey")
+        )
+
     def station(self) -> DataFrame:
-        s = self.raw("supplier")
+        """Stations as operators need them; read from one table, so that its size is known to Spark."""
+        return self._station()
+
+    def _station(self, *more: str) -> DataFrame:
         sid = F.col("s_suppkey")
         return (
-            s.join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            self.raw("supplier")
             .select(
+                *more,
                 sid.cast("int").alias("id"),
                 F.col("s_name").alias("name"),
                 F.concat(F.lit("ST"), F.lpad(sid.cast("string"), 6, "0")).alias("code"),
@@ -118,8 +131,6 @@ class Tables:
                 ((sid % 5 - 2) * 180).cast("int").alias("utc_offset_minutes"),
                 (sid % 7 != 6).alias("is_active"),
                 (sid % 2 == 0).alias("is_automatic"),
-                F.col("n_name").alias("region"),
-                F.col("r_name").alias("watershed"),
                 (sid % 4).cast("int").alias("profile_id"),
                 F.lit("2023-06-01").cast("date").alias("begin_date"),
                 F.when(sid % 6 == 5, F.lit("2024-01-10").cast("date")).alias("end_date"),
