@@ -19,12 +19,23 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.dir = sf_dir.rstrip("/")
+        self._plans: dict = {}
+
+    def _once(self, key, build) -> DataFrame:
+        """The plan of a table, built once per instance."""
+        if key not in self._plans:
+            self._plans[key] = build()
+        return self._plans[key]
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        reader = self.spark.read.schema(schema.SOURCES[name])
+        return self._once(name, lambda: reader.parquet(f"{self.dir}/{name}.parquet"))
 
     def _literal(self, rows, ddl: str) -> DataFrame:
         """Fixed rows as a local relation, whose known size lets Catalyst broadcast it by itself."""
+        return self._once((ddl, str(rows)), lambda: self._values(rows, ddl))
+
+    def _values(self, rows, ddl: str) -> DataFrame:
         types = [field.strip().split() for field in ddl.split(",")]
         body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
         raw = self.spark.sql(f"SELECT * FROM VALUES {body} AS v({', '.join(n for n, _ in types)})")
@@ -112,7 +123,7 @@ class Tables:
 
     def station(self) -> DataFrame:
         """Stations as operators need them; read from one table, so that its size is known to Spark."""
-        return self._station()
+        return self._once("station", self._station)
 
     def _station(self, *more: str) -> DataFrame:
         sid = F.col("s_suppkey")
