@@ -125,7 +125,7 @@ def wide_lines(t):
     )
     local = F.date_format(F.timestamp_seconds(F.unix_seconds("datetime") + offset * 60), "yyyy-MM-dd HH:mm:ss")
     stamp = F.when(F.col("station_id") % 2 == 1, local).otherwise(F.concat(local, zone))
-    path = F.concat(F.lit("file:/w/surface_"), "station_code", F.lit("_2024-01.csv"))
+    path = F.concat(F.lit("file:/w/wide_"), "station_code", F.lit("_2024-01.csv"))
     blank = [F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(4)]
     data = rows.select(path.alias("path"), F.concat_ws(";", stamp, *blank, F.lit("9")).alias("line"))
     header = rows.select(path.alias("path"), F.lit("datetime;CLK;ERR;PUR;SGN;ZZZ").alias("line")).distinct()

@@ -69,7 +69,7 @@ def test_hobo_file(spark, station, formats, tmp_path, text, want):
 
 def test_wide_file(spark, station, tmp_path):
     variable = spark.createDataFrame([(1, "TMP"), (2, "HUM")], "id int, symbol string")
-    (tmp_path / "surface_9958303_2019-05.csv").write_text(
+    (tmp_path / "wide_9958303_2019-05.csv").write_text(
         "datetime;TMP;HUM;XXX\n2019-05-01 00:00:00;1.5;;1\n2019-05-01 00:10:00;2.5;50;1\n"
         "2019-05-01 00:20:00;;51;1\n2019-05-01 00:30:00+00:00;4;52;1\n"
     )
