@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import all_queries
 from checks.compare import compare
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = all_queries.QUERIES, all_queries.ORACLE
 
 
 def test_entry(spark):
