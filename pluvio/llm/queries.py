@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, token_counts
+from pluvio.llm import bpe, decontamination, token_counts
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     )
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of ten-word benchmark windows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op1_decontamination"] = r"""
+WITH lowered AS (
+    SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+), items AS (
+    SELECT item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered WHERE t IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size,
+           list_slice(w, i, i + least(len(w), 10) - 1) AS win
+    FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0
+), texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), places AS (
+    SELECT row_id, s.size, i, list_slice(w, i, i + s.size - 1) AS win
+    FROM texts, (SELECT DISTINCT size FROM windows) s, unnest(range(1, len(w) - s.size + 2)) AS r(i)
+), hits AS (
+    SELECT row_id, i, size, item_id FROM places JOIN windows USING (size, win)
+), hit_words AS (
+    SELECT row_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + size)) AS r(k) GROUP BY row_id
+), hit_items AS (
+    SELECT row_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+    FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
+"""
