@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, token_counts
+from pluvio.llm import bpe, decontamination, pii, secrets, token_counts
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,82 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
 """
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with those that only the corpus shows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs)
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        named = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(named, ",")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "owned")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
+        F.size(F.filter("secrets", lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
+    )
+
+
+_SECRET_PATTERNS = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.WIDE)
+_PARTS = r"""
+    SELECT row_id, source, '{kind}' AS kind, {rank} AS rank, unnest(pieces) AS part, generate_subscripts(pieces, 1) AS k
+    FROM (SELECT row_id, source, string_split(
+              regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS pieces FROM texts)
+"""
+ORACLE["op4_secrets"] = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id, source,
+           replace(coalesce(text, ''), chr(57344), chr(57345)) AS t
+    FROM documents
+), parts AS (
+    {" UNION ALL ".join(_PARTS.format(kind=kind, rank=rank, pattern=pattern.replace("'", "''")) for rank, (kind, pattern) in enumerate(zip(secrets.KINDS, _SECRET_PATTERNS)))}
+), placed AS (
+    SELECT *, CAST(sum(length(part)) OVER (PARTITION BY row_id, kind ORDER BY k) AS BIGINT) AS stop FROM parts
+), found AS (
+    SELECT *, stop - length(part) AS start,
+           CASE WHEN kind = 'assign' THEN regexp_extract(part, '{secrets.ASSIGN.replace("'", "''")}', 2) ELSE part END AS value
+    FROM placed WHERE k % 2 = 0
+), kept AS (
+    SELECT * FROM found
+    WHERE CASE kind WHEN 'assign' THEN length(value) >= 12
+                    WHEN 'owned' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') ELSE true END
+), owners AS (
+    SELECT value, count(*) AS n FROM (SELECT DISTINCT value, source FROM kept) GROUP BY value
+), judged AS (
+    SELECT kept.*, n, kind || ':' || start || ':' || stop AS span FROM kept JOIN owners USING (value)
+    WHERE kind <> 'owned' OR n = 1
+), summed AS (
+    SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+           count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'owned') AS base,
+           string_agg(span, ',' ORDER BY start, rank) AS spans,
+           count(*) FILTER (n = 1) AS n_live, count(*) FILTER (n >= {secrets.EXAMPLE_OWNERS}) AS n_example
+    FROM judged GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM texts LEFT JOIN summed USING (row_id)
+"""
+
+
+# Of the registered queries only; a user of the operator brings a secret one.
+PII_KEY = "registered query"
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal values replaced by pseudonyms of the same format."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="n_replaced")
