@@ -27,7 +27,7 @@ from pluvio.llm.common import ship
 from pluvio.llm.pieces import splitter
 
 # Entries each memory of an earlier answer may hold before it starts anew; results don't depend on it.
-MEMO = 1 << 19
+MEMO = 1 << 17
 # Pieces up to this many characters are remembered with their ids.
 MEMO_PIECE = 64
 
@@ -60,14 +60,13 @@ def merge_parents(tokens: list[bytes]) -> list[tuple[int, int]]:
     return parents
 
 
-class Codec:
-    """Encoder and decoder of one rank file."""
+class Encoder:
+    """Encoder of one rank file."""
 
     def __init__(self, tokens: list[bytes], ids: list[int], parents: list[tuple[int, int]], pattern: str):
         self.place = {token: k for k, token in enumerate(tokens)}
         self.size = [len(token) for token in tokens]
         self.packed = [struct.pack("<I", i) for i in ids]
-        self.bytes_of = dict(zip(ids, tokens))
         self.left_of = [left for left, _ in parents]
         self.right_of = [right for _, right in parents]
         self.merged = {a * len(tokens) + b: k for k, (a, b) in enumerate(parents) if a >= 0 and a != k}
@@ -168,15 +167,22 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join(self._packed_pieces(text)) if text else b""
 
+
+class Decoder:
+    """The bytes of each id."""
+
+    def __init__(self, tokens: list[bytes], ids: list[int], *_):
+        self.bytes_of = dict(zip(ids, tokens))
+
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) if ids else b""
 
 
-_CODECS: dict[str, Codec] = {}
+_MADE: dict[tuple[str, str], Encoder | Decoder] = {}
 
 
 class SharedCodec:
-    """A codec whose tables (bounded by the rank file) are made once and broadcast; each worker builds it once."""
+    """Tables of a rank file (bounded by it), made once and broadcast; each worker builds its part once."""
 
     def __init__(self, docs: DataFrame, path: str, pattern: str):
         ship(docs.sparkSession)
@@ -186,17 +192,18 @@ class SharedCodec:
         self.key = f"{path}|{pattern}"
         self.tables = docs.sparkSession.sparkContext.broadcast(tables)
 
-    def get(self) -> Codec:
-        if self.key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[self.key] = Codec(*self.tables.value)
-        return _CODECS[self.key]
+    def get(self, kind: type) -> Encoder | Decoder:
+        key = (self.key, kind.__name__)
+        if key not in _MADE:
+            _MADE.clear()
+            _MADE[key] = kind(*self.tables.value)
+        return _MADE[key]
 
 
-def _mapped(shared: SharedCodec, method: str):
+def _mapped(shared: SharedCodec, kind: type, method: str):
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        apply = getattr(shared.get(), method)
+        apply = getattr(shared.get(kind), method)
         for batch in batches:
             yield pd.Series([apply(value) for value in batch], dtype=object)
 
@@ -205,9 +212,9 @@ def _mapped(shared: SharedCodec, method: str):
 
 def encode(docs: DataFrame, codec: SharedCodec, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of ``text`` as packed little-endian unsigned 32-bit integers."""
-    return docs.withColumn(ids, _mapped(codec, "encode")(F.col(text)))
+    return docs.withColumn(ids, _mapped(codec, Encoder, "encode")(F.col(text)))
 
 
 def decode(tokens: DataFrame, codec: SharedCodec, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the bytes that the packed ids stand for."""
-    return tokens.withColumn(decoded, _mapped(codec, "decode")(F.col(ids)))
+    return tokens.withColumn(decoded, _mapped(codec, Decoder, "decode")(F.col(ids)))
