@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, pii, secrets, token_counts
+from pluvio.llm import bpe, decontamination, labelled, pii, quality, secrets, token_counts, toxicity
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,29 @@ PII_KEY = "registered query"
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal values replaced by pseudonyms of the same format."""
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="n_replaced")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return _with_fold(scored, 0.5)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return _with_fold(scored, 0.3)
+
+
+def _with_fold(scored: DataFrame, threshold: float) -> DataFrame:
+    # the score is computed once, before it is compared
+    return scored.select(
+        "doc_id",
+        labelled.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
