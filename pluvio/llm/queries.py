@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, labelled, pii, quality, secrets, token_counts, toxicity
+from pluvio.llm import bpe, decontamination, embedding_join, labelled, ngram_join, pii, quality, secrets, token_counts, toxicity
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,40 @@ def _with_fold(scored: DataFrame, threshold: float) -> DataFrame:
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+@query
+def op5_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector at a cosine of 0.9 or more, and the components they make."""
+    found = embedding_join.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+ORACLE["op5_embedding_join"] = """
+WITH RECURSIVE pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reached.a, pairs.b FROM reached JOIN pairs ON reached.b = pairs.a
+)
+SELECT a AS vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = reached.a) AS n_links, min(b) AS component_id,
+       min(b) = a AS kept
+FROM reached GROUP BY a
+"""
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles reach a Jaccard similarity of 0.9."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_join.classes(docs, words=3, num=90, den=100)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
