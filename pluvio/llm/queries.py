@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, embedding_join, labelled, ngram_join, pii, quality, secrets, token_counts, toxicity
+from pluvio.llm import bpe, decontamination, embedding_join, labelled, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, toxicity
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,18 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 400 bytes occurring twice cover, and what is left."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    cut = suffix_dedup.remove_repeats(docs.withColumn("n_bytes", n_bytes))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("deduplicated.kept")).alias("n_removed"),
+        F.size("deduplicated.spans").cast("long").alias("n_spans"),
+        F.sha2("deduplicated.kept", 256).alias("kept_sha256"),
+    )
