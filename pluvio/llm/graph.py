@@ -29,23 +29,31 @@ class Forest:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) can reach.
 
-    Every round takes the smallest label among the neighbours and then the label of that label, so
-    chains halve. Labels are written to the shared folder each round.
+    Each round points every node to the smallest one it touches, and that one's own choice, and then
+    replaces the ends of all edges by what they point to. Edges inside a group vanish and equal ones become
+    one, so a round has at most half the nodes of the one before. Rounds are written to the shared folder.
     """
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct(), "edges")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        lower = kept(lower, "labels")
-        onward = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = kept(
-            lower.join(onward, "root").select("node", "was", F.least("root", "next").alias("root")), "labels"
+
+    def clean(pairs: DataFrame) -> DataFrame:
+        low_high = pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return kept(low_high.distinct(), "edges")
+
+    now, labels = clean(edges), None
+    while labels is None or not now.isEmpty():
+        both = now.union(now.select("b", "a"))
+        points = kept(
+            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")),
+            "labels",
         )
-        labels = jumped.select("node", "root")
-        if jumped.filter("root != was").isEmpty():
-            return labels
+        onward = points.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        points = kept(points.join(onward, "to").select("node", "root"), "labels")
+        if labels is None:
+            labels = points
+        else:
+            moved = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            labels = kept(labels, "labels")
+        left = points.select(F.col("node").alias("a"), F.col("root").alias("c"))
+        right = points.select(F.col("node").alias("b"), F.col("root").alias("d"))
+        now = clean(now.join(left, "a").join(right, "b").select(F.col("c").alias("a"), F.col("d").alias("b")))
+    return labels
