@@ -37,8 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms of the same format and length."""
-    return pii.pseudonymise(docs, PII_KEY)
+    """Personal values become pseudonyms of the same format; ``n_chars`` follows, as addresses may change in length."""
+    done = pii.pseudonymise(docs, PII_KEY)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
