@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data (operator 3), DataFrame functions only.
 
 Personal values are found by pattern, validated (check digit, calendar, ranges) and permuted within their own format by a
-keyed Feistel network, so equal values stay equal in every document, different ones stay different, lengths and
-separators stay, and the key holder can undo it. A network works on pairs (left, right) of numbers below
+keyed Feistel network, so equal values stay equal in every document, different ones stay different, separators
+stay (lengths too, but for IPv4 addresses), and the key holder can undo it. A network works on pairs (left, right) of numbers below
 two radices and adds, in turn, a keyed hash of one to the other; the radices multiply to the exact number of
 values of a format, so no value leaves it:
 
