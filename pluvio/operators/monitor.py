@@ -30,7 +30,7 @@ def _worst_name(severity: Column) -> Column:
 
 def _with_color(df: DataFrame, flag: DataFrame, name: str) -> DataFrame:
     colors = flag.select(F.col("name").alias(name), "color")
-    return df.join(F.broadcast(colors), name, "left")  # four fixed rows
+    return df.join(colors, name, "left")
 
 
 def _flag_counts() -> list[Column]:
