@@ -3,8 +3,10 @@
 A document is the set of its word n-grams, as 64-bit hashes. Documents with equal sets are one node. Two sets link when
 their intersection is at least ``num``/``den`` of their union; their difference then holds at most
 (den - num) / (den + num) of both sizes together. That bound makes the blocks: hash ranges part the n-grams into more segments
-than the difference can touch, so linked sets agree on a whole segment, and only sets that share one, by its
-content, come into one block. Sizes that can't reach each other never meet.
+than the difference can touch, so linked sets agree on a known number k of whole segments, by their content. A set
+leaves out its k - 1 most frequent segments, by one order for all sets: the rarest one that a linked pair agrees on
+then stays in both. Only sets that share one that stayed come into one block, so passages that many documents hold
+don't chain them together. Sizes that can't reach each other never meet.
 
 Each block then multiplies its document by n-gram incidence matrix with its transpose: frequent n-grams as dense
 columns, the others by adding up pairs, for a panel of documents at a time, and only against sizes within the bound.
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.llm.common import fresh, kept, ship
@@ -40,7 +42,9 @@ PANEL = 512
 DENSE = 32
 COLUMNS = 4096
 MEMO = 1 << 17
-SETS = "id {id}, key long, n long, node long, segments array<long>"
+# Low bits of a segment's hash hold its size class.
+CLASS_BITS = 7
+SETS = "id {id}, key long, n long, node long, segments array<long>, spare array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,9 +88,10 @@ def _bounds() -> list[int]:
     return out
 
 
-def segments(grams: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """Hashes of segment contents, of which linked sets share at least one; none where only equal sets link."""
-    bounds, n, out = _bounds(), len(grams), []
+def segments(grams: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], list[int]]:
+    """Hashes of segment contents by size class, none where only equal sets link; and per class, above its number,
+    how many of them the set can spare: linked sets share more than either one's spare segments."""
+    bounds, n, out, spare = _bounds(), len(grams), [], []
     largest = n * den // num
     for c in range(bisect_right(bounds, n) - 1, bisect_right(bounds, largest)):
         differ = (den - num) * 2 * (bounds[c + 1] - 1) // (den + num)
@@ -98,24 +103,28 @@ def segments(grams: np.ndarray, num: int, den: int) -> list[np.ndarray]:
         order = np.argsort(part, kind="stable")
         filled, first = np.unique(part[order], return_index=True)
         content = np.add.reduceat(_mix(mixed[order]), first)
+        # each differing n-gram spoils one segment; those empty in this set are the most that both can have empty
+        spare.append(max(len(filled) - differ - 1, 0) << CLASS_BITS | c)
         if parts - len(filled) >= parts - differ:  # linked sets might agree on empty segments only
             whole = np.zeros(parts, np.uint64)
             whole[filled] = content
             filled, content = np.arange(parts), whole
-        out.append(_mix(content ^ _mix(filled.astype(np.uint64) * np.uint64(1 << 8) + np.uint64(c))))
-    return out
+        hashes = _mix(content ^ _mix(filled.astype(np.uint64) * np.uint64(1 << 8) + np.uint64(c)))
+        out.append(hashes >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS) | np.uint64(c))
+    return out, spare
 
 
 def _sets(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sizes, nodes, parts = [], [], []
+            sizes, nodes, parts, spares = [], [], [], []
             for text in batch.column(2).to_pylist():
                 grams = shingle(text)
                 sizes.append(len(grams))
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63))
-                own = segments(grams, num, den) if len(grams) else []
+                own, spare = segments(grams, num, den) if len(grams) else ([], [])
+                spares.append(spare)
                 parts.append(np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = np.concatenate([*parts, np.empty(0, np.int64)])
@@ -126,8 +135,9 @@ def _sets(words: int, num: int, den: int):
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    pa.array(spares, pa.list_(pa.int64())),
                 ],
-                names=["id", "key", "n", "node", "segments"],
+                names=["id", "key", "n", "node", "segments", "spare"],
             )
 
     return run
@@ -211,13 +221,10 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id:
     sets = kept(source.mapInArrow(_sets(words, num, den), SETS.format(id=kind)), "sets")
     # copies agree on all segments: one row of each set stands for them
     first = sets.filter("n > 0").groupBy("node").agg(
-        F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.first("segments").alias("segments")
+        F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.first("segments").alias("segments"), F.first("spare").alias("spare")
     )
     first = kept(first, "nodes")
-    parts = first.select("node", F.explode("segments").alias("segment"))
-    shared = parts.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    meet = parts.join(shared, "segment").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    blocks = components(meet)
+    blocks = components(_meet(first))
     members = first.select("node", "n", "first.*").join(blocks, "node")
     sizes = members.groupBy("root").agg(
         F.greatest(F.ceil(F.sum("n") / SLICE_GRAMS), F.ceil(F.count("*") / SLICE_DOCS)).cast("int").alias("slices")
@@ -244,6 +251,23 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id:
     )
 
 
+def _meet(first: DataFrame) -> DataFrame:
+    """(a, b): nodes that share a segment which neither spares, each with the lowest one of that segment."""
+    parts = first.select("node", F.explode("segments").alias("segment"))
+    often = parts.groupBy("segment").agg(F.count("*").alias("often")).filter("often > 1")
+    mask = F.lit((1 << CLASS_BITS) - 1)
+    shared = parts.join(often, "segment").withColumn("class", F.col("segment").bitwiseAND(mask))
+    spare = first.select("node", F.explode("spare").alias("s")).select(
+        "node", F.col("s").bitwiseAND(mask).alias("class"), F.shiftright("s", CLASS_BITS).alias("spare")
+    )
+    # the segments of one document in one size class; those that no other has are the rarest and need no rank
+    ordered = Window.partitionBy("node", "class").orderBy(F.desc("often"), "segment")
+    ranked = shared.withColumn("rank", F.row_number().over(ordered)).join(spare, ["node", "class"])
+    stay = kept(ranked.filter("rank > spare").select("node", "segment"), "segments")
+    lowest = stay.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return stay.join(lowest, "segment").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
 def _grams_of(words: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingle = Shingler(words)
