@@ -282,3 +282,34 @@ def test_classifiers_on_odd_rows(spark, odd_docs, module):
     for own in (labels, labels.limit(0)):
         scored = module.score(odd_docs, module.fit(odd_docs, own))
         assert all(0 <= r.score <= 1 for r in scored.collect()) and scored.count() == 9
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (90, 100)])
+def test_linked_sets_keep_a_common_segment(num, den):
+    """Whatever the frequencies, the segments left after each set's spare ones still meet."""
+    rng = np.random.default_rng(num)
+    mask = (1 << ngram_join.CLASS_BITS) - 1
+
+    def stay(grams, often):
+        parts, spare = ngram_join.segments(np.unique(grams), num, den)
+        left = {s & mask: s >> ngram_join.CLASS_BITS for s in spare}
+        out = set()
+        for own in parts:
+            ordered = sorted(own.tolist(), key=lambda h: (often(h), h))
+            out |= set(ordered[left[ordered[0] & mask] :])
+        return out
+
+    for n in [*range(1, 60), 100, 333, 1000] * 3:
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        # the most that two sets of these sizes may differ by
+        gone = int(rng.integers(0, n + 1))
+        while True:
+            added = rng.integers(0, 1 << 62, int(rng.integers(0, gone + 1))).astype(np.uint64)
+            if den * (n - gone) >= num * (n + len(added)):
+                break
+            gone //= 2
+        other = np.concatenate([base[gone:], added])
+        if gone + len(added):
+            salt = int(rng.integers(1, 1 << 30))
+            often = lambda h, salt=salt: (h * salt >> 20) % 97
+            assert stay(base, often) & stay(other, often), (n, gone, len(added))
