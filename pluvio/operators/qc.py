@@ -170,7 +170,7 @@ def step_flag() -> Column:
     found = F.col("step_min").isNotNull() & F.col("step_max").isNotNull()
     return (
         F.when(~found, NOT_CHECKED)
-        .when(F.col("seconds") != F.col("diff_seconds"), NOT_CHECKED)
+        .when(~F.col("seconds").eqNullSafe(F.col("diff_seconds")), NOT_CHECKED)
         .when(F.col("diff_value").between(F.col("step_min"), F.col("step_max")), GOOD)
         .otherwise(BAD)
     )
@@ -180,7 +180,7 @@ def step_message() -> Column:
     found = F.col("step_min").isNotNull() & F.col("step_max").isNotNull()
     return (
         F.when(~found, NOT_FOUND)
-        .when(F.col("seconds") != F.col("diff_seconds"), NO_NEIGHBOUR)
+        .when(~F.col("seconds").eqNullSafe(F.col("diff_seconds")), NO_NEIGHBOUR)
         .otherwise(F.col("step_description"))
     )
 

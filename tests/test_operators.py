@@ -161,3 +161,18 @@ def test_known_waves_are_found(spark):
     rows = signal.wave_components(signal.in_windows(df, 30)).orderBy("component").collect()
     assert [(round(r.frequency, 6), round(r.amplitude, 6)) for r in rows] == [(0.1, 2.0), (0.25, 0.5)]
     assert [round(r.phase, 3) for r in rows] == [28.648, 57.296]
+
+
+def test_step_of_unknown_interval(spark):
+    """A reading without an interval is not judged by its difference; one at its interval is."""
+    rows = spark.createDataFrame(
+        [(1, None, 3600, 50.0), (2, 3600, 3600, 50.0), (3, 3600, 3600, 1.0), (4, 3600, 7200, 1.0)],
+        "id int, seconds int, diff_seconds long, diff_value double",
+    ).selectExpr("*", "-2.0D AS step_min", "2.0D AS step_max", "'limits' AS step_description")
+    got = {r.id: (r.flag, r.message) for r in rows.select("id", qc.step_flag().alias("flag"), qc.step_message().alias("message")).collect()}
+    assert got == {
+        1: (qc.NOT_CHECKED, qc.NO_NEIGHBOUR),
+        2: (qc.BAD, "limits"),
+        3: (qc.GOOD, "limits"),
+        4: (qc.NOT_CHECKED, qc.NO_NEIGHBOUR),
+    }
