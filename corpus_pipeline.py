@@ -46,7 +46,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids as packed little-endian unsigned 32-bit integers, their number, and whether they decode to the text."""
     codec = bpe.SharedCodec(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids, decoded, n_tokens, exact = fresh(docs, "ids", "decoded", "n_tokens", "round_trip")
-    tokens = bpe.decode(bpe.encode(docs, codec, ids=ids), codec, ids, decoded)
+    tokens = bpe.round_trip(docs, codec, ids=ids, decoded=decoded)
     same = F.col(decoded) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return tokens.withColumns({n_tokens: F.expr(f"octet_length({ids}) div 4"), exact: same}).drop(decoded)
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import ship
+from pluvio.llm.common import fresh, ship
 from pluvio.llm.pieces import splitter
 
 # Entries each memory of an earlier answer may hold before it starts anew; results don't depend on it.
@@ -195,7 +195,8 @@ class SharedCodec:
     def get(self, kind: type) -> Encoder | Decoder:
         key = (self.key, kind.__name__)
         if key not in _MADE:
-            _MADE.clear()
+            for other in [made for made in _MADE if made[0] != self.key]:
+                del _MADE[other]
             _MADE[key] = kind(*self.tables.value)
         return _MADE[key]
 
@@ -218,3 +219,19 @@ def encode(docs: DataFrame, codec: SharedCodec, text: str = "text", ids: str = "
 def decode(tokens: DataFrame, codec: SharedCodec, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the bytes that the packed ids stand for."""
     return tokens.withColumn(decoded, _mapped(codec, Decoder, "decode")(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, codec: SharedCodec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both columns of ``encode`` and ``decode`` from one worker, where two would hold the tables and pass the ids on."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = codec.get(Encoder), codec.get(Decoder)
+        for batch in batches:
+            packed = [encoder.encode(value) for value in batch]
+            back = [decoder.decode(value) for value in packed]
+            yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(back, dtype=object)})
+
+    (both,) = fresh(docs, "both")
+    done = docs.withColumn(both, run(F.col(text)))
+    return done.withColumns({ids: F.col(f"`{both}`.ids"), decoded: F.col(f"`{both}`.decoded")}).drop(both)

@@ -313,3 +313,12 @@ def test_linked_sets_keep_a_common_segment(num, den):
             salt = int(rng.integers(1, 1 << 30))
             often = lambda h, salt=salt: (h * salt >> 20) % 97
             assert stay(base, often) & stay(other, often), (n, gone, len(added))
+
+
+def test_bpe_in_one_worker(spark):
+    """One worker for both directions gives what two give, on odd rows and with taken names."""
+    df = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "Zwei  Wörter 12\n", "y")] * 2, "doc_id long, text string, both string")
+    codec = bpe.SharedCodec(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    one, two = bpe.round_trip(df, codec), bpe.decode(bpe.encode(df, codec), codec)
+    assert one.columns == two.columns
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
