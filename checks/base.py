@@ -54,6 +54,12 @@ def r2(x: str, digits: int = 2) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
 
 
+def r2e(x: str, digits: int = 2) -> str:
+    """Ties to even: only a tie differs from rounding half up, and half of it never is one."""
+    d = f"CAST({x} AS DECIMAL(28,10))"
+    return f"CAST(CASE WHEN abs(({d} * {10**digits}) % 1) = 0.5 THEN round({d} / 2, {digits}) * 2 ELSE round({d}, {digits}) END AS DOUBLE)"
+
+
 def t2(x: str) -> str:
     return f"(CAST(floor(CAST({x} AS DECIMAL(28,10)) * 100) AS DOUBLE) / 100)"
 

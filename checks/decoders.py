@@ -453,15 +453,18 @@ def frames(events):
     return events.select(F.unhex(text).alias("frame"))
 
 
-register(
-    "decode_lightning_frames",
-    lambda t: lightning.decode_lightning_frames(frames(t.raw("events"))),
-    """SELECT CASE WHEN event_id % 3 = 0 THEN 'CG' ELSE 'IC' END AS type, ts AS datetime, la / 1e7 AS latitude, lo / 1e7 AS longitude,
+STROKES = """SELECT CASE WHEN event_id % 3 = 0 THEN 'CG' ELSE 'IC' END AS type, ts AS datetime, la / 1e7 AS latitude, lo / 1e7 AS longitude,
       event_id % 40000 - 20000 AS peak_current, event_id % 15000 AS ic_height, event_id % 12 + 4 AS num_sensors, event_id % 5 AS ic_multiplicity,
       event_id % 4 AS cg_multiplicity, ts - INTERVAL 1 SECOND AS start_datetime, event_id % 900 AS duration, (la + 1000) / 1e7 AS ul_latitude,
       (lo - 1000) / 1e7 AS ul_longitude, (la - 1000) / 1e7 AS lr_latitude, (lo + 1000) / 1e7 AS lr_longitude
-    FROM (SELECT *, 148000000 + event_id * 37 % 4400 * 10000 AS la, -902000000 + event_id * 53 % 3400 * 10000 AS lo FROM events WHERE event_id % 17 <> 0)
-    WHERE la BETWEEN 150000000 AND 190000000 AND lo BETWEEN -900000000 AND -870000000""",
+    FROM (SELECT *, 148000000 + event_id * 37 % 4400 * 10000 AS la, -902000000 + event_id * 53 % 3400 * 10000 AS lo FROM events WHERE event_id % 17 <> 0)"""
+# South, north, west, east.
+AREA = (15.0, 19.0, -90.0, -87.0)
+register("decode_lightning_frames", lambda t: lightning.decode_lightning_frames(frames(t.raw("events"))), STROKES)
+register(
+    "decode_lightning_area",
+    lambda t: lightning.decode_lightning_frames(frames(t.raw("events")), area=AREA),
+    STROKES + " WHERE la BETWEEN 150000000 AND 190000000 AND lo BETWEEN -900000000 AND -870000000",
 )
 
 

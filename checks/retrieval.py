@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from checks.base import AS_OF, PICK_LISTING, PICK_REPORT, r2
+from checks.base import AS_OF, PICK_LISTING, PICK_REPORT, r2e
 from checks.registry import register
 from checks.summaries import ASOF, daily, hourly, latest
 from pluvio.operators import gapfill, retrieve, summary
@@ -17,15 +17,15 @@ LATEST = """SELECT station_id, variable_id, datetime AS last_data_datetime, meas
 register(
     "raw_list",
     lambda t: retrieve.raw_list(t.obs(), t.variable(), t.unit(), t.flag()),
-    f"""SELECT station_id, variable_id, datetime, CASE WHEN lower(v.variable_type) <> 'code' THEN {r2('measured')} END AS value,
+    f"""SELECT station_id, variable_id, datetime, CASE WHEN lower(v.variable_type) <> 'code' THEN {r2e('measured')} END AS value,
       CASE WHEN lower(v.variable_type) = 'code' THEN code END AS code, {NAMES}, f.symbol AS flag_symbol
     FROM obs a {VU.format(left='LEFT')} JOIN flag f ON f.id = quality_flag""",
 )
 
 
 def list_sql(table: str, at: str) -> str:
-    return f"""SELECT a.{at}, station_id, variable_id, {r2(PICK_LISTING)} AS value, {r2('min_value')} AS min, {r2('max_value')} AS max,
-      {r2('avg_value')} AS avg, {r2('sum_value')} AS sum, num_records AS count, {NAMES} FROM {table} a {VU.format(left='')}"""
+    return f"""SELECT a.{at}, station_id, variable_id, {r2e(PICK_LISTING)} AS value, {r2e('min_value')} AS min, {r2e('max_value')} AS max,
+      {r2e('avg_value')} AS avg, {r2e('sum_value')} AS sum, num_records AS count, {NAMES} FROM {table} a {VU.format(left='')}"""
 
 
 register("hourly_list", lambda t: retrieve.summary_list(hourly(t), t.variable(), t.unit(), "hourly"), list_sql("hourly", "datetime"))
@@ -53,8 +53,8 @@ def last24(t):
 register(
     "last24_list",
     lambda t: retrieve.last24_list(last24(t), t.variable(), t.unit()),
-    f"""SELECT station_id, variable_id, {PICK24} AS value, {r2('min_value')} AS min, {r2('max_value')} AS max,
-      {r2('avg_value')} AS avg, {r2('sum_value')} AS sum, num_records AS count, {NAMES} FROM last24 a {VU.format(left='')}""",
+    f"""SELECT station_id, variable_id, {PICK24} AS value, {r2e('min_value')} AS min, {r2e('max_value')} AS max,
+      {r2e('avg_value')} AS avg, {r2e('sum_value')} AS sum, num_records AS count, {NAMES} FROM last24 a {VU.format(left='')}""",
 )
 NEWEST = """SELECT * FROM lastrow l WHERE last_data_value IS NOT NULL AND last_data_datetime = (SELECT max(m.last_data_datetime) FROM lastrow m
    WHERE m.station_id = l.station_id AND m.last_data_value IS NOT NULL)"""
@@ -137,14 +137,14 @@ register(
     FROM obs JOIN station s ON s.id = station_id WHERE datetime >= TIMESTAMP '2024-01-01' AND datetime <= TIMESTAMP '2024-01-31'""",
 )
 
-RAW_REPORT = f"""SELECT m.name AS measurement_variable, v.symbol AS variable_symbol, station_id, epoch_ms(datetime) AS epoch_ms, {r2('measured')} AS value,
+RAW_REPORT = f"""SELECT m.name AS measurement_variable, v.symbol AS variable_symbol, station_id, epoch_ms(datetime) AS epoch_ms, {r2e('measured')} AS value,
    u.symbol AS unit_symbol, v.color, f.name AS flag_name, f.color AS flag_color
    FROM obs a {VU.format(left='')} JOIN measurement_variable m ON m.id = v.measurement_variable_id JOIN flag f ON f.id = quality_flag"""
 
 
 def report_sql(table: str, at: str) -> str:
     return f"""SELECT m.name AS measurement_variable, v.symbol AS variable_symbol, station_id, epoch_ms(CAST(a.{at} AS TIMESTAMP)) AS epoch_ms,
-      {r2(PICK_REPORT)} AS value, u.symbol AS unit_symbol, v.color, NULL AS flag_name, NULL AS flag_color
+      {r2e(PICK_REPORT)} AS value, u.symbol AS unit_symbol, v.color, NULL AS flag_name, NULL AS flag_color
       FROM {table} a {VU.format(left='')} JOIN measurement_variable m ON m.id = v.measurement_variable_id"""
 
 
@@ -162,7 +162,7 @@ register(
     lambda t: retrieve.compare_stations(
         hourly(t), "hourly", t.station_variable(), t.station(), t.variable(), t.unit()
     ),
-    f"""SELECT s.name AS station_name, v.name AS variable_name, a.station_id, epoch_ms(datetime) AS epoch_ms, {r2(PICK_REPORT)} AS value,
+    f"""SELECT s.name AS station_name, v.name AS variable_name, a.station_id, epoch_ms(datetime) AS epoch_ms, {r2e(PICK_REPORT)} AS value,
       u.symbol AS unit_symbol, v.color, NULL AS flag_name, NULL AS flag_color
     FROM hourly a {VU.format(left='')} JOIN sv USING (station_id, variable_id) JOIN station s ON s.id = a.station_id""",
 )

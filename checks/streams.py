@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import AGG, VALID
-from checks.decoders import frames, logger_format, logger_lines
+from checks.decoders import AREA, frames, logger_format, logger_lines
 from checks.registry import register
 from checks.summaries import ASOF
 from pluvio import schema
@@ -74,7 +74,7 @@ STROKES = """SELECT CASE WHEN event_id % 3 = 0 THEN 'CG' ELSE 'IC' END AS type,
   WHERE la BETWEEN 150000000 AND 190000000 AND lo BETWEEN -900000000 AND -870000000"""
 register(
     "stream_lightning",
-    lambda t: appended(t, jobs.lightning_counts(frames(events(t)), "10 minutes"), "lightning"),
+    lambda t: appended(t, jobs.lightning_counts(frames(events(t)), "10 minutes", area=AREA), "lightning"),
     """SELECT date_trunc('hour', ts) AS window_start, type, count(*) AS strokes, max(peak) AS strongest FROM strokes GROUP BY 1, 2
     HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE FROM strokes)""",
     strokes=STROKES,

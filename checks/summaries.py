@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from checks.base import AS_OF, r2, t2
+from checks.base import AS_OF, r2, r2e, t2
 from checks.registry import register
 from pluvio.operators import climatology, inventory, monitor, stats, summary
 
@@ -105,8 +105,8 @@ PART = "PARTITION BY station_id, variable_id, month, day_of_month"
 
 
 def extreme_sql(value: str, order: str, mean: bool) -> str:
-    extra = f", {r2(f'avg({value}) OVER ({PART})')} AS value" if mean else ""
-    return f"""SELECT station_id, variable_id, month, day_of_month, {value} AS agg_value, year, count(*) OVER ({PART}) AS years {extra}
+    extra = f", {r2e(f'avg({value}) OVER ({PART})')} AS value" if mean else ""
+    return f"""SELECT station_id, variable_id, month, day_of_month, {r2e(value)} AS agg_value, year, count(*) OVER ({PART}) AS years {extra}
       FROM cdays QUALIFY rank() OVER ({PART} ORDER BY {value} {order}) = 1"""
 
 
@@ -120,7 +120,7 @@ for kind, (fn, text) in EXTREMES.items():
 register(
     "daily_means",
     lambda t: climatology.daily_means(t.climate_daily()),
-    f"SELECT station_id, variable_id, month, day_of_month, {r2('avg(avg_value)')} AS value FROM cdays GROUP BY 1, 2, 3, 4",
+    f"SELECT station_id, variable_id, month, day_of_month, {r2e('avg(avg_value)')} AS value FROM cdays GROUP BY 1, 2, 3, 4",
     cdays=DAYS,
 )
 
@@ -138,9 +138,9 @@ register(
     f"""SELECT station_id, variable_id, month, 'accumulation' AS kind, max(agg_value) AS agg_value,
         arg_min(year, {{'v': -agg_value, 'd': day_of_month, 'y': year}}) AS year, NULL AS value FROM xa GROUP BY 1, 2, 3
     UNION ALL SELECT station_id, variable_id, month, 'maximum', max(agg_value),
-        arg_min(year, {{'v': -agg_value, 'd': day_of_month, 'y': year}}), {r2('avg(value)')} FROM xmax GROUP BY 1, 2, 3
+        arg_min(year, {{'v': -agg_value, 'd': day_of_month, 'y': year}}), {r2e('avg(value)')} FROM xmax GROUP BY 1, 2, 3
     UNION ALL SELECT station_id, variable_id, month, 'minimum', min(agg_value),
-        arg_min(year, {{'v': agg_value, 'd': day_of_month, 'y': year}}), {r2('avg(value)')} FROM xmin GROUP BY 1, 2, 3""",
+        arg_min(year, {{'v': agg_value, 'd': day_of_month, 'y': year}}), {r2e('avg(value)')} FROM xmin GROUP BY 1, 2, 3""",
     cdays=DAYS,
     xa=EXTREMES["accumulation"][1],
     xmax=EXTREMES["maximum"][1],
@@ -170,10 +170,9 @@ register(
 )
 register(
     "inventory_by_station",
-    lambda t: inventory.inventory_by_station(completeness(t), t.station_variable(), t.variable(), 2023, 2025, 3),
+    lambda t: inventory.inventory_by_station(completeness(t), t.station_variable(), t.variable(), 2023, 2025),
     f"""SELECT CAST(year(day) AS INT) AS year, c.station_id, c.variable_id, n.name, {SHARE} AS percentage
-    FROM completeness c JOIN (SELECT station_id, variable_id, name FROM sv JOIN variable v ON v.id = variable_id
-      QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY name, variable_id) <= 3) n USING (station_id, variable_id)
+    FROM completeness c JOIN (SELECT station_id, variable_id, name FROM sv JOIN variable v ON v.id = variable_id) n USING (station_id, variable_id)
     GROUP BY ALL""",
 )
 register(

@@ -97,6 +97,11 @@ def round_half_up(x: ColumnOrName, digits: int) -> Column:
     return F.round(col(x).cast("decimal(28,10)"), digits).cast("double")
 
 
+def round_half_even(x: ColumnOrName, digits: int) -> Column:
+    """Decimal rounding with exact ties to the even neighbour, as lists, reports and extremes show it."""
+    return F.bround(col(x).cast("decimal(28,10)"), digits).cast("double")
+
+
 def trunc_to(x: ColumnOrName, digits: int) -> Column:
     """Cut off after ``digits`` decimals (non-negative input)."""
     scale = 10**digits

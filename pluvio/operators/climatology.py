@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.functions.columns import not_missing, round_half_up
+from pluvio.functions.columns import not_missing, round_half_even
 from pluvio.functions.series import complete_rolling_sum
 from pluvio.schema import SERIES
 from pluvio.operators.summary import between
@@ -18,9 +20,9 @@ def _days(daily: DataFrame, month: int | None, first_year: int | None, last_year
     if month is not None:
         days = days.filter(F.month("day") == month)
     if first_year is not None:
-        days = days.filter(F.year("day") >= first_year)
+        days = days.filter(F.col("day") >= F.lit(dt.date(first_year, 1, 1)))
     if last_year is not None:
-        days = days.filter(F.year("day") <= last_year)
+        days = days.filter(F.col("day") < F.lit(dt.date(last_year + 1, 1, 1)))
     return days.select(
         "*", F.month("day").alias("month"), F.dayofmonth("day").alias("day_of_month"), F.year("day").alias("year")
     )
@@ -32,9 +34,9 @@ def _extremes(days: DataFrame, value: str, order, mean: bool) -> DataFrame:
     ranked = days.withColumn("_rank", F.rank().over(same_day.orderBy(order))).withColumn(
         "years", F.count(F.lit(1)).over(same_day)
     )
-    columns = [*DAY_OF_MONTH, F.col(value).alias("agg_value"), "year", "years"]
+    columns = [*DAY_OF_MONTH, round_half_even(value, 2).alias("agg_value"), "year", "years"]
     if mean:
-        ranked = ranked.withColumn("value", round_half_up(F.avg(value).over(same_day), 2))
+        ranked = ranked.withColumn("value", round_half_even(F.avg(value).over(same_day), 2))
         columns.append("value")
     return ranked.filter("_rank = 1").select(*columns)
 
@@ -56,7 +58,7 @@ def daily_means(daily, month=None, first_year=None, last_year=None) -> DataFrame
     return (
         _days(daily, month, first_year, last_year)
         .groupBy(*DAY_OF_MONTH)
-        .agg(round_half_up(F.avg("avg_value"), 2).alias("value"))
+        .agg(round_half_even(F.avg("avg_value"), 2).alias("value"))
     )
 
 
@@ -71,7 +73,7 @@ def extremes_month_summary(extremes: DataFrame, kind: str) -> DataFrame:
     first = F.min(F.struct((sign * F.col("agg_value")).alias("v"), "day_of_month", "year"))
     aggs = [first.alias("_x"), F.count(F.lit(1)).alias("rows")]
     if kind != "accumulation":
-        aggs.append(round_half_up(F.avg("value"), 2).alias("value"))
+        aggs.append(round_half_even(F.avg("value"), 2).alias("value"))
     out = extremes.groupBy(*SERIES, "month").agg(*aggs)
     return out.select(
         *SERIES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import accepted, at_midnight, day_of_week, round_half_up, slug, trunc_to, ts
@@ -46,16 +46,11 @@ def inventory_by_station(
     variable: DataFrame,
     start_year: int,
     end_year: int,
-    record_limit: int | None = None,
 ) -> DataFrame:
-    """Yearly share per variable, for the first ``record_limit`` variables of each station by name."""
+    """Yearly share per registered variable of each station."""
     names = station_variable.select(*SERIES).join(
         variable.select(F.col("id").alias("variable_id"), "name"), "variable_id"
     )
-    if record_limit is not None:
-        # registered variables of one station: bounded by the variable table
-        by_name = Window.partitionBy("station_id").orderBy("name", "variable_id")
-        names = names.withColumn("_n", F.row_number().over(by_name)).filter(F.col("_n") <= record_limit).drop("_n")
     shares = (
         _years(completeness, start_year, end_year)
         .groupBy(F.year("day").alias("year"), *SERIES)

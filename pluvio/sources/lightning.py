@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 FRAME_BYTES = 56
 STROKE = 0x38
-# Area kept, degrees.
-SOUTH, NORTH, WEST, EAST = 15.0, 19.0, -90.0, -87.0
 
 # Layout of a frame.
 LAYOUT = [
@@ -38,8 +36,10 @@ PLACES = ["latitude", "longitude", "ul_latitude", "ul_longitude", "lr_latitude",
 COUNTS = ["peak_current", "ic_height", "num_sensors", "ic_multiplicity", "cg_multiplicity", "duration"]
 
 
-def decode_lightning_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
-    """Strokes inside the area; other frame types (keep-alive) and cut frames are skipped.
+def decode_lightning_frames(
+    frames: DataFrame, frame: str = "frame", area: tuple[float, float, float, float] | None = None
+) -> DataFrame:
+    """Strokes, all or those inside ``area`` (south, north, west, east in degrees, ends included); other frame types (keep-alive) and cut frames are skipped.
 
     Spark has no built-in that reads integers out of binary; a chain of hex conversions per field
     took ten times as long as reading a whole Arrow batch with one fixed layout.
@@ -66,10 +66,12 @@ def decode_lightning_frames(frames: DataFrame, frame: str = "frame") -> DataFram
     )
     kind = F.hex(F.substring(F.col(frame), 1, 1)) == f"{STROKE:X}"
     strokes = frames.filter((F.length(frame) == FRAME_BYTES) & kind).select(F.col(frame))
+    decoded = strokes.mapInArrow(read, schema)
+    if area is not None:
+        south, north, west, east = area
+        decoded = decoded.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
     return (
-        strokes.mapInArrow(read, schema)
-        .filter(F.col("latitude").between(SOUTH, NORTH) & F.col("longitude").between(WEST, EAST))
-        .select(
+        decoded.select(
             F.when(F.col("in_cloud") == 0, "CG").otherwise("IC").alias("type"),
             F.timestamp_micros("at").alias("datetime"),
             "latitude",

@@ -21,8 +21,8 @@ def manifest_from_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_manifest_dedup(manifest: DataFrame, limit: int | None = None) -> DataFrame:
-    """Decision for each waiting file, oldest first.
+def file_manifest_dedup(manifest: DataFrame) -> DataFrame:
+    """Decision for each waiting file.
 
     A file is skipped while another file with the same content is neither failed nor skipped. Files
     are handled in id order, so of several waiting copies the last one is read. The copies are
@@ -30,10 +30,7 @@ def file_manifest_dedup(manifest: DataFrame, limit: int | None = None) -> DataFr
     """
     waiting = F.col("status_id").isin(NOT_PROCESSED, REPROCESS)
     queue = manifest.filter(waiting)
-    if limit is not None:
-        queue = queue.orderBy("id").limit(limit)
-    picked = queue.select("id").withColumn("_picked", F.lit(True))
-    marked = manifest.join(picked, "id", "left") if limit is not None else manifest.withColumn("_picked", waiting)
+    marked = manifest.withColumn("_picked", waiting)
     active = ~F.col("status_id").isin(ERROR, SKIPPED)
     per_hash = marked.groupBy("file_hash").agg(
         F.count_if(active & ~F.coalesce("_picked", F.lit(False))).alias("_active"),

@@ -114,8 +114,12 @@ def stream_last24h(
     """Readings to the store and a fresh last-day snapshot after each batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store.merge_obs(unique(batch), batch_id, write.insert_ignore)
-        snapshot_last24h(store, as_of()).write.mode("overwrite").parquet(out)
+        rows = unique(batch).persist()
+        try:
+            store.merge_obs(rows, batch_id, write.insert_ignore)
+            snapshot_last24h(store, as_of()).write.mode("overwrite").parquet(out)
+        finally:
+            rows.unpersist()
 
     return _start(readings.writeStream.foreachBatch(handle), checkpoint, trigger)
 
@@ -150,10 +154,12 @@ def unique_readings(readings: DataFrame, lateness: str) -> DataFrame:
     return readings.withWatermark("datetime", lateness).dropDuplicatesWithinWatermark(KEY)
 
 
-def lightning_counts(frames: DataFrame, lateness: str, width: str = "1 hour") -> DataFrame:
-    """Strokes per type and window inside the area."""
+def lightning_counts(
+    frames: DataFrame, lateness: str, width: str = "1 hour", area: tuple[float, float, float, float] | None = None
+) -> DataFrame:
+    """Strokes per type and window, all or those inside the area."""
     return (
-        decode_lightning_frames(frames)
+        decode_lightning_frames(frames, area=area)
         .withWatermark("datetime", lateness)
         .groupBy(F.window("datetime", width), "type")
         .agg(F.count(F.lit(1)).alias("strokes"), F.max(F.abs("peak_current")).alias("strongest"))

@@ -60,8 +60,11 @@ class Store:
         ).parquet(self._path(name))
 
     def days(self, name: str, days: DataFrame) -> DataFrame:
-        """Stored rows of the given days (one ``day`` column); prunes partitions at run time."""
-        return self.read(name).join(days.withColumnRenamed("day", self._part(name)).distinct(), self._part(name), "left_semi")
+        """Stored rows of the given days (one ``day`` column); the first and last of them prune the partitions."""
+        part = self._part(name)
+        first, last = days.agg(F.min("day"), F.max("day")).first()
+        stored = self.read(name).filter(F.col(part).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+        return stored.join(days.withColumnRenamed("day", part).distinct(), part, "left_semi")
 
     def merge_obs(
         self, batch: DataFrame, batch_id: int, rule: Callable[[DataFrame, DataFrame], DataFrame] = write.upsert_override

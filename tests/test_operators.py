@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pluvio.functions.columns import round_half_even
 from pluvio.operators import climatology, gapfill, qc, rating, retrieve, signal, spatial, summary, write
 
 T = dt.datetime
@@ -135,6 +136,12 @@ def test_report_span(spark):
     retrieve.check_span("monthly", "2000-01-01 00:00:00", "2024-01-09 00:00:00")
 
 
+def test_ties_to_even(spark):
+    df = spark.createDataFrame([(0.125,), (0.375,), (-0.125,), (1.236,), (None,)], "x double")
+    got = [r.y for r in df.select(round_half_even("x", 2).alias("y")).collect()]
+    assert got == [0.12, 0.38, -0.12, 1.24, None]
+
+
 def test_fine_export_grid(spark):
     pairs = spark.createDataFrame([(1, 1)], "station_id int, variable_id int")
     grid = gapfill._fine_grid(pairs, "2024-01-01 00:00:00", "2024-01-03 12:00:00", 7 * 60)

@@ -57,6 +57,17 @@ def test_replayed_batch_changes_nothing(spark, tables, tmp_path):
     assert same(store.table("hourly"), summary.hourly_summary(cleared))
 
 
+def test_only_near_days_are_read(spark, tables, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), schema.OBS)
+    store.merge_obs(one_per_key(tables.obs()), 0)
+    days = spark.sql("SELECT DATE'2024-01-05' AS day UNION ALL SELECT DATE'2024-01-07'")
+    found = store.days("obs", days)
+    assert {str(r.obs_date) for r in found.select("obs_date").distinct().collect()} == {"2024-01-05", "2024-01-07"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "obs_date" in plan and "2024-01-05" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert store.days("obs", days.limit(0)).isEmpty()
+
+
 def test_frame_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bin").write_bytes(frame() + frame(kind=0x39) + frame(lat=16.0))
