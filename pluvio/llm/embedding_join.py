@@ -4,7 +4,8 @@ On unit vectors a cosine of at least ``t`` is a distance of at most e = sqrt(2 -
 vectors, part the space: each vector's home is the cell of its nearest pivot. If y lies within e of x, whose
 home is i, the triangle inequality gives d(y, p_i) <= d(y, p_home(y)) + 2e, and as the border of
 two cells is a hyperplane, (d(y, p_i)^2 - d(y, p_home)^2) / 2 d(p_i, p_home) <= e; y is copied to all cells for which
-both hold. So the home cell of x has all its partners, and cells are joined independently, in slices of bounded
+both hold. The bound divides by the distance of two pivots, so of pivots closer than ``APART`` only the first is
+kept (scaled copies of one vector have one direction). So the home cell of x has all its partners, and cells are joined independently, in slices of bounded
 size: a crowded cell is split on both sides. Within a slice single-precision products choose pairs with a margin and
 double precision decides.
 
@@ -32,12 +33,24 @@ CELL, PIVOTS = 8192, 4096
 # Queries and targets of one slice at most, on average over the hash.
 QUERIES, TARGETS = 8192, 65536
 MARGIN = 1e-4
-SLACK = 1e-9
+# Rounding of distances, and the least distance of two pivots, far above it.
+SLACK, APART = 1e-7, 1e-2
 BLOCK = 512
 SLICE = "cell long, q int, t int, query boolean, node long, n long, vector binary"
 LINKS = "a long, b long, n long"
 
 
+def _separate(own: np.ndarray) -> np.ndarray:
+    """Unit vectors without those closer than ``APART`` to an earlier one that stays."""
+    stay = np.empty_like(own)
+    n = 0
+    for v in own:
+        if n == 0 or np.linalg.norm(stay[:n] - v, axis=1).min() >= APART:
+            stay[n] = v
+            n += 1
+    return stay[:n]
+
+
 def _places(pivots: dict[int, np.ndarray], threshold: float):
     """Cells of each vector: home first."""
     reach = np.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK
@@ -135,7 +148,7 @@ def near_duplicates(
     pivots: dict[int, np.ndarray] = {}
     for dim in {len(v) for v in drawn}:
         own = np.array([v for v in drawn if len(v) == dim], dtype=np.float64)
-        pivots[dim] = own / np.linalg.norm(own, axis=1, keepdims=True)
+        pivots[dim] = _separate(own / np.linalg.norm(own, axis=1, keepdims=True))
     members = distinct.select("node", "n", "v").mapInArrow(
         _places(pivots, threshold), "cell long, home boolean, node long, n long, vector binary"
     )

@@ -264,6 +264,21 @@ def test_embedding_join_of_odd_vectors(spark):
     assert all(got[i] == (0, i) for i in (4, 5, 6, 7, 8, 9, 10, 13))
 
 
+def test_embedding_join_of_scaled_copies(spark, monkeypatch):
+    """Several pivots of (nearly) one direction: all copies link, to each other and to what lies at the threshold."""
+    monkeypatch.setattr(embedding_join, "CELL", 20)
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=6)
+    scaled = [hot * x for x in rng.uniform(0.1, 10, 150)]
+    near = [hot + rng.normal(size=6) * x for x in (1e-15, 1e-9, 1e-6, 1e-3, 0.3) for _ in range(30)]
+    vectors = np.array([*scaled, *near, *rng.normal(size=(150, 6))])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    found = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.id: r.n_links for r in found} == dict(enumerate(want.tolist()))
+
+
 @pytest.mark.parametrize("name,label,least", [("op7_toxicity", "toxic", 0.9), ("op8_quality", "quality", 0.9)])
 def test_classifiers_hold_out(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
