@@ -9,9 +9,13 @@ bucket, become one symbol, the fragments of many buckets are put together, and t
 the grouping construction of ``suffix_array``, brings equal windows next to each other, where they are
 compared symbol by symbol.
 
+A bucket that more than ``CROWD`` occurrences share is not sorted: a long passage that many documents hold, each with
+other text around it, has as many distinct fragments at its edges. Its windows are dealt out one by one and counted by
+content, which combines before the shuffle, so no task holds the bucket.
+
 Matches never cross documents; overlapping occurrences count; windows are judged on the input. Nulls and
 texts shorter than a window keep all bytes. Rows that repeat (same id, same text) are copies of each other.
-Texts are read in slices, whole. Fragments and anchors are told apart by 64-bit hashes.
+Texts are read in slices, whole. Fragments and anchors are told apart by 64-bit hashes, windows of a crowded bucket by two.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.functions.joins import lookup
 from pluvio.llm.common import fresh, kept, ship
 from pluvio.llm.suffix_array import suffix_array
 
@@ -32,6 +37,8 @@ WINDOW, CORE = 400, 200
 RUNS = WINDOW - CORE + 1  # places of an anchor in a window
 # Windows of one slice of a text, and fragments and symbols sorted at once (more only within one bucket).
 SLICE, SORTED = 1 << 17, 300_000
+# Occurrences of an anchor whose distinct fragments are sorted in one bucket.
+CROWD = 1000
 # Odd, so that its powers have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -93,6 +100,29 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the fragments, named by two hashes."""
+    numbers, power, inverse = _tables()
+    other = _mix(numbers)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            some = batch.slice(k, 256)
+            lows, hashes = [], ([], [])
+            for data in some.column("data").to_pylist():
+                raw = np.frombuffer(data, np.uint8)
+                n = len(raw) - WINDOW + 1
+                lows.append(np.arange(n))
+                for own, into in zip((numbers, other), hashes):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own[raw] * power[: len(raw)], dtype=np.uint64)])
+                    into.append(_mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:n]).view(np.int64))
+            of = pa.array(np.repeat(np.arange(len(lows)), [len(x) for x in lows]))
+            low, a, b = np.concatenate(lows), np.concatenate(hashes[0]), np.concatenate(hashes[1])
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c).take(of) for c in ("anchor", "fragment", "n")), pa.array(low, pa.int32()), pa.array(a), pa.array(b)],
+                names=["anchor", "fragment", "n", "low", "a", "b"],
+            )
+
+
 def _repeated(bucket: list[int], pieces: list[bytes], shapes: list[int], times: list[int]) -> list[np.ndarray]:
     """For each fragment, which of its windows occur twice; ``bucket`` numbers the buckets."""
     symbols: list[int] = []
@@ -159,9 +189,9 @@ def _sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(rows)
 
 
-def repeated_spans(docs: DataFrame, row: Column, text: str) -> DataFrame:
-    """(row, spans): merged byte ranges [start, end) that strings occurring twice cover."""
-    source = docs.select(row.alias("row"), F.col(text).alias("text"))
+def shared_fragments(source: DataFrame) -> DataFrame:
+    """Occurrences (row, anchor, fragment, start, shape) of anchors that occur again; ``mixed`` where the anchor has several
+    fragments, and ``crowded`` where these are too many occurrences for one bucket."""
     seen = kept(
         source.mapInArrow(_occurrences, "row long, anchor long, fragment long, start int, shape int"), "fragments"
     )
@@ -169,13 +199,17 @@ def repeated_spans(docs: DataFrame, row: Column, text: str) -> DataFrame:
         seen.groupBy("anchor")
         .agg(F.count("*").alias("n"), (F.min("fragment") < F.max("fragment")).alias("mixed"))
         .filter("n > 1")
-        .select("anchor", "mixed")
+        .select("anchor", "mixed", (F.col("mixed") & (F.col("n") > CROWD)).alias("crowded"))
     )
-    shared = kept(seen.join(often, "anchor"), "shared")
-    mixed = shared.filter("mixed").groupBy("anchor", "fragment").agg(
+    return kept(seen.join(often, "anchor"), "shared")
+
+
+def pieces(source: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(anchor, fragment, n, shape, data): the bytes of each distinct fragment, cut from one of its texts."""
+    distinct = occurrences.groupBy("anchor", "fragment").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "start", "shape")).alias("f")
     )
-    wanted = mixed.groupBy(F.col("f.row").alias("row")).agg(
+    wanted = distinct.groupBy(F.col("f.row").alias("row")).agg(
         F.collect_list(F.struct("anchor", "fragment", "n", "f.start", "f.shape")).alias("wanted")
     )
     cut = lambda w: F.struct(
@@ -185,15 +219,39 @@ def repeated_spans(docs: DataFrame, row: Column, text: str) -> DataFrame:
         w["shape"].alias("shape"),
         F.substring(F.col("bytes"), w["start"] + 1, F.floor(w["shape"] / 512).cast("int") + WINDOW).alias("data"),
     )
-    data = (
+    return (
         source.join(wanted, "row")
         .dropDuplicates(["row"])
         .select(F.col("text").cast("binary").alias("bytes"), "wanted")
         .select(F.inline(F.transform("wanted", cut)))
     )
+
+
+def _counted(data: DataFrame) -> DataFrame:
+    """(anchor, fragment, low, high): runs of windows that occur twice, of fragments in crowded buckets."""
+    windows = data.mapInArrow(_windows, "anchor long, fragment long, n long, low int, a long, b long")
+    twice = windows.groupBy("anchor", "a", "b").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
+    lows = (
+        lookup(windows, twice, ["anchor", "a", "b"], "inner", spread="fragment")
+        .groupBy("anchor", "fragment")
+        .agg(F.array_sort(F.collect_list("low")).alias("lows"))
+    )
+    begins = F.filter("lows", lambda x, i: (i == 0) | (F.get("lows", i - 1) != x - 1))
+    ends = F.filter("lows", lambda x, i: F.coalesce(F.get("lows", i + 1) != x + 1, F.lit(True)))
+    return lows.select("anchor", "fragment", F.inline(F.arrays_zip(begins.alias("low"), ends.alias("high"))))
+
+
+def repeated_spans(docs: DataFrame, row: Column, text: str) -> DataFrame:
+    """(row, spans): merged byte ranges [start, end) that strings occurring twice cover."""
+    source = docs.select(row.alias("row"), F.col(text).alias("text"))
+    shared = shared_fragments(source)
+    data = pieces(source, shared.filter("mixed AND NOT crowded"))
     found = data.repartition("anchor").sortWithinPartitions("anchor", "fragment").mapInPandas(
         _sort_buckets, "anchor long, fragment long, low int, high int"
     )
+    crowded = shared.filter("crowded")
+    if not crowded.isEmpty():
+        found = found.union(_counted(kept(pieces(source, crowded), "crowded")))
     begin = lambda low: (F.col("start") + low).alias("start")
     covered = (
         shared.filter("NOT mixed")

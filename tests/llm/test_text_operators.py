@@ -183,6 +183,31 @@ def test_suffix_dedup(spark, sf_dir, odd_docs):
     assert suffix_dedup.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_long_passage(spark, monkeypatch):
+    """Documents share passages with other text on both sides; their edge windows don't fill one bucket."""
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choices("abcdefgh \u00e9", k=n))
+    passages = [text(n) for n in (330, 700, 1600)]
+    ends = [text(60) for _ in range(5)]
+    texts = [text(40 + k % 90) + passages[k % 3] + ends[k % 5][: k % 50] + text(k % 200) for k in range(240)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    source = rows.select(F.col("doc_id").alias("row"), "text")
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    left = suffix_dedup.remove_repeats(rows).collect()
+    shared = suffix_dedup.shared_fragments(source)
+    sorted_ = suffix_dedup.pieces(source, shared.filter("mixed AND NOT crowded")).groupBy("anchor").count()
+    assert shared.filter("crowded").count() > 0 and sorted_.filter(f"count > {suffix_dedup.CROWD}").isEmpty()
+    data = [t.encode() for t in texts]
+    windows = Counter(d[k : k + 400] for d in data for k in range(len(d) - 399))
+    assert len(left) == len(texts)
+    for r in left:
+        own, gone = data[r.doc_id], np.zeros(len(data[r.doc_id]), bool)
+        for k in range(len(own) - 399):
+            if windows[own[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        assert bytes(r.deduplicated.kept) == bytes(b for b, g in zip(own, gone) if not g)
+
+
 def shingles(text, words):
     own = (text or "").encode().lower().split()
     return frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset()
