@@ -256,6 +256,38 @@ def qc_ingest(
     return tested.unionByName(coded, allowMissingColumns=True)
 
 
+def rejudge(
+    obs: DataFrame,
+    touched: DataFrame,
+    range_thr: DataFrame,
+    step_thr: DataFrame,
+    station: DataFrame,
+    variable: DataFrame,
+) -> DataFrame:
+    """Merged readings with the ingest flag of the touched keys, and of the readings that follow one, judged anew.
+
+    ``obs`` reaches one interval around the touched keys. Coded readings and those without an interval stay as they are.
+    """
+    kinds = variable.select(F.col("id").alias("variable_id"), is_coded().alias("_coded"))
+    marked = (
+        obs.join(touched.select(*KEY).distinct().withColumn("_new", F.lit(True)), KEY, "left")
+        .join(kinds, "variable_id", "left")
+        .withColumn("_month", F.month("datetime"))
+    )
+    stepped = with_previous(marked, [*SERIES, "seconds", "_month"], ["measured", "_new"])
+    due = F.col("seconds").isNotNull() & ~F.coalesce("_coded", F.lit(False)) & F.coalesce("_new", "prev__new", F.lit(False))
+    changes = stepped.select(
+        *obs.columns,
+        due.alias("_due"),
+        (F.col("measured") - F.col("prev_measured")).alias("diff_value"),
+        F.coalesce(seconds_between("datetime", "prev_datetime"), F.lit(0)).alias("diff_seconds"),
+    )
+    ranged = qc_range_test(changes, range_thr, station, variable).withColumn("interval", F.col("seconds"))
+    judged = resolve_step_threshold(ranged, step_thr, station, variable).withColumn("qc_step_quality_flag", step_flag())
+    flag = F.when(F.col("_due"), ingest_flag()).otherwise(F.col("quality_flag"))
+    return judged.withColumn("quality_flag", flag).select(*obs.columns)
+
+
 def modal_interval(obs: DataFrame) -> DataFrame:
     """Most frequent gap in seconds; the first row counts as gap 0, the smaller gap wins a tie."""
     gaps = with_previous(obs.select(*SERIES, "datetime"), SERIES, []).select(

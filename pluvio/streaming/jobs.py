@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pluvio.functions.columns import at_midnight, accepted, effective_value, not_missing, shift_seconds
+from pluvio.functions.columns import DAY_SECONDS, at_midnight, accepted, effective_value, not_missing, shift_seconds
 from pluvio.operators import qc, write
 from pluvio.operators.summary import value_aggregates
 from pluvio.schema import KEY, SERIES
@@ -59,7 +59,11 @@ def stream_file_ingest(
     trigger: dict,
     rule: Callable[[DataFrame, DataFrame], DataFrame] = write.upsert_override,
 ) -> StreamingQuery:
-    """Logger files to quality-controlled readings in the store."""
+    """Logger files to quality-controlled readings in the store.
+
+    Steps are judged against the stored neighbours, and stored readings that follow a new one are judged again, so
+    the flags depend neither on where batches are cut nor on the order of files.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         decoded = ingest_logger_csv(batch, var_format, station)
@@ -70,11 +74,21 @@ def stream_file_ingest(
             F.max("is_daily").alias("is_daily"),
             F.lit(None).cast("string").alias("code"),
         )
-        checked = qc.qc_ingest(unique, range_thr, step_thr, station, variable).drop("seconds").persist()
+        checked = qc.qc_ingest(unique, range_thr, step_thr, station, variable).select(*unique.columns).persist()
+
+        merged: list[DataFrame] = []
+
+        def judged(stored: DataFrame, new: DataFrame) -> DataFrame:
+            # read by several branches of the judgement
+            merged.append(rule(stored, new).persist())
+            return qc.rejudge(merged[0], new, range_thr, step_thr, station, variable)
+
         try:
-            store.merge_obs(checked, batch_id, rule)
+            longest = checked.agg(F.max("seconds")).first()[0] or 0
+            store.merge_obs(checked, batch_id, judged, around=1 + longest // DAY_SECONDS)
         finally:
-            checked.unpersist()
+            for df in (checked, *merged):
+                df.unpersist()
 
     return _start(lines.writeStream.foreachBatch(handle), checkpoint, trigger)
 

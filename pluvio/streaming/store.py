@@ -26,7 +26,10 @@ class Store:
         self.spark = configure(spark)
         self.root = root
         self.schemas = {
-            "obs": T.StructType([*obs_schema.fields, T.StructField("obs_date", T.DateType())]),
+            # the interval is kept beside the reading, for the step test of later neighbours
+            "obs": T.StructType(
+                [*obs_schema.fields, T.StructField("seconds", T.IntegerType()), T.StructField("obs_date", T.DateType())]
+            ),
             "hourly": T.StructType([*T.DataType.fromDDL(HOURLY).fields, T.StructField("part", T.DateType())]),
             "daily": T.StructType([*T.DataType.fromDDL(DAILY).fields, T.StructField("part", T.DateType())]),
         }
@@ -45,7 +48,7 @@ class Store:
         return self.spark.read.schema(self.schemas[name]).parquet(self._path(name))
 
     def table(self, name: str) -> DataFrame:
-        return self.read(name).drop(self._part(name))
+        return self.read(name).drop("seconds", self._part(name))
 
     def replace_days(self, name: str, content: DataFrame, batch_id: int) -> None:
         """Writes the given days; a crowded day is split over several files by the rebalance."""
@@ -67,10 +70,15 @@ class Store:
         return stored.join(days.withColumnRenamed("day", part).distinct(), part, "left_semi")
 
     def merge_obs(
-        self, batch: DataFrame, batch_id: int, rule: Callable[[DataFrame, DataFrame], DataFrame] = write.upsert_override
+        self,
+        batch: DataFrame,
+        batch_id: int,
+        rule: Callable[[DataFrame, DataFrame], DataFrame] = write.upsert_override,
+        around: int = 0,
     ) -> None:
+        """The rule gets, and may change, the stored rows of the batch's days and of ``around`` days beside each."""
         dated = batch.withColumn("obs_date", F.to_date("datetime"))
-        stored = self.days("obs", dated.select(F.col("obs_date").alias("day")))
+        stored = self.days("obs", _around(dated.select(F.col("obs_date").alias("day")), -around, around))
         self.replace_days("obs", rule(stored, dated), batch_id)
 
     def recompute(self, batch: DataFrame, station: DataFrame, batch_id: int) -> None:

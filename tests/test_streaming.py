@@ -68,6 +68,42 @@ def test_only_near_days_are_read(spark, tables, tmp_path):
     assert store.days("obs", days.limit(0)).isEmpty()
 
 
+def test_flags_do_not_depend_on_batches(spark, tmp_path):
+    """Files in two batches, some late, get the step flags of all files at once."""
+    station = spark.createDataFrame([(1, "ST", 0, None, True)], "id int, code string, utc_offset_minutes int, reference_station_id int, is_automatic boolean")
+    variable = spark.createDataFrame(
+        [(1, "A", 0.0, 60.0, 5.0, "Numeric")],
+        "id int, symbol string, range_min_hourly double, range_max_hourly double, step_hourly double, variable_type string",
+    ).withColumns({c: F.lit(None).cast("double") for c in ("range_min", "range_max", "step")})
+    limits = "station_id int, variable_id int, interval int, month int, range_min double, range_max double"
+    range_thr = spark.createDataFrame([], limits)
+    step_thr = spark.createDataFrame([], "station_id int, variable_id int, interval int, step_min double, step_max double")
+    layout = spark.createDataFrame([("V", 1, 3600)], "lookup_key string, variable_id int, seconds int")
+    values = [10, 12, 30, 31, 70, 20, 21, 22, 5, 6]
+    files = []
+    for k in range(5):
+        stamps = [dt.datetime(2024, 1, 1, 20) + dt.timedelta(hours=2 * k + j) for j in (0, 1)]
+        rows = [f'"{t:%Y-%m-%d %H:%M:%S}",{j},{values[2 * k + j]}' for j, t in enumerate(stamps)]
+        files.append("\n".join(['"TOA5","ST_x","C","1","p"', '"TIMESTAMP","RECORD","V"', '"TS","RN","n"', '"","","Smp"', *rows]))
+
+    def flags(name, order):
+        store = Store(spark, str(tmp_path / name / "store"), schema.OBS)
+        folder = tmp_path / name / "in"
+        folder.mkdir(parents=True)
+        for some in order:
+            for k in some:
+                (folder / f"ST_{k}.dat").write_text(files[k])
+            jobs.stream_file_ingest(
+                jobs.line_stream(spark, str(folder)), store, layout, station, variable, range_thr, step_thr,
+                str(tmp_path / name / "cp"), NOW,
+            ).awaitTermination()
+        return [r.quality_flag for r in store.table("obs").orderBy("datetime").collect()]
+
+    whole = flags("whole", [[0, 1, 2, 3, 4]])
+    assert whole == [4, 4, 3, 4, 3, 3, 4, 4, 3, 4]
+    assert flags("late", [[1, 4], [0, 2, 3]]) == whole
+
+
 def test_frame_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bin").write_bytes(frame() + frame(kind=0x39) + frame(lat=16.0))
