@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, embedding_join, labelled, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, toxicity
+from pluvio.llm import bpe, decontamination, embedding_join, labelled, merkle, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, toxicity
 from pluvio.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +247,89 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("deduplicated.spans").cast("long").alias("n_spans"),
         F.sha2("deduplicated.kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a document with one character more in its count still verifies."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    n_chars = F.col("n_chars").cast("long")
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & n_chars.isNotNull()
+    built = merkle.manifest(
+        docs, leaf(n_chars), F.col("doc_id"), F.col("lang"), altered=F.when(tampered, leaf(n_chars + 1))
+    )
+    siblings = F.array_join(F.transform("proof", lambda s: s["sibling"]), "")
+    return built.proofs().select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("altered", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE["op11_merkle_manifest"] = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT n, n AS c, 0 AS k FROM range(256) AS r(n)
+    UNION ALL
+    SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_table WHERE k < 8
+), crc AS (
+    SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS c FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL
+    SELECT s, crc.k + 1, xor(crc.c >> 8, t.c) FROM crc JOIN crc_table t
+    ON t.k = 8 AND t.n = xor(crc.c, ascii(s[crc.k + 1])) % 256 WHERE crc.k < length(s)
+), fields AS (
+    SELECT doc_id, lang, n_chars,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+           coalesce(strlen(text) || ':' || text, '-') AS b,
+           n_chars + CASE WHEN xor(c, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS m
+    FROM documents LEFT JOIN crc ON s = CAST(doc_id AS VARCHAR) AND k = length(s)
+), leaves AS (
+    SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS key,
+           sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+           sha256(a || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || b) AS altered
+    FROM fields
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+           count(*) OVER (PARTITION BY key) AS n
+    FROM leaves
+), nodes AS (
+    SELECT key, 0 AS level, rank AS idx, leaf AS digest, n FROM ranked
+    UNION ALL
+    SELECT key, any_value(level) + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 1) // 2
+    FROM nodes WHERE n > 1 GROUP BY key, idx // 2
+), subroots AS (
+    SELECT key, level AS height, digest, row_number() OVER (ORDER BY encode(key)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, place AS idx, digest, n FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 1) // 2
+    FROM tops WHERE n > 1 GROUP BY idx // 2
+), every AS (
+    SELECT key, level, idx, digest FROM nodes WHERE n > 1
+    UNION ALL
+    SELECT s.key, s.height + t.level, t.idx, t.digest FROM subroots s, tops t WHERE t.n > 1
+), paths AS (
+    SELECT doc_id, r.key, rank, l.level, s.digest AS sibling, (CASE WHEN l.level < height THEN rank >> l.level ELSE place >> (l.level - height) END) % 2 = 1 AS at_left
+    FROM ranked r JOIN subroots USING (key) JOIN (SELECT DISTINCT key, level FROM every) l ON l.key = r.key
+    LEFT JOIN every s ON s.key = r.key AND s.level = l.level
+     AND s.idx = xor(CASE WHEN l.level < height THEN rank >> l.level ELSE place >> (l.level - height) END, 1)
+), proofs AS (
+    SELECT key, rank, list(sibling ORDER BY level) AS siblings, list(at_left ORDER BY level) AS lefts FROM paths GROUP BY key, rank
+), folds AS (
+    SELECT key, rank, 1 AS k, altered AS node FROM ranked
+    UNION ALL
+    SELECT key, rank, k + 1, sha256(CASE WHEN siblings[k] IS NULL THEN node WHEN lefts[k] THEN siblings[k] || node ELSE node || siblings[k] END)
+    FROM folds JOIN proofs USING (key, rank) WHERE k <= len(siblings)
+)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(coalesce(array_to_string(siblings, ''), '')) AS proof_sha256,
+       node AS folded_root, node = t.digest AS verified
+FROM ranked r JOIN subroots s USING (key) JOIN tops t ON t.n = 1 LEFT JOIN proofs p USING (key, rank)
+JOIN folds f ON f.key = r.key AND f.rank = r.rank AND f.k = coalesce(len(siblings), 0) + 1
+"""
