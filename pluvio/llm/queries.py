@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, decontamination, embedding_join, labelled, merkle, ngram_join, pii, quality, secrets, suffix_dedup, token_counts, toxicity
-from pluvio.llm.common import read
+from pluvio.functions.joins import lookup
+from pluvio.llm import (
+    bpe,
+    decontamination,
+    embedding_join,
+    labelled,
+    merkle,
+    ngram_join,
+    pii,
+    quality,
+    secrets,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
+from pluvio.llm.common import kept, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -333,3 +348,56 @@ SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(coalesce(arra
 FROM ranked r JOIN subroots s USING (key) JOIN tops t ON t.n = 1 LEFT JOIN proofs p USING (key, rank)
 JOIN folds f ON f.key = r.key AND f.rank = r.rank AND f.k = coalesce(len(siblings), 0) + 1
 """
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and the error of all vectors of its label."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    found = vector_codes.compress(vectors, parts=16, entries=64, rounds=2, scale=256, keep=("label",))
+    rows = kept(found.rows.select("row.id", "row.label", "code", "error"), "codes").withColumns(
+        {"known": F.col("label").isNotNull(), "named": F.coalesce("label", F.lit(0))}
+    )
+    sums = rows.groupBy("known", "named").agg(F.try_sum("error").alias("label_error"))
+    return lookup(rows, sums, ["known", "named"], spread="id").select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.books_sha256()).alias("codebooks_sha256")
+    )
+
+
+_ROUND = r"""
+, apart{k} AS (
+    SELECT p.r, p.pos, b.idx, list_sum(list_transform(list_zip(p.c, b.c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+    FROM parts p JOIN book{k} b USING (pos)
+), near{k} AS (
+    SELECT r, pos, min(d) AS d, arg_min(idx, d * 64 + idx) AS idx FROM apart{k} GROUP BY r, pos
+)"""
+_LLOYD = r"""
+, means{k} AS (
+    SELECT pos, idx, i, CAST(floor(sum(c[i]) / count(*)) AS BIGINT) AS m
+    FROM near{k} JOIN parts USING (r, pos), unnest(range(1, len(c) + 1)) AS u(i) GROUP BY pos, idx, i
+), book{n} AS (
+    SELECT b.pos, b.idx, coalesce(m.c, b.c) AS c
+    FROM book{k} b LEFT JOIN (SELECT pos, idx, list(m ORDER BY i) AS c FROM means{k} GROUP BY pos, idx) m USING (pos, idx)
+)"""
+ORACLE["op12_vector_codes"] = (
+    r"""
+WITH clean AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, vec_id, label, v
+    FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), parts AS (
+    SELECT r, pos, v[pos * len(v) // 16 + 1:(pos + 1) * len(v) // 16] AS c FROM clean, range(16) AS p(pos)
+), book0 AS (
+    SELECT pos, r AS idx, c FROM parts WHERE r < 64
+)"""
+    + "".join(_ROUND.format(k=k) + (_LLOYD.format(k=k, n=k + 1) if k < 2 else "") for k in range(3))
+    + r"""
+, coded AS (
+    SELECT r, string_agg(printf('%02x', idx), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r
+), books AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, idx)) AS books FROM book2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256
+FROM clean JOIN coded USING (r), books
+"""
+)
