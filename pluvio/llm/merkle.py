@@ -105,7 +105,7 @@ def _extractor(base: int, bits: int):
     def run(key: tuple, leaves: pa.Table, segment: pa.Table) -> pa.Table:
         places = segment["position"].to_numpy()
         order = np.argsort(places)
-        places, digests = places[order], segment["digest"].combine_chunks().take(pa.array(order))
+        places, digests = places[order], segment["sibling"].combine_chunks().take(pa.array(order))
         left = segment["left"].to_numpy(zero_copy_only=False)[order]
         n_above = int(np.searchsorted(places, 0))  # rows of the path have places below zero, the nearest one first
         n = leaves["n"][0].as_py()
@@ -205,7 +205,10 @@ def extract(forest: Forest, above: DataFrame | None = None) -> DataFrame:
     bits, path = forest.bits, None
     for k in reversed(range(len(forest.rounds))):
         base, nodes = bits * k, forest.rounds[k]
-        segment = nodes.select("key", "block", "position", "digest", F.lit(False).alias("left"))
+        # under names of its own, as both sides of the grouping may come from the same nodes
+        segment = nodes.select(
+            F.col("key").alias("tree"), F.col("block").alias("part"), "position", F.col("digest").alias("sibling"), F.lit(False).alias("left")
+        )
         ends = F.col("n") <= F.lit(1).cast("long") * (1 << (base + bits))
         tops = []
         if above is not None:
@@ -217,8 +220,8 @@ def extract(forest: Forest, above: DataFrame | None = None) -> DataFrame:
             steps = top.select("key", "block", F.size("proof").alias("size"), F.posexplode("proof").alias("k", "step"))
             segment = segment.unionByName(
                 steps.select(
-                    "key", "block", (F.col("k") - F.col("size")).cast("long").alias("position"),
-                    F.col("step.sibling").alias("digest"), F.col("step.left").alias("left"),
+                    F.col("key").alias("tree"), F.col("block").alias("part"), (F.col("k") - F.col("size")).cast("long").alias("position"),
+                    "step.sibling", "step.left",
                 )
             )
         if k == 0:
@@ -226,7 +229,7 @@ def extract(forest: Forest, above: DataFrame | None = None) -> DataFrame:
         else:
             leaves = nodes.filter(F.col("level") == base).select("key", F.col("idx").alias("rank"), "n", "digest")
         shape = leaves.drop("n").withColumn("block", F.lit(0).cast("long")).withColumn("proof", F.lit(None).cast(PROOF)).schema
-        both = leaves.withColumn("block", F.shiftright("rank", bits)).groupBy("key", "block").cogroup(segment.groupBy("key", "block"))
+        both = leaves.withColumn("block", F.shiftright("rank", bits)).groupBy("key", "block").cogroup(segment.groupBy("tree", "part"))
         found = both.applyInArrow(_extractor(base, bits), shape).drop("block")
         path = found if k == 0 else kept(found, "paths")
     return path

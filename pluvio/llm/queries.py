@@ -23,6 +23,7 @@ from pluvio.llm import (
     token_counts,
     toxicity,
     vector_codes,
+    warc,
 )
 from pluvio.llm.common import kept, read
 
@@ -401,3 +402,37 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM clean JOIN coded USING (r), books
 """
 )
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the record that is read back from its archive."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.read(warc.write(pages, min_bytes=0), payloads=False)
+
+    def header(name: str) -> Column:
+        return F.try_element_at("headers", F.lit(name.lower()))
+
+    return records.filter("type IS NULL OR type <> 'warcinfo'").select(
+        header(warc.PAGE_ID).cast("long").alias("page_id"),
+        F.try_element_at("http_headers", F.lit("content-length")).cast("long").alias("payload_bytes"),
+        F.regexp_replace(header("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        header(warc.REFERS_TO).cast("long").alias("refers_to"),
+        "error",
+    )
+
+
+_DIGITS = " || ".join(f"to_base(CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT), 32, 4)" for k in range(8))
+ORACLE["op13_warc"] = f"""
+WITH sized AS (
+    SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY p ORDER BY page_id NULLS LAST) AS k, min(page_id) OVER (PARTITION BY p) AS first FROM sized
+)
+SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes,
+       translate({_DIGITS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to,
+       CAST(NULL AS VARCHAR) AS error
+FROM ranked
+"""
