@@ -95,8 +95,10 @@ def classify(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def train(rows: DataFrame) -> bytes:
     """A dictionary fitted to a bounded sample of payloads; empty if there are too few."""
-    cut = rows.filter("size > 0").select(F.substring("payload", 1, SAMPLE_BYTES).alias("cut"), F.xxhash64("digest", "row").alias("h"))
-    samples = [bytes(r.cut) for r in cut.orderBy("h", "cut").limit(SAMPLE).collect()]
+    full = rows.filter("size > 0").withColumn("h", F.xxhash64("digest", "row"))
+    last = full.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # tasks send hashes only
+    picked = full.filter(F.col("h") <= F.lit(last)).orderBy("h").limit(SAMPLE)
+    samples = [bytes(r[0]) for r in picked.select(F.substring("payload", 1, SAMPLE_BYTES)).collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
