@@ -420,7 +420,8 @@ register(
 )
 
 
-def frames(events):
+def frames(events, *more):
+    """Frames of the events, with further columns of them if wanted."""
     e = F.col("event_id")
 
     def hex_of(value, width):
@@ -450,7 +451,7 @@ def frames(events):
         hex_of(lon + 1000, 8),
         F.lit("00"),
     )
-    return events.select(F.unhex(text).alias("frame"))
+    return events.select(*more, F.unhex(text).alias("frame"))
 
 
 STROKES = """SELECT CASE WHEN event_id % 3 = 0 THEN 'CG' ELSE 'IC' END AS type, ts AS datetime, la / 1e7 AS latitude, lo / 1e7 AS longitude,

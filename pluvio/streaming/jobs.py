@@ -1,24 +1,27 @@
 """Streaming jobs. Each returns a started query; callers choose the trigger and await it.
 
-Jobs that must not lose late data work through ``foreachBatch`` on stored tables without a watermark;
-the windowed ones keep bounded state behind a watermark.
+Late data is never lost: the jobs work through ``foreachBatch`` on stored tables, without a watermark. A batch reads
+and replaces only the days and buckets it touches, so state is as large as what is late, not as what is
+stored, and what it changes is applied once, also when the batch is run again.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pluvio.functions.columns import DAY_SECONDS, at_midnight, accepted, effective_value, not_missing, shift_seconds
+from pluvio.functions.columns import DAY_SECONDS
 from pluvio.operators import qc, write
-from pluvio.operators.summary import value_aggregates
+from pluvio.operators.summary import hourly_summary
 from pluvio.schema import KEY, SERIES
-from pluvio.sources.lightning import decode_lightning_frames
+from pluvio.sources.lightning import FRAME_BYTES, decode_lightning_frames
 from pluvio.sources.loggers import ingest_logger_csv
-from pluvio.streaming.store import Store, snapshot_last24h
+from pluvio.streaming.store import Arrivals, Store, snapshot_last24h
 
 
 def _start(writer, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -34,17 +37,25 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     )
 
 
-def frame_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """56-byte frames of new capture files."""
-    files = (
+def capture_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New capture files with their content."""
+    return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .load(folder)
     )
-    starts = F.sequence(F.lit(0), (F.length("content") / 56).cast("int") - 1)
-    return files.filter(F.length("content") >= 56).select(
-        F.explode(F.transform(starts, lambda i: F.substring("content", i * 56 + 1, F.lit(56)))).alias("frame")
-    )
+
+
+def frames_of(files: DataFrame) -> DataFrame:
+    """56-byte frames of capture files."""
+    starts = F.sequence(F.lit(0), (F.length("content") / FRAME_BYTES).cast("int") - 1)
+    cut = F.transform(starts, lambda i: F.substring("content", i * FRAME_BYTES + 1, F.lit(FRAME_BYTES)))
+    return files.filter(F.length("content") >= FRAME_BYTES).select(F.explode(cut).alias("frame"))
+
+
+def frame_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """56-byte frames of new capture files."""
+    return frames_of(capture_stream(spark, folder))
 
 
 def stream_file_ingest(
@@ -85,7 +96,7 @@ def stream_file_ingest(
 
         try:
             longest = checked.agg(F.max("seconds")).first()[0] or 0
-            store.merge_obs(checked, batch_id, judged, around=1 + longest // DAY_SECONDS)
+            store.merge_obs(checked, f"{checkpoint}:{batch_id}", judged, around=1 + longest // DAY_SECONDS)
         finally:
             for df in (checked, *merged):
                 df.unpersist()
@@ -108,8 +119,8 @@ def stream_dirty_recompute(
         # read by the merge and by both summaries; a lost executor only means reading it again
         rows = unique(batch).persist()
         try:
-            store.merge_obs(rows, batch_id, rule)
-            store.recompute(rows, station, batch_id)
+            store.merge_obs(rows, f"{checkpoint}:{batch_id}", rule)
+            store.recompute(rows, station, f"{checkpoint}:{batch_id}")
         finally:
             rows.unpersist()
 
@@ -130,7 +141,7 @@ def stream_last24h(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = unique(batch).persist()
         try:
-            store.merge_obs(rows, batch_id, write.insert_ignore)
+            store.merge_obs(rows, f"{checkpoint}:{batch_id}", write.insert_ignore)
             snapshot_last24h(store, as_of()).write.mode("overwrite").parquet(out)
         finally:
             rows.unpersist()
@@ -138,49 +149,107 @@ def stream_last24h(
     return _start(readings.writeStream.foreachBatch(handle), checkpoint, trigger)
 
 
-def hourly_windows(readings: DataFrame, lateness: str) -> DataFrame:
-    """Hourly summary with bounded state; a window is emitted once the watermark has passed it."""
-    shifted = F.when(at_midnight("datetime") & ~F.col("is_daily"), shift_seconds("datetime", -1)).otherwise(
-        F.col("datetime")
-    )
-    return (
-        readings.withColumn("_value", effective_value())
-        .filter(accepted() & not_missing("_value"))
-        .select(*SERIES, "is_daily", "_value", shifted.alias("at"))
-        .withWatermark("at", lateness)
-        .groupBy(F.window("at", "1 hour"), *SERIES, "is_daily")
-        .agg(*value_aggregates())
-        .select(
-            F.col("window.start").alias("datetime"),
-            *SERIES,
-            "is_daily",
-            "min_value",
-            "max_value",
-            "avg_value",
-            "sum_value",
-            "num_records",
-        )
-    )
+def stream_hourly_window(readings: DataFrame, store: Store, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Hourly summary kept complete: a batch's partial figures are merged into the stored hours it touches.
+
+    Every reading counts once, as it comes; a stream with repeated readings goes through ``stream_dedup`` first.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        partial = store.placed("hourly", hourly_summary(batch)).persist()
+        try:
+            places = [(r.part, r.bucket) for r in partial.select("part", "bucket").distinct().collect()]
+            both = store.at("hourly", places).unionByName(partial)
+            merged = both.groupBy("part", "bucket", *SERIES, "datetime", "is_daily").agg(
+                F.min("min_value").alias("min_value"),
+                F.max("max_value").alias("max_value"),
+                F.try_divide(F.sum("sum_value"), F.sum("num_records")).alias("avg_value"),
+                F.sum("sum_value").alias("sum_value"),
+                F.sum("num_records").alias("num_records"),
+            )
+            store.replace("hourly", merged, places, f"{checkpoint}:{batch_id}")
+        finally:
+            partial.unpersist()
+
+    return _start(readings.writeStream.foreachBatch(handle), checkpoint, trigger)
 
 
-def unique_readings(readings: DataFrame, lateness: str) -> DataFrame:
-    """First arrival of each key; state is kept only as long as duplicates may come."""
-    return readings.withWatermark("datetime", lateness).dropDuplicatesWithinWatermark(KEY)
+def stream_dedup(readings: DataFrame, out: Arrivals, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """First arrival of each key, however long ago; of equal keys in one batch the least row by its other columns.
 
+    A batch is compared with the stored keys of the days it brings, and only adds rows.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows, name = batch.persist(), f"{sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+        try:
+            rest = [c for c in rows.columns if c not in KEY]
+            first = rows.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_r")).select(*KEY, "_r.*")
+            days = [r[0] for r in rows.select(F.to_date("datetime")).distinct().collect()]
+            out.add(first.join(out.others(days, name).select(*KEY), KEY, "left_anti"), name)
+        finally:
+            rows.unpersist()
 
-def lightning_counts(
-    frames: DataFrame, lateness: str, width: str = "1 hour", area: tuple[float, float, float, float] | None = None
+    return _start(readings.writeStream.foreachBatch(handle), checkpoint, trigger)
+
+
+def stroke_counts(
+    frames: DataFrame, width: str = "1 hour", area: tuple[float, float, float, float] | None = None
 ) -> DataFrame:
     """Strokes per type and window, all or those inside the area."""
     return (
         decode_lightning_frames(frames, area=area)
-        .withWatermark("datetime", lateness)
-        .groupBy(F.window("datetime", width), "type")
+        .groupBy(F.window("datetime", width).alias("_w"), "type")
         .agg(F.count(F.lit(1)).alias("strokes"), F.max(F.abs("peak_current")).alias("strongest"))
-        .select(F.col("window.start").alias("window_start"), "type", "strokes", "strongest")
+        .select(F.col("_w.start").alias("window_start"), "type", "strokes", "strongest")
     )
 
 
+def stream_lightning(
+    files: DataFrame,
+    store: Store,
+    checkpoint: str,
+    trigger: dict,
+    width: str = "1 hour",
+    area: tuple[float, float, float, float] | None = None,
+) -> StreamingQuery:
+    """Counts of capture files, complete in any order of files; a file counts once, by its content.
+
+    The counts of a batch are merged into the stored windows first, then its files are named. A batch that fails in
+    between finds its counts applied, and only names the files. Files are looked for under the day of their first frame.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        token = f"{checkpoint}:{batch_id}"
+        seconds = F.conv(F.hex(F.substring("content", 3, 4)), 16, 10).cast("long")
+        day = F.coalesce(F.to_date(F.timestamp_seconds(seconds)), F.lit(dt.date(1970, 1, 1)))
+        named = batch.select("path", "content", F.sha2("content", 256).alias("digest"), day.alias("first_day"))
+        distinct = named.groupBy("digest", "first_day").agg(F.min("path").alias("path"))
+        ledger = store.placed("files", distinct).persist()
+        try:
+            places = [(r.part, r.bucket) for r in ledger.select("part", "bucket").distinct().collect()]
+            known = store.at("files", places)
+            new = ledger.join(known.select("digest"), "digest", "left_anti").persist()
+            if not store.applied("strokes", token):
+                own = batch.select("path", "content").join(new.select("path"), "path", "left_semi")
+                counts = store.placed("strokes", stroke_counts(frames_of(own), width, area)).persist()
+                touched = [(r.part, r.bucket) for r in counts.select("part", "bucket").distinct().collect()]
+                merged = (
+                    store.at("strokes", touched)
+                    .unionByName(counts)
+                    .groupBy("part", "bucket", "window_start", "type")
+                    .agg(F.sum("strokes").alias("strokes"), F.max("strongest").alias("strongest"))
+                )
+                store.replace("strokes", merged, touched, token)
+                counts.unpersist()
+            store.replace("files", known.unionByName(new), places, token)
+            new.unpersist()
+        finally:
+            ledger.unpersist()
+
+    return _start(files.writeStream.foreachBatch(handle), checkpoint, trigger)
+
+
 def append_to(df: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Append-mode file sink, exactly once through its checkpoint."""
     return _start(df.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, trigger)

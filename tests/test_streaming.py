@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import _norm
@@ -9,7 +10,8 @@ from pluvio import schema
 from pluvio.operators import summary, write
 from pluvio.sources.lightning import decode_lightning_frames
 from pluvio.streaming import jobs
-from pluvio.streaming.store import Store
+from pluvio.streaming import store as store_module
+from pluvio.streaming.store import Arrivals, Store
 from tests.test_decoders import frame
 
 NOW = {"availableNow": True}
@@ -57,15 +59,117 @@ def test_replayed_batch_changes_nothing(spark, tables, tmp_path):
     assert same(store.table("hourly"), summary.hourly_summary(cleared))
 
 
-def test_only_near_days_are_read(spark, tables, tmp_path):
+def test_only_touched_days_are_read(spark, tables, tmp_path):
+    """A day between two touched ones is neither listed nor read, and only the last two versions stay."""
+    store = Store(spark, str(tmp_path / "store"), schema.OBS, buckets=2)
+    obs = one_per_key(tables.obs()).persist()
+    store.merge_obs(obs, 0)
+    touched = obs.filter("to_date(datetime) IN (DATE'2024-01-05', DATE'2024-01-07')")
+    places = store.places("obs", touched)
+    found = store.at("obs", places)
+    assert {str(r.part) for r in found.select("part").distinct().collect()} == {"2024-01-05", "2024-01-07"}
+    assert not [f for f in found.inputFiles() if "2024-01-06" in f]
+    assert store.at("obs", []).isEmpty()
+    for token in (1, 2, 3):
+        store.merge_obs(touched.withColumn("measured", F.lit(float(token))), token)
+    folders = {f.name for f in (tmp_path / "store" / "obs" / "part=2024-01-05" / "bucket=0").iterdir() if f.is_dir()}
+    assert folders == {"version=3", "version=4"}
+    assert {f.name for f in (tmp_path / "store" / "obs" / "part=2024-01-06" / "bucket=0").iterdir() if f.is_dir()} == {"version=1"}
+    assert store.table("obs").count() == obs.count()
+    assert store.table("obs").filter("measured = 3.0 AND day(datetime) IN (5, 7)").count() == touched.count()
+    obs.unpersist()
+
+
+def test_log_is_written_anew(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "LOG_COMMITS", 3)
+    store = Store(spark, str(tmp_path / "store"), schema.OBS, buckets=1)
+    obs = one_per_key(tables.obs()).persist()
+    for token in range(7):
+        store.merge_obs(obs.filter(F.dayofmonth("datetime") == 1 + token % 4), token)
+    assert sorted(f.name for f in (tmp_path / "store" / "obs_log").iterdir() if f.is_dir()) == ["at=6", "at=7"]
+    assert store.table("obs").count() == obs.filter(F.dayofmonth("datetime") <= 4).count()
+    store.merge_obs(obs, 6)  # applied already
+    assert store.table("obs").count() == obs.filter(F.dayofmonth("datetime") <= 4).count()
+    obs.unpersist()
+
+
+def test_a_failed_batch_is_not_seen(spark, tables, tmp_path, monkeypatch):
+    """Written but not committed: readers see the old rows, and the batch can be run again."""
+    store = Store(spark, str(tmp_path / "store"), schema.OBS, buckets=1)
+    obs = one_per_key(tables.obs()).filter(F.dayofmonth("datetime") <= 3).persist()
+    store.merge_obs(obs, 0)
+    changed = obs.withColumn("measured", F.lit(7.0))
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge_obs(changed, 1)
+    assert same(store.table("obs").select("measured"), obs.select("measured"))
+    store.merge_obs(changed, 1)
+    assert store.table("obs").filter("measured <> 7.0").isEmpty()
+    assert store.table("obs").count() == obs.count()
+    obs.unpersist()
+
+
+def in_files(spark, rows, tmp_path, run):
+    """Three files, the newest first, the last of them with rows of the first again."""
+    t = F.col("datetime")
+    cut = [F.lit(f"2024-01-{d}").cast("timestamp") for d in (10, 20)]
+    folder = str(tmp_path / "in")
+    for part in (t >= cut[1], (t >= cut[0]) & (t < cut[1]), (t < cut[0]) | (t >= cut[1])):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder))
+
+
+def test_first_arrivals_of_late_files(spark, tables, tmp_path):
+    obs = tables.event_readings().drop("event_id").persist()
+    out = Arrivals(spark, str(tmp_path / "out"), schema.OBS)
+    in_files(spark, obs, tmp_path, lambda s: jobs.stream_dedup(s, out, str(tmp_path / "cp"), NOW).awaitTermination())
+    assert same(out.table().select(*schema.KEY), obs.select(*schema.KEY).distinct())
+    obs.unpersist()
+
+
+def test_a_batch_of_arrivals_run_again(spark, tables, tmp_path):
+    obs = one_per_key(tables.obs()).filter(F.dayofmonth("datetime") <= 3)
+    out = Arrivals(spark, str(tmp_path / "out"), schema.OBS)
+    for _ in range(2):
+        out.add(obs, "a-0")
+    assert out.table().count() == obs.count()
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    assert out.others(days, "a-0").isEmpty()
+    assert out.others(days, "a-1").count() == obs.filter(F.dayofmonth("datetime") <= 2).count()
+
+
+def test_hours_of_late_files(spark, tables, tmp_path):
+    """Every row counts once for each file it is in."""
+    obs = tables.obs().persist()
     store = Store(spark, str(tmp_path / "store"), schema.OBS)
-    store.merge_obs(one_per_key(tables.obs()), 0)
-    days = spark.sql("SELECT DATE'2024-01-05' AS day UNION ALL SELECT DATE'2024-01-07'")
-    found = store.days("obs", days)
-    assert {str(r.obs_date) for r in found.select("obs_date").distinct().collect()} == {"2024-01-05", "2024-01-07"}
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "obs_date" in plan and "2024-01-05" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
-    assert store.days("obs", days.limit(0)).isEmpty()
+    in_files(spark, obs, tmp_path, lambda s: jobs.stream_hourly_window(s, store, str(tmp_path / "cp"), NOW).awaitTermination())
+    twice = obs.unionByName(obs.filter(F.col("datetime") >= F.lit("2024-01-20").cast("timestamp")))
+    assert same(store.table("hourly"), summary.hourly_summary(twice))
+    obs.unpersist()
+
+
+def test_capture_files_count_once(spark, tmp_path):
+    """Files of one content count once, in one batch or in two; keep-alive frames and cut ones don't."""
+    store = Store(spark, str(tmp_path / "store"), schema.OBS)
+
+    def run(folder):
+        files = jobs.capture_stream(spark, folder)
+        jobs.stream_lightning(files, store, str(tmp_path / "cp"), NOW).awaitTermination()
+        return {(r.window_start, r.type): r.strokes for r in store.table("strokes").collect()}
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.bin").write_bytes(frame() * 3 + frame(kind=0x39) + b"cut")
+    (folder / "a-copy.bin").write_bytes(frame() * 3 + frame(kind=0x39) + b"cut")
+    (folder / "empty.bin").write_bytes(b"")
+    hour = dt.datetime(2024, 1, 15, 12)
+    assert list(run(str(folder)).values()) == [3]
+    (folder / "a-again.bin").write_bytes(frame() * 3 + frame(kind=0x39) + b"cut")
+    (folder / "b.bin").write_bytes(frame() * 2)
+    found = run(str(folder))
+    assert list(found.values()) == [5] and {w for w, _ in found} == {hour}
+    assert store.table("files").count() == 2  # Spark passes over files without bytes
 
 
 def test_flags_do_not_depend_on_batches(spark, tmp_path):
