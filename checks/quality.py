@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from checks.base import AGG, VALID
 from checks.registry import register
-from pluvio.operators import qc
+from pluvio.operators import qc, summary
+from pluvio.plans import refresh
+from pluvio.schema import KEY
+from pluvio.session import stored
 
 S = "station_id, variable_id"
 
@@ -129,8 +133,8 @@ register(
 
 
 def both_tests(t):
-    ranged = qc.qc_range_test(t.obs_regular(), t.range_thr(), t.station(), t.variable())
-    return qc.qc_step_test(ranged, t.step_thr(), t.station(), t.variable())
+    thresholds = qc.station_limits(t.station(), range=t.range_thr(), step=t.step_thr())
+    return qc.qc_tests(t.obs_regular(), thresholds, t.variable())
 
 
 register(
@@ -175,9 +179,8 @@ def persist_tested(t):
     return qc.qc_persist_test(t.obs_regular(), limits(t))
 
 
-def all_tests(t):
-    tested = qc.qc_persist_test(both_tests(t), limits(t))
-    return qc.qc_persist_suspicious(tested)
+def final(t):
+    return qc.qc_final(t.obs_regular(), t.range_thr(), t.step_thr(), t.persist_thr(), t.station(), t.variable())
 
 
 PTEST = """SELECT o.*, l.wnd, l.persist_min, l.persist_description,
@@ -206,9 +209,7 @@ register(
 )
 register(
     "qc_final_flag",
-    lambda t: all_tests(t)
-    .withColumn("quality_flag", qc.final_flag())
-    .select(*NAMES, "qc_persist_quality_flag", "qc_range_quality_flag", "qc_step_quality_flag", "quality_flag"),
+    lambda t: final(t).select(*NAMES, "qc_persist_quality_flag", "qc_range_quality_flag", "qc_step_quality_flag", "quality_flag"),
     f"""SELECT b.station_id, b.variable_id, b.datetime, b.measured, pf2 AS qc_persist_quality_flag, qc_range_quality_flag, qc_step_quality_flag,
       CASE WHEN 3 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 3 WHEN 4 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 4
         WHEN 2 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 2 ELSE 1 END AS quality_flag
@@ -217,6 +218,68 @@ register(
     **PTESTS,
 )
 
+# Late readings: a day's worth of every series, and a second stretch of some.
+LATE = "hour(datetime) = 7 AND day(datetime) BETWEEN 27 AND 29 OR station_id % 3 = 0 AND datetime BETWEEN TIMESTAMP '2024-01-31 10:00:00' AND TIMESTAMP '2024-01-31 15:00:00'"
+
+
+def refreshed(t):
+    """Readings stored with the flags they had without the late ones; the late ones; the limits."""
+    thresholds = stored(limits(t), "persist-limits")
+    ranged = both_tests(t)
+    early = qc.qc_persist_suspicious(qc.qc_persist_test(t.obs_regular().filter(f"NOT ({LATE})"), thresholds))
+    old = early.select(*KEY, *qc.PERSIST_RESULT)
+    obs = ranged.join(old, KEY, "left").withColumn("quality_flag", qc.final_flag())
+    return stored(obs, "flagged"), obs.filter(LATE), thresholds
+
+
+def hours_refreshed(t):
+    obs, late, thresholds = refreshed(t)
+    before = summary.hourly_summary(obs.filter(f"NOT ({LATE})"))
+    return refresh.refresh_hours(obs, late, thresholds, before)[1]
+
+
+PSUB = {
+    "obs_sub": f"SELECT * FROM obs_regular WHERE NOT ({LATE})",
+    "ptest_sub": PTEST.replace("obs_regular", "obs_sub"),
+    "pflag_sub": PFLAG.replace("ptest", "ptest_sub"),
+    "psus_sub": PSUS.replace("pflag", "pflag_sub"),
+}
+FINAL = """CASE WHEN 3 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 3 WHEN 4 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 4
+        WHEN 2 IN (pf2, qc_range_quality_flag, qc_step_quality_flag) THEN 2 ELSE 1 END"""
+CHANGED = f"""SELECT b.station_id, b.variable_id, b.datetime, b.is_daily, p.pf2 AS qc_persist_quality_flag, p.pd AS qc_persist_description, {FINAL} AS quality_flag
+    FROM bothq b JOIN psus p USING (station_id, variable_id, datetime) LEFT JOIN (SELECT station_id, variable_id, datetime, pf2 AS old FROM psus_sub) s
+      USING (station_id, variable_id, datetime) WHERE s.old IS DISTINCT FROM p.pf2"""
+REFRESH = dict(**TESTS, **PTESTS, **PSUB, pchanged=CHANGED)
+register(
+    "qc_persist_refresh",
+    lambda t: qc.qc_persist_refresh(*refreshed(t)).select(*KEY, *qc.PERSIST_RESULT, "quality_flag"),
+    "SELECT * EXCLUDE (is_daily) FROM pchanged",
+    **REFRESH,
+)
+
+
+def stale(t):
+    obs, late, thresholds = refreshed(t)
+    return refresh.stale_hours(late, qc.qc_persist_refresh(obs, late, thresholds))
+
+
+register(
+    "qc_persist_stale_hours",
+    stale,
+    """SELECT DISTINCT station_id, CASE WHEN NOT is_daily AND datetime = date_trunc('day', datetime) THEN date_trunc('hour', datetime - INTERVAL 1 SECOND)
+      ELSE date_trunc('hour', datetime) END AS datetime, is_daily FROM pchanged""",
+    **REFRESH,
+)
+register(
+    "recompute_after_persistence",
+    hours_refreshed,
+    f"""SELECT CASE WHEN NOT is_daily AND datetime = date_trunc('day', datetime) THEN date_trunc('hour', datetime - INTERVAL 1 SECOND)
+      ELSE date_trunc('hour', datetime) END AS datetime, station_id, variable_id, is_daily, {AGG} FROM pfinal WHERE {VALID} GROUP BY 1, 2, 3, 4""",
+    pfinal=f"""SELECT b.* EXCLUDE (quality_flag), coalesce(consisted, b.measured) AS v, {FINAL} AS quality_flag
+      FROM bothq b JOIN (SELECT station_id, variable_id, datetime, pf2 FROM psus) p USING (station_id, variable_id, datetime)""",
+    **REFRESH,
+)
+
 TXT = "coalesce(CAST({0} AS VARCHAR), '---')"
 
 
@@ -284,7 +347,6 @@ register(
 )
 register(
     "qc_review_list",
-    lambda t: qc.qc_review_list(t.obs(), start="2024-01-05 00:00:00"),
-    """SELECT station_id, variable_id, datetime, measured, consisted, quality_flag AS automatic_flag, manual_flag, remarks, ml_flag
-    FROM obs WHERE datetime >= TIMESTAMP '2024-01-05'""",
+    lambda t: qc.qc_review_list(t.obs()),
+    """SELECT station_id, variable_id, datetime, measured, consisted, quality_flag AS automatic_flag, manual_flag, remarks, ml_flag FROM obs""",
 )

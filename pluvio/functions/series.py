@@ -27,14 +27,15 @@ def with_previous(
 
     ``lag`` runs inside blocks; the first row of a block gets the last row of the nearest earlier
     non-empty block, found on one row per (series, block). Both branches read the same shuffle of
-    the input, which Spark reuses, so the input itself is computed once.
+    the input, which Spark reuses, so the input itself is computed once. Rows of equal ``order`` follow
+    each other by the other columns taken.
     """
     keys = list(keys)
     names = [order, *[c for c in cols if c != order]]
     row = F.struct(*names)
     by_block = [*keys, "_block"]
     blocked = df.withColumn("_block", F.floor(micros(order) / F.lit(block_seconds * 1_000_000)).cast("long"))
-    lagged = blocked.withColumn("_prev", F.lag(row).over(Window.partitionBy(*by_block).orderBy(order))).withColumn(
+    lagged = blocked.withColumn("_prev", F.lag(row).over(Window.partitionBy(*by_block).orderBy(*names))).withColumn(
         "_last", F.max(row).over(Window.partitionBy(*by_block))
     )
     heads = lagged.filter("_prev IS NULL").withColumn(

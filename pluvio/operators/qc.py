@@ -13,11 +13,13 @@ from pluvio.functions.columns import (
     SUSPICIOUS,
     is_coded,
     seconds_between,
+    shift_seconds,
     ts,
 )
 from pluvio.functions.joins import lookup
 from pluvio.functions.series import sliding_max, with_previous
 from pluvio.schema import KEY, SERIES
+from pluvio.session import stored
 
 # Messages stored with a flag.
 NOT_FOUND = "Threshold not found"
@@ -67,87 +69,134 @@ def _attempt(
     return rows.join(side, condition, "left").drop("_k_station", *[f"_k_{c}" for c in on])
 
 
-def _chain(
-    rows: DataFrame, thr: DataFrame, station: DataFrame, detail: list[str], limits: list[str], messages: list[str]
-) -> DataFrame:
-    """First hit of: own station exact, own station any interval, reference exact, reference any interval.
+def _levels(thr: DataFrame, detail: str | None, limits: list[str], name: str) -> DataFrame:
+    """One row for each owner: a map from variable (and ``detail``) to its limits by interval, and those for any interval."""
+    keys = ["station_id", "variable_id", *([detail] if detail else [])]
+    known = thr.dropna(subset=keys).groupBy(*keys, "interval").agg(F.min(F.struct(*limits)).alias("limits"))
+    exact = F.when(F.col("interval").isNotNull(), F.struct("interval", "limits"))
+    level = F.struct(
+        F.map_from_entries(F.collect_list(exact)).alias("exact"),
+        F.max(F.when(F.col("interval").isNull(), F.col("limits"))).alias("any"),
+    )
+    rows = known.groupBy(*keys).agg(level.alias("level"))
+    for key in reversed(keys[1:]):
+        keys = keys[:-1]
+        rows = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, "level"))).alias("level"))
+    return rows.withColumnRenamed("level", name)
+
+
+# by kind: what the limits depend on beside series and interval, and their names
+KINDS = {
+    "range": ("month", ["range_min", "range_max"]),
+    "step": (None, ["step_min", "step_max"]),
+    "persist": ("window", ["minimum_variance"]),
+}
+
+
+def station_limits(station: DataFrame, **thr: DataFrame) -> DataFrame:
+    """Thresholds resolved once: a row for each station with its own limits and those of its reference station.
 
-    Rows are looked up directly; they are not scanned a second time to find their distinct keys.
+    ``thr`` names kinds of thresholds (range, step, persist). The table holds dimensions only; written to the shared folder, its size
+    is known to Spark, and readings need one look-up whatever the steps of the chain.
     """
-    rows = rows.join(_station_part(station), "station_id", "left")
-    for owner, exact, name in STEPS:
-        rows = _attempt(rows, thr, owner, exact, detail, limits, name)
-    names = [name for *_, name in STEPS]
-    source = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(m)) for n, m in zip(names, messages)])
-    return rows.withColumns({"_hit": F.coalesce(*names), "_source": source}).drop(*names, "reference_station_id")
+    rows = _station_part(station)
+    for kind, table in thr.items():
+        own = _levels(table, *KINDS[kind], f"_{kind}_own")
+        rows = rows.join(own, "station_id", "full_outer")
+        named = {"station_id": "reference_station_id", f"_{kind}_own": f"_{kind}_ref"}
+        rows = rows.join(own.withColumnsRenamed(named), "reference_station_id", "left")
+    return stored(rows.drop("reference_station_id"), "limits")
 
 
-def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
-    """Limits for rows with (station, variable, interval, month); the variable's own limits come last."""
-    rows = _chain(
-        keys,
-        thr,
-        station,
-        ["month"],
-        ["range_min", "range_max"],
-        [CUSTOM_EXACT, CUSTOM_ANY_RANGE, REFERENCE, REFERENCE],
-    ).join(
-        _variable_part(variable, "range_min", "range_max", "range_min_hourly", "range_max_hourly"),
-        "variable_id",
-        "left",
-    )
-    auto = F.col("is_automatic")
-    hit = F.col("_hit").isNotNull()
+def _with_limits(rows: DataFrame, limits: DataFrame, variable: DataFrame, *columns: str) -> DataFrame:
+    """Rows with their station's limits and columns of their variable."""
+    return rows.join(limits, "station_id", "left").join(_variable_part(variable, *columns), "variable_id", "left")
+
+
+def _found(kind: str, messages: list[str], detail: Column | None, interval: Column) -> tuple[Column, Column]:
+    """First hit of: own station exact, own station any interval, reference exact, reference any interval; and its message."""
+    hits = []
+    for owner in ("own", "ref"):
+        level = F.try_element_at(F.col(f"_{kind}_{owner}"), F.col("variable_id"))
+        if detail is not None:
+            level = F.try_element_at(level, detail)
+        hits += [F.try_element_at(level["exact"], interval), level["any"]]
+    return F.coalesce(*hits), F.coalesce(*[F.when(h.isNotNull(), F.lit(m)) for h, m in zip(hits, messages)])
+
+
+def _range_limits(rows: DataFrame, interval: str = "interval", month: Column | None = None) -> DataFrame:
+    """Adds the range limits; the variable's own ones come last."""
+    messages = [CUSTOM_EXACT, CUSTOM_ANY_RANGE, REFERENCE, REFERENCE]
+    hit, source = _found("range", messages, F.col("month") if month is None else month, F.col(interval))
+    auto, known = F.col("is_automatic"), F.col("_hit").isNotNull()
 
     def limit(name: str) -> Column:
-        return (
-            F.when(hit, F.col(f"_hit.{name}"))
-            .when(auto, F.col(f"_{name}_hourly"))
-            .when(~auto, F.col(f"_{name}"))
+        return F.when(known, F.col(f"_hit.{name}")).when(auto, F.col(f"_{name}_hourly")).when(~auto, F.col(f"_{name}"))
+
+    return (
+        rows.withColumns({"_hit": hit, "_source": source})
+        .withColumns(
+            {
+                "range_min": limit("range_min"),
+                "range_max": limit("range_max"),
+                "range_description": F.coalesce("_source", F.when(auto, GLOBAL_AUTOMATIC).when(~auto, GLOBAL_MANUAL)),
+            }
         )
+        .drop("_hit", "_source")
+    )
 
-    return rows.select(
-        *keys.columns,
-        limit("range_min").alias("range_min"),
-        limit("range_max").alias("range_max"),
-        F.coalesce("_source", F.when(auto, GLOBAL_AUTOMATIC).when(~auto, GLOBAL_MANUAL)).alias("range_description"),
+
+def _step_limits(rows: DataFrame, interval: str = "interval") -> DataFrame:
+    """Adds the step limits; the global rule is plus/minus one step, if any."""
+    hit, source = _found("step", [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE], None, F.col(interval))
+    auto, known = F.col("is_automatic"), F.col("_hit").isNotNull()
+    size = F.when(auto, F.col("_step_hourly")).when(~auto, F.col("_step"))
+    overall = F.when(size.isNotNull() & auto, GLOBAL_AUTOMATIC).when(size.isNotNull(), GLOBAL_MANUAL)
+    return (
+        rows.withColumns({"_hit": hit, "_source": source})
+        .withColumns(
+            {
+                "step_min": F.when(known, F.col("_hit.step_min")).otherwise(-size),
+                "step_max": F.when(known, F.col("_hit.step_max")).otherwise(size),
+                "step_description": F.coalesce("_source", overall),
+            }
+        )
+        .drop("_hit", "_source")
     )
 
 
+RANGE_COLUMNS = ["range_min", "range_max", "range_min_hourly", "range_max_hourly"]
+STEP_COLUMNS = ["step", "step_hourly"]
+
+
+def resolve_range_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
+    """Limits for rows with (station, variable, interval, month); the variable's own limits come last."""
+    rows = _range_limits(_with_limits(keys, station_limits(station, range=thr), variable, *RANGE_COLUMNS))
+    return rows.select(*keys.columns, "range_min", "range_max", "range_description")
+
+
 def resolve_step_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
     """Limits for rows with (station, variable, interval); the global rule is plus/minus one step, if any."""
-    rows = _chain(
-        keys, thr, station, [], ["step_min", "step_max"], [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE]
-    ).join(_variable_part(variable, "step", "step_hourly"), "variable_id", "left")
-    auto = F.col("is_automatic")
-    size = F.when(auto, F.col("_step_hourly")).when(~auto, F.col("_step"))
-    hit = F.col("_hit").isNotNull()
-    return rows.select(
-        *keys.columns,
-        F.when(hit, F.col("_hit.step_min")).otherwise(-size).alias("step_min"),
-        F.when(hit, F.col("_hit.step_max")).otherwise(size).alias("step_max"),
-        F.coalesce(
-            "_source",
-            F.when(size.isNotNull() & auto, GLOBAL_AUTOMATIC).when(size.isNotNull(), GLOBAL_MANUAL),
-        ).alias("step_description"),
-    )
+    rows = _step_limits(_with_limits(keys, station_limits(station, step=thr), variable, *STEP_COLUMNS))
+    return rows.select(*keys.columns, "step_min", "step_max", "step_description")
 
 
 def resolve_persist_threshold(keys: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
     """Smallest variation for (station, variable, interval, window); nothing for a zero window or interval."""
-    rows = _chain(
-        keys, thr, station, ["window"], ["minimum_variance"], [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE]
-    ).join(_variable_part(variable, "persistence", "persistence_hourly"), "variable_id", "left")
+    rows = _with_limits(keys, station_limits(station, persist=thr), variable, "persistence", "persistence_hourly")
+    hit, source = _found(
+        "persist", [CUSTOM_EXACT, CUSTOM_EXACT, REFERENCE, REFERENCE], F.col("window").cast("int"), F.col("interval")
+    )
     auto = F.col("is_automatic")
     usable = (F.col("window") != 0) & (F.col("interval") != 0)
     limit = F.when(F.col("_hit").isNotNull(), F.col("_hit.minimum_variance")).otherwise(
         F.when(auto, F.col("_persistence_hourly")).when(~auto, F.col("_persistence"))
     )
-    source = F.coalesce("_source", F.when(auto, F.lit(GLOBAL_AUTOMATIC)).when(~auto, F.lit(GLOBAL_MANUAL)))
-    return rows.select(
+    overall = F.when(auto, F.lit(GLOBAL_AUTOMATIC)).when(~auto, F.lit(GLOBAL_MANUAL))
+    return rows.withColumns({"_hit": hit, "_source": source}).select(
         *keys.columns,
         F.when(usable, limit).alias("persist_min"),
-        F.when(usable, source).alias("persist_description"),
+        F.when(usable, F.coalesce("_source", overall)).alias("persist_description"),
     )
 
 
@@ -203,15 +252,30 @@ def final_flag() -> Column:
     )
 
 
+def _range_tested(rows: DataFrame) -> DataFrame:
+    """Range flag and message of readings that carry their limits."""
+    limited = _range_limits(rows, "seconds", F.month("datetime"))
+    return limited.withColumns({"qc_range_quality_flag": range_flag(), "qc_range_description": range_message()}).drop(
+        "range_min", "range_max", "range_description"
+    )
+
+
+def _step_tested(rows: DataFrame) -> DataFrame:
+    """Step flag and message of readings that carry their limits and differences."""
+    limited = _step_limits(rows, "seconds")
+    return limited.withColumns({"qc_step_quality_flag": step_flag(), "qc_step_description": step_message()}).drop(
+        "step_min", "step_max", "step_description"
+    )
+
+
+RANGE_RESULT = ["qc_range_quality_flag", "qc_range_description"]
+STEP_RESULT = ["qc_step_quality_flag", "qc_step_description"]
+
+
 def qc_range_test(batch: DataFrame, thr: DataFrame, station: DataFrame, variable: DataFrame) -> DataFrame:
     """Inclusive range test against the limits of the reading's month."""
-    rows = batch.withColumns({"month": F.month("datetime"), "interval": F.col("seconds")})
-    return (
-        resolve_range_threshold(rows, thr, station, variable)
-        .withColumn("qc_range_quality_flag", range_flag())
-        .withColumn("qc_range_description", range_message())
-        .select(*batch.columns, "qc_range_quality_flag", "qc_range_description")
-    )
+    rows = _with_limits(batch, station_limits(station, range=thr), variable, *RANGE_COLUMNS)
+    return _range_tested(rows).select(*batch.columns, *RANGE_RESULT)
 
 
 def step_differences(batch: DataFrame) -> DataFrame:
@@ -223,6 +287,14 @@ def step_differences(batch: DataFrame) -> DataFrame:
     ).select(*batch.columns, "diff_value", "diff_seconds")
 
 
+def _stepped(batch: DataFrame, last_stored: DataFrame | None) -> DataFrame:
+    """Differences inside the batch; ``last_stored`` rows may be put in front of each series."""
+    rows = batch.withColumn("_new", F.lit(True))
+    if last_stored is not None:
+        rows = rows.unionByName(last_stored.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    return step_differences(rows).filter("_new")
+
+
 def qc_step_test(
     batch: DataFrame,
     thr: DataFrame,
@@ -231,29 +303,55 @@ def qc_step_test(
     last_stored: DataFrame | None = None,
 ) -> DataFrame:
     """Step test inside the batch; ``last_stored`` rows may be put in front of each series."""
-    rows = batch.withColumn("_new", F.lit(True))
-    if last_stored is not None:
-        rows = rows.unionByName(last_stored.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    stepped = step_differences(rows).filter("_new").withColumn("interval", F.col("seconds"))
-    return (
-        resolve_step_threshold(stepped, thr, station, variable)
-        .withColumn("qc_step_quality_flag", step_flag())
-        .withColumn("qc_step_description", step_message())
-        .select(*batch.columns, "qc_step_quality_flag", "qc_step_description")
-    )
+    rows = _with_limits(_stepped(batch, last_stored), station_limits(station, step=thr), variable, *STEP_COLUMNS)
+    return _step_tested(rows).select(*batch.columns, *STEP_RESULT)
+
+
+def qc_tests(
+    batch: DataFrame,
+    limits: DataFrame,
+    variable: DataFrame,
+    last_stored: DataFrame | None = None,
+) -> DataFrame:
+    """Range and step tests with one look-up of limits a reading; ``limits`` are those of ``station_limits``."""
+    rows = _with_limits(_stepped(batch, last_stored), limits, variable, *RANGE_COLUMNS, *STEP_COLUMNS)
+    return _step_tested(_range_tested(rows)).select(*batch.columns, *RANGE_RESULT, *STEP_RESULT)
 
 
 def qc_ingest(
-    batch: DataFrame, range_thr: DataFrame, step_thr: DataFrame, station: DataFrame, variable: DataFrame
+    batch: DataFrame,
+    range_thr: DataFrame,
+    step_thr: DataFrame,
+    station: DataFrame,
+    variable: DataFrame,
+    limits: DataFrame | None = None,
+) -> DataFrame:
+    """Range and step tests with the combined flag; coded readings skip them and carry no number.
+
+    A stream passes its ``limits``, so that they are resolved once and not in every batch.
+    """
+    limits = station_limits(station, range=range_thr, step=step_thr) if limits is None else limits
+    known = variable.withColumn("coded", is_coded())
+    # a coded reading is no neighbour of the numeric ones: its series has no others
+    rows = _with_limits(_stepped(batch, None), limits, known, *RANGE_COLUMNS, *STEP_COLUMNS, "coded")
+    coded = F.coalesce("_coded", F.lit(False))
+    tested = _step_tested(_range_tested(rows))
+    results = {c: F.when(~coded, F.col(c)) for c in (*RANGE_RESULT, *STEP_RESULT)}
+    own = {
+        "quality_flag": F.when(coded, F.col("quality_flag") if "quality_flag" in batch.columns else F.lit(None)).otherwise(ingest_flag()),
+        "code": F.when(coded, F.col("code") if "code" in batch.columns else F.lit(None).cast("string")),
+        "measured": F.when(coded, F.lit(MISSING)).otherwise(F.col("measured")),
+    }
+    return tested.withColumns({**own, **results}).select(*dict.fromkeys([*batch.columns, *own, *results]))
+
+
+def qc_final(
+    obs: DataFrame, range_thr: DataFrame, step_thr: DataFrame, persist_thr: DataFrame, station: DataFrame, variable: DataFrame
 ) -> DataFrame:
-    """Range and step tests with the combined flag; coded readings skip them and carry no number."""
-    kinds = variable.select(F.col("id").alias("variable_id"), is_coded().alias("_coded"))
-    marked = batch.join(kinds, "variable_id", "left")
-    numeric = marked.filter("NOT coalesce(_coded, false)").drop("_coded")
-    tested = qc_step_test(qc_range_test(numeric, range_thr, station, variable), step_thr, station, variable)
-    tested = tested.withColumn("quality_flag", ingest_flag()).withColumn("code", F.lit(None).cast("string"))
-    coded = marked.filter("_coded").drop("_coded").withColumn("measured", F.lit(MISSING))
-    return tested.unionByName(coded, allowMissingColumns=True)
+    """All three tests over stored readings, and the flag that counts."""
+    tested = qc_tests(obs, station_limits(station, range=range_thr, step=step_thr), variable)
+    judged = qc_persist_suspicious(qc_persist_test(tested, persist_limits(obs, persist_thr, station, variable)))
+    return judged.withColumn("quality_flag", final_flag())
 
 
 def rejudge(
@@ -263,29 +361,27 @@ def rejudge(
     step_thr: DataFrame,
     station: DataFrame,
     variable: DataFrame,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Merged readings with the ingest flag of the touched keys, and of the readings that follow one, judged anew.
 
     ``obs`` reaches one interval around the touched keys. Coded readings and those without an interval stay as they are.
     """
-    kinds = variable.select(F.col("id").alias("variable_id"), is_coded().alias("_coded"))
-    marked = (
-        obs.join(touched.select(*KEY).distinct().withColumn("_new", F.lit(True)), KEY, "left")
-        .join(kinds, "variable_id", "left")
-        .withColumn("_month", F.month("datetime"))
+    limits = station_limits(station, range=range_thr, step=step_thr) if limits is None else limits
+    known = variable.withColumn("coded", is_coded())
+    marked = obs.join(touched.select(*KEY).distinct().withColumn("_new", F.lit(True)), KEY, "left").withColumn(
+        "_month", F.month("datetime")
     )
     stepped = with_previous(marked, [*SERIES, "seconds", "_month"], ["measured", "_new"])
-    due = F.col("seconds").isNotNull() & ~F.coalesce("_coded", F.lit(False)) & F.coalesce("_new", "prev__new", F.lit(False))
     changes = stepped.select(
         *obs.columns,
-        due.alias("_due"),
+        F.coalesce("_new", "prev__new", F.lit(False)).alias("_near"),
         (F.col("measured") - F.col("prev_measured")).alias("diff_value"),
         F.coalesce(seconds_between("datetime", "prev_datetime"), F.lit(0)).alias("diff_seconds"),
     )
-    ranged = qc_range_test(changes, range_thr, station, variable).withColumn("interval", F.col("seconds"))
-    judged = resolve_step_threshold(ranged, step_thr, station, variable).withColumn("qc_step_quality_flag", step_flag())
-    flag = F.when(F.col("_due"), ingest_flag()).otherwise(F.col("quality_flag"))
-    return judged.withColumn("quality_flag", flag).select(*obs.columns)
+    judged = _step_tested(_range_tested(_with_limits(changes, limits, known, *RANGE_COLUMNS, *STEP_COLUMNS, "coded")))
+    due = F.col("seconds").isNotNull() & ~F.coalesce("_coded", F.lit(False)) & F.col("_near")
+    return judged.withColumn("quality_flag", F.when(due, ingest_flag()).otherwise(F.col("quality_flag"))).select(*obs.columns)
 
 
 def modal_interval(obs: DataFrame) -> DataFrame:
@@ -363,6 +459,60 @@ def qc_persist_suspicious(tested: DataFrame) -> DataFrame:
     )
 
 
+def touched_ranges(batch: DataFrame) -> DataFrame:
+    """First and last touched time of each series and day."""
+    return batch.groupBy(*SERIES, F.to_date("datetime").alias("_day")).agg(
+        F.min("datetime").alias("start_datetime"), F.max("datetime").alias("end_datetime")
+    ).drop("_day")
+
+
+def around_ranges(obs: DataFrame, ranges: DataFrame, limits: DataFrame) -> DataFrame:
+    """Readings two windows around the touched ranges; ``_due`` marks those within one window, whose flags may change.
+
+    A touched value changes the spread of the window behind it, and a bad reading marks the window before it. So the
+    flags of one window around a range depend on values of two. Ranges meet readings by day; a day knows the few ranges near it.
+    """
+    wide = lookup(ranges, limits.select(*SERIES, "window"), SERIES, how="inner", spread="start_datetime")
+    w = F.greatest(F.coalesce("window", F.lit(1)), F.lit(1)).cast("long")
+    near = wide.select(
+        *SERIES,
+        F.struct(
+            shift_seconds("start_datetime", -2 * w).alias("first"),
+            shift_seconds("start_datetime", -w).alias("due_first"),
+            shift_seconds("end_datetime", w).alias("due_last"),
+            shift_seconds("end_datetime", 2 * w).alias("last"),
+        ).alias("r"),
+    )
+    days = near.withColumn("_day", F.explode(F.sequence(F.to_date("r.first"), F.to_date("r.last"))))
+    by_day = days.groupBy(*SERIES, "_day").agg(F.collect_list("r").alias("_near"))
+    rows = lookup(obs.withColumn("_day", F.to_date("datetime")), by_day, [*SERIES, "_day"], how="inner")
+    at = F.col("datetime")
+    return (
+        rows.filter(F.exists("_near", lambda r: at.between(r["first"], r["last"])))
+        .withColumn("_due", F.exists("_near", lambda r: at.between(r["due_first"], r["due_last"])))
+        .select(*obs.columns, "_due")
+    )
+
+
+PERSIST_RESULT = ["qc_persist_quality_flag", "qc_persist_description"]
+
+
+def qc_persist_refresh(obs: DataFrame, touched: DataFrame, limits: DataFrame) -> DataFrame:
+    """Readings whose persistence or final flag changes because of the touched keys, with the new flags.
+
+    ``obs`` are the stored readings after the touched ones were merged, with the flags of all three tests; ``limits`` are those of ``persist_limits``.
+    Flags depend on values only, so one pass settles them: a second one finds nothing to change.
+    """
+    near = around_ranges(obs, touched_ranges(touched), limits)
+    before = {c: f"_old_{c}" for c in (*PERSIST_RESULT, "quality_flag")}
+    judged = qc_persist_suspicious(qc_persist_test(near.withColumnsRenamed(before), limits))
+    judged = judged.withColumn("quality_flag", final_flag())
+    changed = ~F.col("qc_persist_quality_flag").eqNullSafe(F.col("_old_qc_persist_quality_flag")) | ~F.col("quality_flag").eqNullSafe(
+        F.col("_old_quality_flag")
+    )
+    return judged.filter(F.col("_due") & changed).select(*obs.columns)
+
+
 # lists ----------------------------------------------------------------------------------------
 
 
