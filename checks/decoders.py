@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.places import CURVES, POINTS, curves, flow_sql, points
 from checks.registry import register
+from pluvio.plans import ingest
+from pluvio.session import stored
 from pluvio.sources import lightning, loggers, manifest, satellite, sheets
 
 QUOTE = '"'
@@ -132,15 +134,16 @@ def wide_lines(t):
     return data.unionByName(header)
 
 
-register(
-    "ingest_wide_csv",
-    lambda t: loggers.ingest_wide_csv(wide_lines(t), t.variable(), t.station()),
-    """SELECT o.station_id, o.variable_id, m.gap AS seconds, o.datetime, o.measured, NULL AS quality_flag, false AS is_daily
+WIDE_SQL = """SELECT o.station_id, o.variable_id, m.gap AS seconds, o.datetime, o.measured, NULL AS quality_flag, false AS is_daily
     FROM obs o JOIN (SELECT station_id, CAST(gap AS INT) AS gap FROM (SELECT station_id, gap, count(*) AS n FROM (
         SELECT station_id, coalesce(CAST(epoch(datetime - lag(datetime) OVER (PARTITION BY station_id ORDER BY datetime)) AS BIGINT), 0) AS gap
         FROM (SELECT DISTINCT station_id, datetime FROM obs)) GROUP BY 1, 2)
       QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY n DESC, gap) = 1) m USING (station_id)
-    WHERE variable_id < 5""",
+    WHERE variable_id < 5"""
+register(
+    "ingest_wide_csv",
+    lambda t: loggers.ingest_wide_csv(wide_lines(t), t.variable(), t.station()),
+    WIDE_SQL,
 )
 
 
@@ -170,15 +173,16 @@ SHEET_VALUES = {"rainfall": "r", "temp_max": "x", "temp_min": "n", "total_rad":
 SHEET_CELLS = ", ".join(
     f"{{'v': {v}, 'm': CAST({SHEET_VALUES.get(c, '-99.9')} AS DOUBLE)}}" for c, v in sheets.DAILY_COLUMNS.items()
 )
-register(
-    "ingest_daily_sheet",
-    lambda t: sheets.ingest_daily_sheet(daily_sheet(t), t.station()),
-    f"""SELECT station_id, u.v AS variable_id, 86400 AS seconds, CAST(day + 2 AS TIMESTAMP) - to_minutes(utc_offset_minutes) AS datetime,
+DAILY_SQL = f"""SELECT station_id, u.v AS variable_id, 86400 AS seconds, CAST(day + 2 AS TIMESTAMP) - to_minutes(utc_offset_minutes) AS datetime,
       coalesce(CAST(u.m AS DOUBLE), -99.9) AS measured, NULL AS quality_flag, true AS is_daily
     FROM (SELECT *, unnest([{SHEET_CELLS}]) AS u
       FROM (SELECT station_id, day, max(sum_value) FILTER (variable_id = 6) AS r, max(max_value) FILTER (variable_id = 7) AS x,
           min(min_value) FILTER (variable_id = 8) AS n FROM climate_daily GROUP BY 1, 2) JOIN station s ON s.id = station_id)
-    WHERE day(day) + 2 <= day(last_day(day))""",
+    WHERE day(day) + 2 <= day(last_day(day))"""
+register(
+    "ingest_daily_sheet",
+    lambda t: sheets.ingest_daily_sheet(daily_sheet(t), t.station()),
+    DAILY_SQL,
 )
 
 
@@ -240,24 +244,30 @@ register(
 
 
 def river_sheet(t):
-    return t.climate_daily().filter("variable_id = 6").select(
+    """All daily figures as levels: the lowest and the highest of a station and day."""
+    level = t.climate_daily().groupBy("station_id", "day").agg(
+        F.min("min_value").alias("low"), F.max("max_value").alias("high"), F.sum("sum_value").alias("total")
+    )
+    return level.select(
         "station_id",
         F.trunc("day", "month").alias("month_start"),
         F.dayofmonth("day").cast("string").alias("day"),
-        F.col("min_value").cast("string").alias("level_6am"),
-        F.when(F.col("sum_value") % 7 == 0, "dry").otherwise(F.col("max_value").cast("string")).alias("level_6pm"),
+        F.col("low").cast("string").alias("level_6am"),
+        F.when(F.col("total") % 7 == 0, "dry").otherwise(F.col("high").cast("string")).alias("level_6pm"),
     )
 
 
-LEVELS = """SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR - to_minutes(s.utc_offset_minutes) AS datetime, min_value AS measured
-    FROM climate_daily JOIN station s ON s.id = station_id WHERE variable_id = 6
-  UNION ALL SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 18 HOUR - to_minutes(s.utc_offset_minutes), max_value
-    FROM climate_daily JOIN station s ON s.id = station_id WHERE variable_id = 6 AND sum_value % 7 <> 0"""
+RIVER_ROWS = "(SELECT station_id, day, min(min_value) AS low, max(max_value) AS high, sum(sum_value) AS total FROM climate_daily GROUP BY 1, 2)"
+LEVELS = f"""SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR - to_minutes(s.utc_offset_minutes) AS datetime, low AS measured
+    FROM {RIVER_ROWS} r JOIN station s ON s.id = station_id
+  UNION ALL SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 18 HOUR - to_minutes(s.utc_offset_minutes), high
+    FROM {RIVER_ROWS} r JOIN station s ON s.id = station_id WHERE total % 7 <> 0"""
+RIVER_SQL = """SELECT station_id, 4015 AS variable_id, 43200 AS seconds, datetime, measured, 1 AS quality_flag, false AS is_daily FROM flows
+    UNION ALL SELECT station_id, 4016, 43200, datetime, flow, 1, false FROM flows"""
 register(
     "ingest_river_sheet",
     lambda t: sheets.ingest_river_sheet(river_sheet(t), t.station(), curves(t), points(t)),
-    """SELECT station_id, 4015 AS variable_id, 43200 AS seconds, datetime, measured, 1 AS quality_flag, false AS is_daily FROM flows
-    UNION ALL SELECT station_id, 4016, 43200, datetime, flow, 1, false FROM flows""",
+    RIVER_SQL,
     curves=CURVES,
     points=POINTS,
     levels=LEVELS,
@@ -488,3 +498,129 @@ register(
       JOIN files f USING (id)""",
     files="SELECT doc_id AS id, source || '/' || doc_id AS filepath, md5(text) AS file_hash, n_chars AS file_size, CAST(doc_id % 6 + 1 AS INT) AS status_id FROM documents",
 )
+
+
+# files of all formats, routed by a manifest ---------------------------------------------------
+
+SPOILT = "station_id % 4 = 1 AND day = 13"
+
+
+def sheet_lines(path, columns):
+    """Lines of sheets saved as CSV: the header, one line a row, and a total at the end."""
+
+    def run(rows):
+        text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        placed = rows.withColumn("path", path)
+        ends = placed.select("path").distinct()
+        data = placed.select("path", text.alias("line"))
+        both = ends.select("path", F.explode(F.array(F.lit(",".join(columns)), F.lit("total,,,"))).alias("line"))
+        return data.unionByName(both)
+
+    return run
+
+
+def in_path(folder, *parts):
+    return F.concat(F.lit(f"file:/{folder}/"), *[F.lit(p) if p in ("_", ".csv") else F.col(p).cast("string") for p in parts])
+
+
+def mixed_files(t):
+    """(decoder, path, line) of six formats. Some logger files have a line of noise; the names of some wide files have no known station."""
+    day = F.regexp_extract("path", r"(\d{2})\.\w+$", 1).try_cast("int")
+    code = F.regexp_extract("path", r"ST(\d+)", 1).try_cast("int")
+    toa5 = logger_lines(t).filter(code % 3 == 0)
+    noise = toa5.filter((code % 4 == 1) & (day == 13)).select("path", F.lit("#!corrupt").alias("line")).distinct()
+    hobo = hobo_lines(t).filter(F.regexp_extract("path", r"/(\d+)-", 1).try_cast("int") % 3 == 1)
+    wide = wide_lines(t).filter(code % 3 == 2)
+    stray = wide.withColumn("path", F.replace("path", F.lit("_ST"), F.lit("_XX"))).filter(code % 5 == 0)
+    daily = daily_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
+    river = river_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
+    made = {
+        "TOA5": toa5.unionByName(noise),
+        "HOBO": hobo,
+        "SURFACE": wide.unionByName(stray),
+        "MANUAL DAILY": sheet_lines(in_path("daily", "station_id", "_", "month", ".csv"), ["day", "month", *sheets.DAILY_COLUMNS])(daily),
+        "MANUAL HOURLY": sheet_lines(
+            in_path("hourly", "station_code", "_", "day", ".csv"),
+            ["day", "hour", "station_code", *sheets.SYNOPTIC_COLUMNS, *sheets.CLOUD_GROUPS, *sheets.PAST_WEATHER],
+        )(synoptic_sheet(t)),
+        "HYDROLOGY": sheet_lines(in_path("river", "station_id", "_", "month", ".csv"), ["day", "month", "level_6am", "level_6pm"])(river),
+    }
+    out = None
+    for decoder, lines in made.items():
+        rows = lines.select(F.lit(decoder).alias("decoder"), "path", "line")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mixed_manifest(files):
+    """A row for each file by its content; every seventh has a copy before it, some have no decoder, one is not there."""
+    per_file = files.groupBy("decoder", "path").agg(F.bit_xor(F.xxhash64("line")).alias("h"), F.count("*").alias("n"))
+    number = F.pmod(F.xxhash64("path"), F.lit(1 << 40))
+    owner = F.regexp_extract("path", r"/(?:daily|river)/(\d+)_", 1)
+    rows = per_file.select(
+        number.alias("id"),
+        F.col("path").alias("filepath"),
+        F.when(F.col("path").like("%/hobo/%05.csv"), "SPREADSHEET").otherwise(F.col("decoder")).alias("decoder"),
+        owner.try_cast("int").alias("station_id"),
+        F.concat_ws("-", "path", "h", "n").alias("file_hash"),
+        F.lit(1).alias("status_id"),
+    )
+    copies = rows.filter("filepath LIKE '%07.dat'").withColumns(
+        {"id": -F.col("id") - 1, "filepath": F.concat("filepath", F.lit(".copy"))}
+    )
+    gone = rows.orderBy("filepath").limit(1).withColumns(
+        {"id": F.lit(-1).cast("long") - (1 << 41), "filepath": F.lit("file:/in/gone.dat"), "decoder": F.lit("TOA5"), "file_hash": F.lit("gone")}
+    )
+    return rows.unionByName(copies).unionByName(gone)
+
+
+def ingested(t):
+    files = stored(mixed_files(t), "mixed-files")
+    dims = ingest.Dimensions(t.station(), t.variable(), logger_format(t), hobo_format(t), curves(t), points(t))
+    return ingest.ingest_by_decoder(mixed_manifest(files), files.select("path", "line"), dims)
+
+
+def same_file(sql: str, where: str) -> str:
+    return f"""SELECT station_id, variable_id, seconds, datetime, measured, quality_flag, is_daily FROM (
+      SELECT q.*, day(datetime + to_minutes(s.utc_offset_minutes)) AS day FROM ({sql}) q JOIN station s ON s.id = q.station_id) WHERE {where}"""
+
+
+register(
+    "ingest_by_decoder",
+    lambda t: ingested(t).readings,
+    " UNION ALL ".join(
+        [
+            same_file(CELLS.format(seconds=SECONDS, flag=1), f"station_id % 3 = 0 AND NOT ({SPOILT})"),
+            same_file(CELLS.format(seconds=SECONDS, flag="NULL"), "station_id % 3 = 1 AND day <> 5"),
+            same_file(WIDE_SQL, "station_id % 3 = 2"),
+            DAILY_SQL,
+            synoptic_sql(),
+            RIVER_SQL,
+        ]
+    ),
+    curves=CURVES,
+    points=POINTS,
+    levels=LEVELS,
+    flows=flow_sql("levels"),
+)
+LOCAL = "SELECT DISTINCT station_id, s.code, CAST(datetime + to_minutes(s.utc_offset_minutes) AS DATE) AS d FROM readings JOIN station s ON s.id = station_id"
+SHEETS = "SELECT DISTINCT station_id, strftime(day, '%Y-%m') AS m FROM {0}"
+register(
+    "file_state_after_ingest",
+    lambda t: ingested(t).states.drop("id"),
+    f"""SELECT path AS filepath, CASE WHEN reason IS NULL THEN 3 ELSE 4 END AS status_id,
+      'Error Processing file with "' || decoder || '" decoder. ' || reason AS observation FROM (
+        SELECT 'TOA5' AS decoder, 'file:/in/' || code || strftime(d, '_%Y%m%d.dat') AS path,
+          CASE WHEN station_id % 4 = 1 AND day(d) = 13 THEN 'not a line of data: #!corrupt' END AS reason FROM locald WHERE station_id % 3 = 0
+        UNION ALL SELECT CASE WHEN day(d) = 5 THEN 'SPREADSHEET' ELSE 'HOBO' END, 'file:/hobo/' || station_id || strftime(d, '-%Y%m%d.csv'),
+          CASE WHEN day(d) = 5 THEN 'unknown decoder' END FROM locald WHERE station_id % 3 = 1
+        UNION ALL SELECT DISTINCT 'SURFACE', 'file:/w/wide_' || code || '_2024-01.csv', NULL FROM locald WHERE station_id % 3 = 2
+        UNION ALL SELECT DISTINCT 'SURFACE', 'file:/w/wide_XX' || substr(code, 3) || '_2024-01.csv', 'unknown station XX' || substr(code, 3)
+          FROM locald WHERE station_id % 3 = 2 AND station_id % 5 = 0
+        UNION ALL SELECT 'MANUAL DAILY', 'file:/daily/' || station_id || '_' || m || '.csv', NULL FROM ({SHEETS.format('climate_daily')})
+        UNION ALL SELECT 'HYDROLOGY', 'file:/river/' || station_id || '_' || m || '.csv', NULL FROM ({SHEETS.format('climate_daily')})
+        UNION ALL SELECT 'MANUAL HOURLY', 'file:/hourly/' || code || '_' || d || '.csv', NULL FROM locald
+        UNION ALL SELECT 'TOA5', 'file:/in/gone.dat', 'no such file, or an empty one')
+    UNION ALL SELECT 'file:/in/' || code || strftime(d, '_%Y%m%d.dat.copy'), 5, NULL FROM locald WHERE station_id % 3 = 0 AND day(d) = 7""",
+    locald=LOCAL,
+)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import r2
 from checks.registry import register
 from checks.summaries import daily
-from pluvio.operators import rating, signal, spatial
+from pluvio.operators import rating, signal, spatial, write
 
 WEST, SOUTH, EAST, NORTH = -90.0, 15.0, -87.0, 19.0
 
@@ -226,6 +226,35 @@ register(
 )
 
 
+LATE_HF = "minute(datetime) BETWEEN 7 AND 8 OR station_id % 2 = 1 AND datetime = TIMESTAMP '2024-01-15 12:20:00'"
+
+
+def hf_refreshed(t):
+    """Summaries of 10-minute windows without the late readings, brought up to date."""
+    late = t.hf().filter(LATE_HF)
+    before = signal.wave_windows(t.hf().filter(f"NOT ({LATE_HF})"), 10, 3, START).withColumn("minutes", F.lit(10))
+    return signal.hf_refresh(t.hf(), write.dirty_hf_ranges(late), before, [10], 3, START).drop("minutes")
+
+
+register(
+    "hf_refresh",
+    lambda t: rounded(hf_refreshed(t), "measured", digits=5),
+    f"""SELECT station_id, variable_id, datetime, name, {r2('measured', 5)} AS measured FROM (SELECT * FROM stats UNION ALL
+      SELECT station_id, variable_id, datetime, 'Wave Component ' || component || unnest([' Frequency', ' Amplitude', ' Phase']), unnest([frequency, amplitude, phase]) FROM waves)""",
+    hfw=HFW.format(s=600),
+    stats=STATS,
+    waves=dft_sql(3),
+)
+register(
+    "hf_touched_windows",
+    lambda t: signal.touched_windows(write.dirty_hf_ranges(t.hf().filter(LATE_HF)), 5, START),
+    f"""SELECT DISTINCT station_id, variable_id, w AS window_end FROM (
+      SELECT station_id, variable_id, min(datetime) AS a, max(datetime) AS b FROM hf WHERE {LATE_HF} GROUP BY 1, 2),
+      unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{START}' + INTERVAL 2 HOUR, INTERVAL 5 MINUTE)) AS g(w)
+    WHERE w >= a AND w - INTERVAL 5 MINUTE < b""",
+)
+
+
 def neighbourhood(t):
     return t.station().select(
         F.concat(F.lit("N"), F.floor(F.col("id") / 3).cast("string")).alias("name"), F.col("id").alias("station_id")

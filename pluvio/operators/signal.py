@@ -3,12 +3,15 @@ rain prediction."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import micros, positive_degrees
+from pluvio.functions.joins import lookup
 from pluvio.operators.climatology import rolling_accumulation
 from pluvio.schema import KEY, SERIES
 
@@ -17,13 +20,16 @@ MIN_FREQUENCY, MAX_FREQUENCY, MIN_AMPLITUDE = 0.0001, 0.3, 0.01
 TOP_COMPONENTS = 5
 
 
-def in_windows(hf: DataFrame, minutes: int, start: str | None = None) -> DataFrame:
-    """Adds ``window_end`` of the tumbling window (end - minutes, end] each reading falls into."""
+def _window_end(at: str, minutes: int, start: str | None) -> Column:
     width = minutes * 60_000_000
     origin = F.unix_micros(F.to_timestamp(F.lit(start))) if start else F.lit(0)
-    t = micros("datetime") - origin
-    end = F.ceil(t / F.lit(width)) * F.lit(width) + origin
-    return hf.withColumn("window_end", F.timestamp_micros(end.cast("bigint")))
+    end = F.ceil((micros(at) - origin) / F.lit(width)) * F.lit(width) + origin
+    return F.timestamp_micros(end.cast("bigint"))
+
+
+def in_windows(hf: DataFrame, minutes: int, start: str | None = None) -> DataFrame:
+    """Adds ``window_end`` of the tumbling window (end - minutes, end] each reading falls into."""
+    return hf.withColumn("window_end", _window_end("datetime", minutes, start))
 
 
 def hf_window_stats(windowed: DataFrame) -> DataFrame:
@@ -108,6 +114,36 @@ def wave_windows(
     return hf_window_stats(windowed).unionByName(waves)
 
 
+WINDOW_MINUTES = (1, 5, 10, 15)
+
+
+def touched_windows(ranges: DataFrame, minutes: int, start: str | None = None) -> DataFrame:
+    """(series, window_end) of every (end - minutes, end] window that the closed ranges of ``dirty_hf_ranges`` reach into."""
+    first, last = (_window_end(c, minutes, start) for c in ("start_datetime", "end_datetime"))
+    ends = F.sequence(first, last, F.expr(f"interval {minutes} minutes"))
+    return ranges.select(*SERIES, F.explode(ends).alias("window_end")).distinct()
+
+
+def hf_refresh(
+    hf: DataFrame,
+    ranges: DataFrame,
+    summaries: DataFrame,
+    minutes: Sequence[int] = WINDOW_MINUTES,
+    components: int = TOP_COMPONENTS,
+    start: str | None = None,
+) -> DataFrame:
+    """Window summaries (minutes, and the columns of ``wave_windows``) after the ranges changed: only the windows they reach are computed."""
+    fresh, stale = None, None
+    for m in minutes:
+        windows = touched_windows(ranges, m, start)
+        windowed = lookup(in_windows(hf, m, start), windows, [*SERIES, "window_end"], "left_semi")
+        waves = component_rows(wave_components(windowed, components, remove_mean=False))
+        made = hf_window_stats(windowed).unionByName(waves).withColumn("minutes", F.lit(m))
+        keys = windows.select(*SERIES, F.col("window_end").alias("datetime"), F.lit(m).alias("minutes"))
+        fresh, stale = (made, keys) if fresh is None else (fresh.unionByName(made), stale.unionByName(keys))
+    return summaries.join(stale, [*SERIES, "datetime", "minutes"], "left_anti").unionByName(fresh)
+
+
 def neighbourhood_features(
     obs: DataFrame, neighbourhood: DataFrame, period_minutes: int, interval_minutes: int
 ) -> DataFrame:

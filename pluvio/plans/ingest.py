@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from pluvio.functions.joins import lookup
 from pluvio.operators import qc, summary, write
-from pluvio.sources import loggers
+from pluvio.session import shared_dir
+from pluvio.sources import loggers, sheets
+from pluvio.sources.lines import clean_line, csv_fields, file_name, first_field, unquoted
+from pluvio.sources.manifest import ERROR, IN_PROCESS, PROCESSED, file_manifest_dedup
 
 # decoders of text lines by format name
 LINE_DECODERS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
@@ -46,3 +52,205 @@ def all_summaries(obs: DataFrame, station: DataFrame) -> dict[str, DataFrame]:
         "monthly": summary.monthly_summary(daily),
         "yearly": summary.yearly_summary(daily),
     }
+
+
+# routing by the manifest ----------------------------------------------------------------------
+
+READING = [
+    ("station_id", "int"),
+    ("variable_id", "int"),
+    ("seconds", "int"),
+    ("datetime", "timestamp"),
+    ("measured", "double"),
+    ("quality_flag", "int"),
+    ("is_daily", "boolean"),
+]
+
+
+@dataclass(frozen=True)
+class Dimensions:
+    """What decoders map names with."""
+
+    station: DataFrame
+    variable: DataFrame
+    logger_format: DataFrame
+    hobo_format: DataFrame
+    curves: DataFrame
+    points: DataFrame
+
+
+@dataclass(frozen=True)
+class Decoder:
+    """``header`` and ``data`` tell lines of a file apart, any other line that is not blank spoils the file (unless ``lenient``);
+    ``code`` is the station code of a path, where the path has it."""
+
+    decode: Callable[[DataFrame, Dimensions], DataFrame]
+    header: Callable[[Column], Column]
+    data: Callable[[Column], Column]
+    code: Callable[[Column], Column] | None = None
+    lenient: bool = False
+
+
+def _second(line: Column) -> Column:
+    return unquoted(F.substring_index(F.substring_index(line, ",", 2), ",", -1))
+
+
+def _sheet(rows: DataFrame, *more: str) -> DataFrame:
+    """Lines of sheets saved as CSV, as columns named by the line that starts with ``day``; others that a sheet lacks are blank."""
+    fields = csv_fields(F.col("line"))
+    named = F.transform(fields, lambda f: F.lower(unquoted(f)))
+    header = rows.filter(first_field(F.col("line")) == "day").groupBy("path").agg(F.first(named).alias("names"))
+    data = lookup(rows.filter(first_field(F.col("line")) != "day"), header, ["path"], "inner", spread="line")
+    cells = data.withColumn("_f", F.transform(fields, unquoted))
+    values = [F.coalesce(F.get("_f", F.array_position("names", c).cast("int") - 1), F.lit("")).alias(c) for c in SHEET_COLUMNS]
+    # as a generated row the columns are computed once; a plain select would be merged into every use of them
+    return cells.select("path", *more, F.inline(F.array(F.struct(*values))))
+
+
+SHEET_COLUMNS = list(
+    dict.fromkeys(
+        ["day", "month", "hour", "station_code", "level_6am", "level_6pm", *sheets.DAILY_COLUMNS, *sheets.SYNOPTIC_COLUMNS, *sheets.CLOUD_GROUPS, *sheets.PAST_WEATHER]
+    )
+)
+
+
+def _monthly(rows: DataFrame) -> DataFrame:
+    """Sheets of a station and month; the manifest names the station."""
+    return _sheet(rows, "station_id").withColumn("month_start", F.to_date(F.concat("month", F.lit("-01"))))
+
+
+def _is_int(text: Column) -> Column:
+    return text.try_cast("int").isNotNull()
+
+
+def _time(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern)).isNotNull()
+
+
+def _path_code(path: Column) -> Column:
+    return F.substring_index(file_name(path), "_", 1)
+
+
+def _wide_code(path: Column) -> Column:
+    return F.substring_index(F.substring_index(F.substring_index(file_name(path), "_", 2), "_", -1), ".", 1)
+
+
+def _is_day_header(line: Column) -> Column:
+    return first_field(line) == "day"
+
+
+DECODERS: dict[str, Decoder] = {
+    "TOA5": Decoder(
+        lambda rows, d: loggers.ingest_logger_csv(rows, d.logger_format, d.station),
+        lambda line: first_field(line) == "TIMESTAMP",
+        lambda line: first_field(line).isin("TOA5", "TS", "") | _time(first_field(line), "yyyy-MM-dd HH:mm:ss"),
+        _path_code,
+    ),
+    "HOBO": Decoder(
+        lambda rows, d: loggers.ingest_hobo_csv(rows, d.hobo_format, d.station),
+        lambda line: line.contains("Date Time"),
+        lambda line: line.contains("Plot Title:") | _time(_second(line), "MM/dd/yy hh:mm:ss a"),
+    ),
+    "SURFACE": Decoder(
+        lambda rows, d: loggers.ingest_wide_csv(rows, d.variable, d.station),
+        lambda line: line.startswith("datetime;"),
+        lambda line: F.substring_index(line, ";", 1).try_cast("timestamp").isNotNull(),
+        _wide_code,
+    ),
+    "HYDROLOGY": Decoder(
+        lambda rows, d: sheets.ingest_river_sheet(_monthly(rows), d.station, d.curves, d.points),
+        _is_day_header,
+        lambda line: _is_int(first_field(line)),
+        lenient=True,
+    ),
+    "MANUAL DAILY": Decoder(
+        lambda rows, d: sheets.ingest_daily_sheet(_monthly(rows), d.station),
+        _is_day_header,
+        lambda line: _is_int(first_field(line)),
+        lenient=True,
+    ),
+    "MANUAL HOURLY": Decoder(
+        lambda rows, d: sheets.ingest_synoptic_hourly(_sheet(rows), d.station),
+        _is_day_header,
+        lambda line: first_field(line).try_cast("date").isNotNull(),
+        lenient=True,
+    ),
+}
+
+
+@dataclass(frozen=True)
+class Ingest:
+    """Decoded readings, and (id, filepath, status_id, observation) of every waiting file."""
+
+    readings: DataFrame
+    states: DataFrame
+
+
+def _file_facts(lines: DataFrame) -> DataFrame:
+    """Per file: lines, header lines, dated lines and the first line by text that is neither."""
+    line = F.col("line")
+    header, data, strict = F.lit(False), F.lit(False), F.lit(False)
+    for name, decoder in DECODERS.items():
+        own = F.col("decoder") == name
+        header, data = header | (own & decoder.header(line)), data | (own & decoder.data(line))
+        strict = strict | (own & F.lit(not decoder.lenient))
+    spoilt = strict & ~header & ~data & (F.trim(line) != "")
+    return lines.groupBy("path").agg(
+        F.count_if(header).alias("headers"), F.min(F.when(spoilt, F.substring(line, 1, 200))).alias("spoilt")
+    )
+
+
+def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -> Ingest:
+    """Routes every waiting file of the manifest to the decoder it names, and says what became of it.
+
+    ``manifest`` is (id, filepath, decoder, station_id, file_hash, status_id), ``lines`` are (path, line). Copies of files
+    are skipped. A file fails by itself, with a reason and without any reading: its decoder is unknown, it has no lines, no header, a station that
+    isn't known, or a line that is neither header nor data. Lines are written once, by decoder, and a decoder reads its own only.
+    """
+    queue = file_manifest_dedup(manifest)
+    chosen = queue.filter(F.col("new_status_id") == IN_PROCESS)
+    files = chosen.select(F.col("filepath").alias("path"), "decoder", "station_id")
+    routed = lookup(lines.select("path", clean_line(F.col("line")).alias("line")), files, ["path"], "inner", spread="line")
+    spark, folder = manifest.sparkSession, shared_dir(manifest.sparkSession, "routed")
+    routed.withColumn("part", F.col("decoder")).write.partitionBy("part").parquet(folder)
+    kinds = "path string, line string, decoder string, station_id int, part string"
+    written = spark.read.schema(kinds).parquet(folder)
+
+    codes = dims.station.select(F.col("code").alias("_code"), F.lit(True).alias("_known"))
+    named = F.lit(None).cast("string")
+    for name, decoder in DECODERS.items():
+        if decoder.code is not None:
+            named = F.when(F.col("decoder") == name, decoder.code(F.col("path"))).otherwise(named)
+    facts = _file_facts(written)
+    judged = (
+        chosen.withColumnRenamed("filepath", "path")
+        .join(facts, "path", "left")
+        .withColumn("_code", named)
+        .join(codes, "_code", "left")
+    )
+    reason = (
+        F.when(~F.col("decoder").isin(list(DECODERS)) | F.col("decoder").isNull(), "unknown decoder")
+        .when(F.col("headers").isNull(), "no such file, or an empty one")
+        .when(F.col("headers") == 0, "no header")
+        .when(F.col("_code").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("unknown station "), "_code"))
+        .when(F.col("spoilt").isNotNull(), F.concat(F.lit("not a line of data: "), "spoilt"))
+    )
+    text = F.concat(F.lit('Error Processing file with "'), F.coalesce("decoder", F.lit("")), F.lit('" decoder. '), reason)
+    done = judged.select(
+        "id",
+        F.col("path").alias("filepath"),
+        F.when(reason.isNull(), PROCESSED).otherwise(ERROR).alias("status_id"),
+        F.substring(text, 1, 1024).alias("observation"),
+    )
+    skipped = queue.filter(F.col("new_status_id") != IN_PROCESS).select(
+        "id", "filepath", F.col("new_status_id").alias("status_id"), F.lit(None).cast("string").alias("observation")
+    )
+    states = done.unionByName(skipped)
+
+    good = done.filter(F.col("status_id") == PROCESSED).select(F.col("filepath").alias("path"))
+    readings = None
+    for name, decoder in DECODERS.items():
+        own = lookup(written.filter(F.col("part") == name).drop("part"), good, ["path"], "left_semi", spread="line")
+        rows = decoder.decode(own, dims).select(*[F.col(c).cast(kind).alias(c) for c, kind in READING])
+        readings = rows if readings is None else readings.unionByName(rows)
+    return Ingest(readings, states)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvio.functions.joins import lookup
 
@@ -54,15 +55,29 @@ def mapped_cells(
 ) -> DataFrame:
     """One row per non-empty cell whose column name has a look-up key.
 
-    ``header`` has one ``(path, names, ...)`` row per file; ``fields`` splits a data line.
+    ``header`` has one ``(path, names, ...)`` row per file; ``fields`` splits a data line. Names are mapped once per file, to what
+    each position of its lines stands for; so only cells that are wanted ever become rows.
     """
-    keep = [c for c in (*data.columns, *header.columns) if c not in ("path", "line", "names")]
-    cells = lookup(data, header, ["path"], "inner", spread="line").select(
-        "path", *keep, "names", F.posexplode(fields).alias("_pos", "_field")
+    extra = [c for c in header.columns if c not in ("path", "names")]
+    keep = [c for c in (*data.columns, *extra) if c not in ("path", "line")]
+    named = header.select("path", F.posexplode("names").alias("_pos", "_name")).select(
+        "path", "_pos", unquoted(F.col("_name")).alias("lookup_key")
     )
-    named = cells.select(
-        "path", *keep, unquoted(F.get("names", F.col("_pos"))).alias("lookup_key"), unquoted(F.col("_field")).alias("text")
-    ).filter(~F.col("text").isin("", "NAN"))
     if ignored:
         named = named.filter(~F.col("lookup_key").isin(ignored))
-    return named.join(var_format.select("lookup_key", "variable_id", "seconds"), "lookup_key")
+    known = named.join(var_format.select("lookup_key", "variable_id", "seconds"), "lookup_key").distinct()
+    meant = known.groupBy("path", "_pos").agg(F.collect_list(F.struct("variable_id", "seconds")).alias("_to"))
+    by_file = meant.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_to"))).alias("_map"))
+    none = F.array().cast(meant.schema["_to"].dataType)
+    slots = F.transform("names", lambda name, pos: F.coalesce(F.try_element_at("_map", pos), none))
+    layout = header.join(by_file, "path").select("path", *extra, slots.alias("_slots"))
+
+    def cell(to: Column, text: Column) -> Column:
+        filled = F.transform(to, lambda t: F.struct(t["variable_id"], t["seconds"], text.alias("text")))
+        return F.coalesce(F.filter(filled, lambda c: c["text"].isNotNull() & (c["text"] != "") & (c["text"] != "NAN")), F.array().cast(kind))
+
+    whole = meant.schema["_to"].dataType.elementType.fields
+    kind = T.ArrayType(T.StructType([T.StructField(f.name, f.dataType) for f in whole] + [T.StructField("text", T.StringType())]))
+    lines = lookup(data, layout, ["path"], "inner", spread="line")
+    cells = F.flatten(F.zip_with("_slots", F.transform(fields, unquoted), cell))
+    return lines.select("path", *keep, F.inline(cells).alias("variable_id", "seconds", "text"))

@@ -86,57 +86,60 @@ def _line_time(hhmm: Column) -> Column:
     return F.when(valid, shift_seconds(day, F.when(hour > F.hour("sent_at"), seconds - 86400).otherwise(seconds)))
 
 
-def _by_position(cells: DataFrame, value: Column, variables: list[int], intervals: DataFrame) -> DataFrame:
-    """Values matched with the variable and the interval of their position (``_pos`` 1 comes first)."""
-    ids = F.array(*[F.lit(v) for v in variables])
-    return (
-        cells.filter(F.col("_pos").between(1, len(variables)))
-        .select(
-            "station_id",
-            "datetime",
-            F.col("_pos").alias("position"),
-            F.get(ids, F.col("_pos") - 1).alias("variable_id"),
-            value.alias("measured"),
-        )
-        .filter("measured IS NOT NULL")
-        .join(intervals.select("position", "seconds"), "position")
-        .select(
-            "station_id",
-            "variable_id",
-            "seconds",
-            "datetime",
-            "measured",
-            F.lit(None).cast("int").alias("quality_flag"),
-            F.lit(False).alias("is_daily"),
-        )
+def _by_position(lines: DataFrame, values: Column, variables: list[int], intervals: DataFrame) -> DataFrame:
+    """Values matched with the variable and the interval of their position (the first one is 1).
+
+    The intervals are a few configured rows, one for each position in use; as an array beside the line's values
+    they are applied before anything becomes a row.
+    """
+    slots: dict[int, list[int]] = {}
+    for r in intervals.filter(F.col("position").between(1, len(variables))).select("position", "seconds").distinct().collect():
+        slots.setdefault(r.position, []).append(r.seconds)
+
+    def to(position: int) -> Column:
+        known = [F.struct(F.lit(variables[position - 1]).alias("variable_id"), F.lit(s).cast("int").alias("seconds")) for s in slots.get(position, [])]
+        return F.array(*known).cast("array<struct<variable_id:int,seconds:int>>")
+
+    def cell(known: Column, value: Column) -> Column:
+        filled = F.transform(known, lambda k: F.struct(k["variable_id"], k["seconds"], value.alias("measured")))
+        return F.coalesce(F.filter(filled, lambda c: c["measured"].isNotNull()), none)
+
+    none = F.array().cast("array<struct<variable_id:int,seconds:int,measured:double>>")
+    layout = F.array(*[to(p) for p in range(1, len(variables) + 1)])
+    return lines.select(
+        "station_id", "datetime", F.inline(F.flatten(F.zip_with(layout, values, cell))).alias("variable_id", "seconds", "measured")
+    ).select(
+        "station_id",
+        "variable_id",
+        "seconds",
+        "datetime",
+        "measured",
+        F.lit(None).cast("int").alias("quality_flag"),
+        F.lit(False).alias("is_daily"),
     )
 
 
 def decode_dcp_space_text(responses: DataFrame, intervals: DataFrame) -> DataFrame:
     """Lines ``HHMM v1 v2 ...``; what is no number is skipped."""
-    lines = _transmissions(responses, " \r\n")
-    cells = (
-        lines.withColumn("datetime", _line_time(F.col("line")))
-        .filter("datetime IS NOT NULL")
-        .select("station_id", "datetime", F.posexplode(F.split("line", " ", -1)).alias("_pos", "text"))
-    )
-    return _by_position(cells, F.col("text").try_cast("double"), SPACE_TEXT_VARIABLES, intervals)
+    lines = _transmissions(responses, " \r\n").withColumn("datetime", _line_time(F.col("line"))).filter("datetime IS NOT NULL")
+    fields = F.split("line", " ", -1)
+    values = F.transform(F.slice(fields, F.lit(2), F.lit(len(SPACE_TEXT_VARIABLES))), lambda text: text.try_cast("double"))
+    return _by_position(lines, values, SPACE_TEXT_VARIABLES, intervals)
 
 
 def decode_dcp_comma_text(responses: DataFrame, intervals: DataFrame) -> DataFrame:
     """Comma lines ``xHHMM,...``: two plain values, then tenths that may end in G or B; the closing
     field and the last value are not used."""
     lines = _transmissions(responses, "\r\n").filter(F.length("line") > 0)
-    used = F.slice("_f", F.lit(1), F.greatest(F.size("_f") - 2, F.lit(0)))
-    cells = (
-        lines.withColumn("datetime", _line_time(F.substring("line", 2, 4)))
-        .filter("datetime IS NOT NULL")
-        .withColumn("_f", F.split("line", ",", -1))
-        .select("station_id", "datetime", F.posexplode(used).alias("_pos", "text"))
-    )
-    tenths = F.regexp_replace("text", "[GB]$", "").try_cast("double") / 10
-    value = F.when(F.col("_pos") <= 2, F.col("text").try_cast("double")).otherwise(tenths)
-    return _by_position(cells, value, COMMA_TEXT_VARIABLES, intervals)
+    timed = lines.withColumn("datetime", _line_time(F.substring("line", 2, 4))).filter("datetime IS NOT NULL")
+    fields = F.split("line", ",", -1)
+    used = F.slice(F.col("_f"), F.lit(2), F.greatest(F.size("_f") - 3, F.lit(0)))
+
+    def value(text: Column, k: Column) -> Column:
+        tenths = F.regexp_replace(text, "[GB]$", "").try_cast("double") / 10
+        return F.when(k < 2, text.try_cast("double")).otherwise(tenths)
+
+    return _by_position(timed.withColumn("_f", fields), F.transform(used, value), COMMA_TEXT_VARIABLES, intervals)
 
 
 def _character(c: Column) -> Column:

@@ -18,9 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pluvio.functions.columns import DAY_SECONDS
 from pluvio.operators import qc, write
 from pluvio.operators.summary import hourly_summary
+from pluvio.plans import ingest
 from pluvio.schema import KEY, SERIES
 from pluvio.sources.lightning import FRAME_BYTES, decode_lightning_frames
 from pluvio.sources.loggers import ingest_logger_csv
+from pluvio.sources.manifest import NOT_PROCESSED, REPROCESS
 from pluvio.streaming.store import Arrivals, Store, snapshot_last24h
 
 
@@ -76,6 +78,8 @@ def stream_file_ingest(
     the flags depend neither on where batches are cut nor on the order of files.
     """
 
+    limits = qc.station_limits(station, range=range_thr, step=step_thr)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         decoded = ingest_logger_csv(batch, var_format, station)
         # a logger may repeat a record; the unique key needs one row
@@ -85,14 +89,14 @@ def stream_file_ingest(
             F.max("is_daily").alias("is_daily"),
             F.lit(None).cast("string").alias("code"),
         )
-        checked = qc.qc_ingest(unique, range_thr, step_thr, station, variable).select(*unique.columns).persist()
+        checked = qc.qc_ingest(unique, range_thr, step_thr, station, variable, limits).select(*unique.columns).persist()
 
         merged: list[DataFrame] = []
 
         def judged(stored: DataFrame, new: DataFrame) -> DataFrame:
             # read by several branches of the judgement
             merged.append(rule(stored, new).persist())
-            return qc.rejudge(merged[0], new, range_thr, step_thr, station, variable)
+            return qc.rejudge(merged[0], new, range_thr, step_thr, station, variable, limits)
 
         try:
             longest = checked.agg(F.max("seconds")).first()[0] or 0
@@ -104,6 +108,62 @@ def stream_file_ingest(
     return _start(lines.writeStream.foreachBatch(handle), checkpoint, trigger)
 
 
+# Rows of the states that files came to, batch by batch.
+STATES = "id bigint, filepath string, status_id int, observation string, batch_id bigint"
+
+
+def with_states(manifest: DataFrame, states: Arrivals) -> DataFrame:
+    """The manifest with the state and the reason each file has now."""
+    known = states.table().groupBy("id").agg(F.max(F.struct("batch_id", "status_id", "observation")).alias("_s"))
+    return manifest.join(known, "id", "left").select(
+        *[c for c in manifest.columns if c not in ("status_id", "observation")],
+        F.coalesce("_s.status_id", "status_id").alias("status_id"),
+        F.col("_s.observation").alias("observation"),
+    )
+
+
+def stream_ingest_by_decoder(
+    lines: DataFrame,
+    manifest: Callable[[], DataFrame],
+    states: Arrivals,
+    store: Store,
+    dims: ingest.Dimensions,
+    limits: DataFrame,
+    checkpoint: str,
+    trigger: dict,
+    rule: Callable[[DataFrame, DataFrame], DataFrame] = write.upsert_override,
+) -> StreamingQuery:
+    """New files to checked readings, each by the decoder that the manifest names; states and reasons go to ``states``.
+
+    A file that fails leaves no reading and stops no other. Readings are stored before states are written, both by batch: one that
+    is run again ends in the same state. Copies of files that a former batch read are skipped.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        name = f"{sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+        here = batch.select(F.col("path").alias("filepath")).distinct()
+        known = with_states(manifest(), states.without(name))
+        waiting = F.col("status_id").isin(NOT_PROCESSED, REPROCESS)
+        # other waiting files are left to the batch that brings them
+        own = known.join(here.withColumn("_here", F.lit(True)), "filepath", "left").filter(~waiting | F.col("_here")).drop("_here")
+        found = ingest.ingest_by_decoder(own, batch, dims)
+        unique = found.readings.groupBy(*KEY, "seconds").agg(
+            F.max("measured").alias("measured"),
+            F.max("quality_flag").alias("quality_flag"),
+            F.max("is_daily").alias("is_daily"),
+            F.lit(None).cast("string").alias("code"),
+        )
+        one = unique.groupBy(*KEY).agg(F.max(F.struct(*[c for c in unique.columns if c not in KEY])).alias("_r")).select(*KEY, "_r.*")
+        checked = qc.qc_tests(one, limits, dims.variable).withColumn("quality_flag", qc.ingest_flag()).select(*one.columns).persist()
+        try:
+            store.merge_obs(checked, f"{checkpoint}:{batch_id}", rule)
+            states.add(found.states.withColumn("batch_id", F.lit(batch_id).cast("bigint")), name)
+        finally:
+            checked.unpersist()
+
+    return _start(lines.writeStream.foreachBatch(handle), checkpoint, trigger)
+
+
 def stream_dirty_recompute(
     readings: DataFrame,
     store: Store,

@@ -205,7 +205,7 @@ class Arrivals:
     """Rows added batch by batch, in folders by day and batch; a batch that is run again replaces what it wrote."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, day: str = "to_date(datetime)"):
-        self.spark, self.root, self.day = configure(spark), root, day
+        self.spark, self.root, self.day, self.left_out = configure(spark), root, day, None
         self.schema = T.StructType([*schema.fields, *T.DataType.fromDDL("part date, batch string").fields])
 
     def _read(self) -> DataFrame:
@@ -222,8 +222,17 @@ class Arrivals:
         """Rows of those days that other batches brought; both conditions prune folders."""
         return self._read().filter(F.col("part").isin(days) & (F.col("batch") != batch)).drop("part", "batch")
 
+    def without(self, batch: str) -> Arrivals:
+        """The same rows but for those of one batch."""
+        out = Arrivals(self.spark, self.root, self.schema, self.day)
+        out.schema, out.left_out = self.schema, batch
+        return out
+
     def table(self) -> DataFrame:
-        return self._read().drop("part", "batch")
+        rows = self._read()
+        if self.left_out is not None:
+            rows = rows.filter(F.col("batch") != self.left_out)
+        return rows.drop("part", "batch")
 
 
 def snapshot_last24h(store: Store, as_of: str) -> DataFrame:
