@@ -3,8 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from checks.decoders import logger_format, logger_lines
-from pluvio.plans import ingest
+from checks.places import curves, points
+from checks.quality import refreshed
+from pluvio import schema
+from pluvio.operators import qc
+from pluvio.plans import ingest, refresh
+from pluvio.schema import KEY
+from pluvio.session import stored
+from pluvio.streaming import jobs
+from pluvio.streaming.store import Arrivals, Store
 
 
 def test_files_to_readings(spark, tables):
@@ -31,3 +41,53 @@ def test_store_modes(spark, tables):
     assert kept.filter("day(datetime) BETWEEN 10 AND 14 AND measured = 1.0").count() < replaced.filter(
         "day(datetime) BETWEEN 10 AND 14 AND measured = 1.0"
     ).count()
+
+
+def test_refresh_settles_in_one_pass(spark, tables):
+    """After the changed flags are stored, a second refresh finds nothing, and the flags are those of the whole history."""
+    obs, late, limits = refreshed(tables)
+    changed = qc.qc_persist_refresh(obs, late, limits)
+    assert changed.count() > late.count() > 0
+    flagged = stored(refresh.with_flags(obs, changed), "flagged")
+    assert qc.qc_persist_refresh(flagged, late, limits).isEmpty()
+    whole = qc.qc_persist_suspicious(qc.qc_persist_test(flagged.drop(*qc.PERSIST_RESULT), limits))
+    both = flagged.select(*KEY, "qc_persist_quality_flag").exceptAll(whole.select(*KEY, "qc_persist_quality_flag"))
+    assert both.isEmpty()
+
+
+def test_files_by_decoder_in_batches(spark, tables, tmp_path):
+    """A bad file is reported and stops no other, and a copy in a later batch is skipped."""
+    station = spark.createDataFrame([(1, "ST1", 0, None, True)], "id int, code string, utc_offset_minutes int, reference_station_id int, is_automatic boolean")
+    variable = tables.variable()
+    layout = spark.createDataFrame([("V", 1, 3600)], "lookup_key string, variable_id int, seconds int")
+    dims = ingest.Dimensions(station, variable, layout, layout, curves(tables), points(tables))
+    head = '"TOA5","ST1"\n"TIMESTAMP","RECORD","V"\n"TS","RN","n"\n"","","Smp"\n'
+    texts = {
+        "ST1_good.dat": head + '"2024-01-01 01:00:00",1,5',
+        "ST1_bad.dat": head + '"2024-01-01 02:00:00",1,6\nnoise',
+        "ST1_bare.dat": '"2024-01-01 03:00:00",1,7',
+        "XX_far.dat": head + '"2024-01-01 04:00:00",1,8',
+        "ST1_odd.xls": "x",
+        "ST1_copy.dat": head + '"2024-01-01 01:00:00",1,5',
+        "wide_ST1_a.csv": "datetime;CLK\n2024-01-02 01:00:00;3\n2024-01-02 02:00:00;4",
+    }
+    names = list(texts)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    kinds = {"ST1_odd.xls": "SPREADSHEET", "wide_ST1_a.csv": "SURFACE"}
+    rows = [(k, f"file:{folder}/{n}", kinds.get(n, "TOA5"), 1, str(hash(texts[n])), 1) for k, n in enumerate(names)]
+    manifest = spark.createDataFrame(rows, "id long, filepath string, decoder string, station_id int, file_hash string, status_id int")
+    store = Store(spark, str(tmp_path / "store"), schema.OBS, buckets=1)
+    states = Arrivals(spark, str(tmp_path / "states"), StructType.fromDDL(jobs.STATES), "DATE'1970-01-01'")
+    limits = qc.station_limits(station, range=tables.range_thr(), step=tables.step_thr())
+    for some in (names[:5], names[5:]):
+        for n in some:
+            (folder / n).write_text(texts[n])
+        jobs.stream_ingest_by_decoder(
+            jobs.line_stream(spark, str(folder)), lambda: manifest, states, store, dims, limits, str(tmp_path / "cp"), {"availableNow": True}
+        ).awaitTermination()
+    found = {r.id: r for r in jobs.with_states(manifest, states).collect()}
+    assert [found[k].status_id for k in range(7)] == [3, 4, 4, 4, 4, 5, 3]
+    assert found[1].observation == 'Error Processing file with "TOA5" decoder. not a line of data: noise'
+    assert "no header" in found[2].observation and "unknown station XX" in found[3].observation and "unknown decoder" in found[4].observation
+    assert sorted(r.measured for r in store.table("obs").collect()) == [3.0, 4.0, 5.0]
