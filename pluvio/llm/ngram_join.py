@@ -6,7 +6,8 @@ their intersection is at least ``num``/``den`` of their union; their difference
 than the difference can touch, so linked sets agree on a known number k of whole segments, by their content. A set
 leaves out its k - 1 most frequent segments, by one order for all sets: the rarest one that a linked pair agrees on
 then stays in both. Only sets that share one that stayed come into one block, so passages that many documents hold
-don't chain them together. Sizes that can't reach each other never meet.
+don't chain them together. Segments are those of a size class, and so are blocks: a set is in the blocks of the two or three classes that
+sizes within its reach fall into, and no chain leads from one class to another.
 
 Each block then multiplies its document by n-gram incidence matrix with its transpose: frequent n-grams as dense
 columns, the others by adding up pairs, for a panel of documents at a time, and only against sizes within the bound.
@@ -36,8 +37,10 @@ from pluvio.llm.common import fresh, kept, ship
 from pluvio.llm.graph import Forest, components
 
 # N-grams and documents of one slice of a block, on average over the hash.
-SLICE_GRAMS, SLICE_DOCS = 400_000, 4096
+SLICE_GRAMS, SLICE_DOCS = 1_600_000, 8192
 PANEL = 512
+# Pairs of documents and n-grams that are added up at a time.
+PAIRS = 1 << 22
 # N-grams in more than one of so many documents of a block are dense columns.
 DENSE = 32
 COLUMNS = 4096
@@ -178,11 +181,15 @@ def _overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[tup
         sparse = number[own_gram] < 0
         grams, owners = own_gram[sparse], own_row[sparse]
         times = frequency[grams]
-        if times.sum():
-            owners = np.repeat(owners, times)
-            inner = np.arange(len(owners)) - np.repeat(np.cumsum(times) - times, times)
-            partner = ordered[np.repeat(start[grams], times) + inner]
-            counts += np.bincount(owners * len(columns) + partner, minlength=counts.size).reshape(counts.shape)
+        ends = np.cumsum(times)
+        total_pairs = int(ends[-1]) if len(ends) else 0
+        cuts = np.searchsorted(ends, np.arange(0, total_pairs, PAIRS), side="right")
+        for a, b in zip(cuts, [*cuts[1:], len(times)]):
+            some = times[a:b]
+            inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            partner = ordered[np.repeat(start[grams[a:b]], some) + inner]
+            place = np.repeat(owners[a:b], some) * len(columns) + partner
+            counts += np.bincount(place, minlength=counts.size).reshape(counts.shape)
         yield k, counts
 
 
@@ -213,8 +220,8 @@ def _product(num: int, den: int):
     return run
 
 
-def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key, n, component): one row per row of ``docs``; ``key`` is the hash of the text, ``n`` the set's size."""
+def _classes(docs: DataFrame, words: int, num: int, den: int, id: str, text: str) -> DataFrame:
+    """(id, key, n, class): one row per row of ``docs``; linked rows have one class, empty sets none."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -224,18 +231,26 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id:
         F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.first("segments").alias("segments"), F.first("spare").alias("spare")
     )
     first = kept(first, "nodes")
-    blocks = components(_meet(first))
-    members = first.select("node", "n", "first.*").join(blocks, "node")
+    met = _meet(first)
+    blocks = components(met.select("a", "b"))
+    # a vertex is a set in one size class
+    vertices = met.select("node", F.col("a").alias("vertex")).union(met.select("low", "b")).distinct()
+    members = kept(
+        vertices.join(blocks.withColumnRenamed("node", "vertex"), "vertex").join(first.select("node", "n"), "node").select("node", "root", "n").distinct(),
+        "members",
+    )
     sizes = members.groupBy("root").agg(
         F.greatest(F.ceil(F.sum("n") / SLICE_GRAMS), F.ceil(F.count("*") / SLICE_DOCS)).cast("int").alias("slices")
     )
-    members = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("own")
+    places = members.join(sizes, "root").groupBy("node").agg(F.collect_list(F.struct("root", "slices", own)).alias("places"))
     grams = _grams_of(words)
     texts = (
         source.alias("d")
-        .join(members.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.key") == F.col("m.key")))
+        .join(first.select("node", "first.*").join(places, "node").alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.key") == F.col("m.key")))
         .dropDuplicates(["node"])
-        .select("root", "node", "slices", "own", grams("text").alias("grams"))
+        .select("node", "places", grams("text").alias("grams"))
+        .select("node", "grams", F.inline("places"))
     )
     cells = texts.select("root", "node", "own", "grams", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     cells = cells.select(
@@ -244,7 +259,12 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id:
     links = cells.groupBy("root", "i", "j").applyInArrow(_product(num, den), "a long, b long")
     groups = components(links)
     known = sets.select("id", "key", "n", "node").join(groups, "node", "left")
-    known = known.withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node"))).drop("root", "node")
+    return known.select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("class"))
+
+
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, key, n, component): one row per row of ``docs``; ``key`` is the hash of the text, ``n`` the set's size."""
+    known = _classes(docs, words, num, den, id, text)
     lowest = known.filter("n > 0").groupBy("class").agg(F.min("id").alias("component"))
     return known.join(lowest, "class", "left").select(
         "id", "key", "n", F.coalesce("component", "id").alias("component")
@@ -252,7 +272,8 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id:
 
 
 def _meet(first: DataFrame) -> DataFrame:
-    """(a, b): nodes that share a segment which neither spares, each with the lowest one of that segment."""
+    """(node, low, a, b): sets that share a segment which neither spares, each with the lowest one of that segment; a and b
+    are the two as vertices of the segment's size class."""
     parts = first.select("node", F.explode("segments").alias("segment"))
     often = parts.groupBy("segment").agg(F.count("*").alias("often")).filter("often > 1")
     mask = F.lit((1 << CLASS_BITS) - 1)
@@ -265,7 +286,10 @@ def _meet(first: DataFrame) -> DataFrame:
     ranked = shared.withColumn("rank", F.row_number().over(ordered)).join(spare, ["node", "class"])
     stay = kept(ranked.filter("rank > spare").select("node", "segment"), "segments")
     lowest = stay.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return stay.join(lowest, "segment").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    pairs = stay.join(lowest, "segment").filter("node != low").withColumn("class", F.col("segment").bitwiseAND(mask))
+    return kept(
+        pairs.select("node", "low", F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b")).distinct(), "meetings"
+    )
 
 
 def _grams_of(words: int):
@@ -280,12 +304,15 @@ def _grams_of(words: int):
 def deduplicate(
     docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each group: the one that names it; documents without words all stay."""
+    """``docs`` with one document of each group, the least by id and text (null ids last); documents without words all stay."""
     key, empty = fresh(docs, "key", "empty")
-    stay = classes(docs, words, num, den, id, text).filter(F.col("id").eqNullSafe(F.col("component")))
-    stay = stay.groupBy(F.col("id").alias("stay.id"), F.col("key").alias("stay.key")).agg(F.max("n").alias("stay.n"))
+    known = _classes(docs, words, num, den, id, text)
+    order = F.struct(F.col("id").isNull().alias("void"), "id", "key")
+    first = known.filter("n > 0").groupBy("class").agg(F.min(order).alias("first")).select("first.id", "first.key", F.lit(False).alias("bare"))
+    bare = known.filter("n = 0").select("id", "key", F.lit(True).alias("bare")).distinct()
+    stay = first.unionByName(bare).select(*[F.col(c).alias(f"stay.{c}") for c in ("id", "key", "bare")])
     rows = docs.withColumn(key, F.xxhash64(text))
     same = F.col(id).eqNullSafe(F.col("`stay.id`")) & (F.col(key) == F.col("`stay.key`"))
-    found = rows.join(stay, same).withColumn(empty, F.col("`stay.n`") == 0)
+    found = rows.join(stay, same).withColumn(empty, F.col("`stay.bare`"))
     one = found.filter(~F.col(empty)).dropDuplicates([id, key])
     return one.union(found.filter(F.col(empty))).select(*[F.col(f"`{c}`") for c in docs.columns])

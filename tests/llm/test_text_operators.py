@@ -362,3 +362,19 @@ def test_bpe_in_one_worker(spark):
     one, two = bpe.round_trip(df, codec), bpe.decode(bpe.encode(df, codec), codec)
     assert one.columns == two.columns
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_norms_at_the_ends_of_the_range(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.01]), (3, [1e200, 1e200]), (4, [1.0, 1.0]), (5, [-1e-310, -1e-310]), (6, [1e308, 0.0])]
+    found = rows_by_id(embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "id")
+    assert {i: (r.n_links, r.component) for i, r in found.items()} == {1: (2, 1), 2: (1, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5), 6: (1, 2)}
+
+
+def test_one_of_each_class_stays(spark):
+    """Near copies with one id, or with none, are one document."""
+    words = [f"w{k}" for k in range(200)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (20, 120)]
+    rows = [(1, " ".join(words)), (1, near[0]), (None, near[1]), (None, "a b c d e f g"), (None, "a b c d e f g"), (2, ""), (2, None)]
+    left = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in left) == [(0, "a b"), (1, "w0 "), (2, ""), (2, "")]
+
