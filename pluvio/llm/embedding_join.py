@@ -40,6 +40,11 @@ SLICE = "cell long, q int, t int, query boolean, node long, n long, vector binar
 LINKS = "a long, b long, n long"
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows with their largest component near one, by a power of two, which is exact; so squares neither overflow nor vanish."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
+
+
 def _separate(own: np.ndarray) -> np.ndarray:
     """Unit vectors without those closer than ``APART`` to an earlier one that stays."""
     stay = np.empty_like(own)
@@ -65,7 +70,8 @@ def _places(pivots: dict[int, np.ndarray], threshold: float):
             for dim in {len(v) for v in vectors}:
                 picked = [k for k, v in enumerate(vectors) if len(v) == dim]
                 raw = np.array([vectors[k] for k in picked], dtype=np.float64)
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+                unit = _scaled(raw)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 centres = pivots.get(dim)
                 if centres is None:  # no pivot of that length was drawn: one cell of its own
                     centres = np.eye(1, dim)
@@ -91,7 +97,7 @@ def _join(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         query = table["query"].to_numpy()
         nodes, times = table["node"].to_numpy(), table["n"].to_numpy()
-        raw = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(len(nodes), -1)
+        raw = _scaled(np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(len(nodes), -1))
         norm = np.linalg.norm(raw, axis=1)
         small = (raw / norm[:, None]).astype(np.float32)
         asked, target = np.flatnonzero(query), np.flatnonzero(~query)
@@ -147,7 +153,7 @@ def near_duplicates(
     drawn = [r.v for r in distinct.orderBy(F.xxhash64(F.lit(5), "node")).limit(wanted).collect()]
     pivots: dict[int, np.ndarray] = {}
     for dim in {len(v) for v in drawn}:
-        own = np.array([v for v in drawn if len(v) == dim], dtype=np.float64)
+        own = _scaled(np.array([v for v in drawn if len(v) == dim], dtype=np.float64))
         pivots[dim] = _separate(own / np.linalg.norm(own, axis=1, keepdims=True))
     members = distinct.select("node", "n", "v").mapInArrow(
         _places(pivots, threshold), "cell long, home boolean, node long, n long, vector binary"
