@@ -19,7 +19,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc
     """(label, text) of at most ``PER_CLASS`` documents of each class, and how many labels each class has.
 
     Held-out rows and null labels never take part; of differing labels of one document the highest counts.
-    The rows with the lowest hash of their id are taken, so the sample doesn't depend on partitions.
+    The rows with the lowest hash of their id are taken, and of several texts of one id the one of the lowest hash, so
+    the sample doesn't depend on partitions.
     """
     usable = (
         labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
@@ -33,4 +34,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc
         taken = own if taken is None else taken.union(own)
     # at most 2 * PER_CLASS rows of an id and a label
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(taken), "id")
-    return rows.dropDuplicates(["id"]).select("id", "label", "text"), totals
+    one = rows.groupBy("id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return one.select("id", "row.label", "row.text"), totals
