@@ -531,7 +531,7 @@ def mixed_files(t):
     noise = toa5.filter((code % 4 == 1) & (day == 13)).select("path", F.lit("#!corrupt").alias("line")).distinct()
     hobo = hobo_lines(t).filter(F.regexp_extract("path", r"/(\d+)-", 1).try_cast("int") % 3 == 1)
     wide = wide_lines(t).filter(code % 3 == 2)
-    stray = wide.withColumn("path", F.replace("path", F.lit("_ST"), F.lit("_XX"))).filter(code % 5 == 0)
+    stray = wide.filter(code % 5 == 0).withColumn("path", F.replace("path", F.lit("_ST"), F.lit("_XX")))
     daily = daily_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
     river = river_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
     made = {
