@@ -151,21 +151,21 @@ def history(t):
         t.raw("lineitem")
         .groupBy(F.col("l_partkey").alias("equipment_id"), at.alias("datetime"))
         .agg(
-            F.min("l_returnflag").alias("condition"),
+            F.nullif(F.min("l_returnflag"), F.lit("N")).alias("condition"),
             F.min("l_linestatus").alias("class"),
             F.min("l_linenumber").alias("slot"),
         )
     )
 
 
-HISTORY = """SELECT l_partkey AS equipment_id, l_shipdate + to_seconds(l_orderkey % 86400) AS datetime, min(l_returnflag) AS condition,
+HISTORY = """SELECT l_partkey AS equipment_id, l_shipdate + to_seconds(l_orderkey % 86400) AS datetime, nullif(min(l_returnflag), 'N') AS condition,
   min(l_linestatus) AS class, min(l_linenumber) AS slot FROM lineitem GROUP BY 1, 2"""
 register(
     "equipment_change_history",
     lambda t: eq.equipment_change_history(history(t), ["condition", "class", "slot"]),
     """SELECT equipment_id, datetime, u.field, u.o AS old_value, u.n AS new_value FROM (
-      SELECT equipment_id, datetime, unnest([{'field': 'condition', 'o': lag(condition) OVER w, 'n': condition},
+      SELECT equipment_id, datetime, row_number() OVER w AS version, unnest([{'field': 'condition', 'o': lag(condition) OVER w, 'n': condition},
         {'field': 'class', 'o': lag(class) OVER w, 'n': class}, {'field': 'slot', 'o': CAST(lag(slot) OVER w AS VARCHAR), 'n': CAST(slot AS VARCHAR)}]) AS u
-      FROM history WINDOW w AS (PARTITION BY equipment_id ORDER BY datetime)) WHERE u.o IS NOT NULL AND u.o <> u.n""",
+      FROM history WINDOW w AS (PARTITION BY equipment_id ORDER BY datetime)) WHERE version > 1 AND u.o IS DISTINCT FROM u.n""",
     history=HISTORY,
 )

@@ -125,15 +125,14 @@ def day_points(t):
     places = t.station().select(F.col("id").alias("station_id"), "longitude", "latitude")
     return (
         daily(t)
-        .filter("NOT is_daily")
         .join(places, "station_id")
-        .select("variable_id", "day", "station_id", "longitude", "latitude", F.col("max_value").alias("value"))
+        .select("variable_id", "day", "is_daily", "station_id", "longitude", "latitude", F.col("max_value").alias("value"))
     )
 
 
-BY = ["variable_id", "day"]
-DAYPTS = """SELECT variable_id, day, station_id, longitude, latitude, max_value AS value FROM daily JOIN station s ON s.id = station_id WHERE NOT is_daily"""
-CLEAN = """SELECT * FROM daypts QUALIFY row_number() OVER (PARTITION BY variable_id, day, longitude, latitude ORDER BY station_id) = 1"""
+BY = ["variable_id", "day", "is_daily"]
+DAYPTS = """SELECT variable_id, day, is_daily, station_id, longitude, latitude, max_value AS value FROM daily JOIN station s ON s.id = station_id"""
+CLEAN = """SELECT * FROM daypts QUALIFY row_number() OVER (PARTITION BY variable_id, day, is_daily, longitude, latitude ORDER BY station_id) = 1"""
 register("clean_points", lambda t: spatial.clean_points(day_points(t), BY), "SELECT * FROM cleanpts", daypts=DAYPTS, cleanpts=CLEAN)
 
 
@@ -145,9 +144,9 @@ def grid(t):
 
 DX, DY = "(CAST(3 AS DOUBLE) / 11)", "(CAST(4 AS DOUBLE) / 15)"
 NODES = f"""SELECT CAST(x AS INT) AS gx, CAST(y AS INT) AS gy, CAST(-90 AS DOUBLE) + x * {DX} AS lon, CAST(15 AS DOUBLE) + y * {DY} AS lat FROM range(12) a(x), range(16) b(y)"""
-CRESS = """SELECT variable_id, day, gx, gy, lon AS longitude, lat AS latitude, sum((0.7::DOUBLE * 0.7::DOUBLE - d2) / (0.7::DOUBLE * 0.7::DOUBLE + d2) * value) / sum((0.7::DOUBLE * 0.7::DOUBLE - d2) / (0.7::DOUBLE * 0.7::DOUBLE + d2)) AS value, count(*) AS neighbors
+CRESS = """SELECT variable_id, day, is_daily, gx, gy, lon AS longitude, lat AS latitude, sum((0.7::DOUBLE * 0.7::DOUBLE - d2) / (0.7::DOUBLE * 0.7::DOUBLE + d2) * value) / sum((0.7::DOUBLE * 0.7::DOUBLE - d2) / (0.7::DOUBLE * 0.7::DOUBLE + d2)) AS value, count(*) AS neighbors
   FROM (SELECT *, (lon - longitude) * (lon - longitude) + (lat - latitude) * (lat - latitude) AS d2 FROM cleanpts, nodes)
-  WHERE d2 <= 0.7::DOUBLE * 0.7::DOUBLE GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) >= 2"""
+  WHERE d2 <= 0.7::DOUBLE * 0.7::DOUBLE GROUP BY 1, 2, 3, 4, 5, 6, 7 HAVING count(*) >= 2"""
 GRID = dict(daypts=DAYPTS, cleanpts=CLEAN, nodes=NODES, cress=CRESS)
 
 
@@ -160,14 +159,14 @@ def rounded(df, *columns, digits=6):
 register(
     "cressman_grid",
     lambda t: rounded(grid(t), "value", "longitude", "latitude"),
-    f"SELECT variable_id, day, gx, gy, {r2('longitude', 6)} AS longitude, {r2('latitude', 6)} AS latitude, {r2('value', 6)} AS value, neighbors FROM cress",
+    f"SELECT variable_id, day, is_daily, gx, gy, {r2('longitude', 6)} AS longitude, {r2('latitude', 6)} AS latitude, {r2('value', 6)} AS value, neighbors FROM cress",
     **GRID,
 )
 register(
     "cressman_dense_grid",
     lambda t: rounded(spatial.dense_grid(grid(t), BY, WEST, SOUTH, EAST, NORTH, 0.25), "value"),
-    f"""SELECT s.variable_id, s.day, n.gx, n.gy, {r2('c.value', 6)} AS value FROM (SELECT DISTINCT variable_id, day FROM cress) s CROSS JOIN nodes n
-      LEFT JOIN cress c ON c.variable_id = s.variable_id AND c.day = s.day AND c.gx = n.gx AND c.gy = n.gy""",
+    f"""SELECT s.variable_id, s.day, s.is_daily, n.gx, n.gy, {r2('c.value', 6)} AS value FROM (SELECT DISTINCT variable_id, day, is_daily FROM cress) s CROSS JOIN nodes n
+      LEFT JOIN cress c ON c.variable_id = s.variable_id AND c.day = s.day AND c.is_daily = s.is_daily AND c.gx = n.gx AND c.gy = n.gy""",
     **GRID,
 )
 register(
@@ -175,8 +174,8 @@ register(
     lambda t: spatial.contour_levels(spatial.clean_points(day_points(t), BY), BY).select(
         *BY, F.concat_ws(",", F.transform("levels", lambda x: x.cast("string"))).alias("levels")
     ),
-    """SELECT variable_id, day, array_to_string(range(CAST(trunc(min(value)) AS BIGINT) - 1, CAST(trunc(max(value)) AS BIGINT) + 1), ',') AS levels
-    FROM cleanpts GROUP BY 1, 2""",
+    """SELECT variable_id, day, is_daily, array_to_string(range(CAST(trunc(min(value)) AS BIGINT) - 1, CAST(trunc(max(value)) AS BIGINT) + 1), ',') AS levels
+    FROM cleanpts GROUP BY 1, 2, 3""",
     daypts=DAYPTS,
     cleanpts=CLEAN,
 )

@@ -182,6 +182,12 @@ register(
       JOIN station s ON s.id = station_id WHERE datetime >= TIMESTAMP '2024-01-05' AND datetime <= TIMESTAMP '2024-01-20'
     GROUP BY ALL""",
 )
+register(
+    "spatial_points_median",
+    lambda t: retrieve.spatial_points_aggregated(t.obs(), "raw", t.station(), t.variable(), "median"),
+    f"""SELECT station_id, variable_id, {POINT}, median(measured) AS measured FROM obs JOIN station s ON s.id = station_id
+    WHERE measured <> -99.9 GROUP BY ALL""",
+)
 register(
     "spatial_points_summary",
     lambda t: retrieve.spatial_points_summary(t.climate_daily(), "daily", t.station()),

@@ -183,7 +183,10 @@ def first_contacts(visits: DataFrame) -> DataFrame:
 
 
 def equipment_change_history(history: DataFrame, fields: list[str], key: str = "equipment_id") -> DataFrame:
-    """Changed fields between consecutive versions of a record, old and new value as text."""
+    """Changed fields between consecutive versions of a record, old and new value as text.
+
+    A value that appears or goes (null on one side) is a change; the first version of a record has none.
+    """
     stepped = with_previous(history, [key], fields, block_seconds=3650 * 86400).filter("prev_datetime IS NOT NULL")
     cells = F.array(
         *[

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import (
@@ -26,6 +26,7 @@ from pluvio.functions.columns import (
     to_local,
     ts,
 )
+from pluvio.functions.joins import lookup
 from pluvio.schema import KEY, SERIES
 
 # Longest span in days that an interactive report may ask for, by source.
@@ -424,12 +425,70 @@ POINT_AGGREGATES = {
     "max": F.max,
     "sum": F.sum,
     "count": F.count,
-    "median": F.median,
+    "median": None,
     "std": F.stddev_samp,
     "var": F.var_samp,
 }
 
 
+# Where the middle is looked for: shares of a group around its half, ten times the error the sketch promises.
+SKETCH = 10_000
+AROUND = (0.5 - 10 / SKETCH, 0.5 + 10 / SKETCH)
+
+
+def exact_median(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``by`` and the exact median of ``value`` as ``median``; null for groups without values, NaN is the largest value.
+
+    A sketch of bounded size names two values around the middle of each group. Rows below and above them are only
+    counted; values between them are counted by value, and a running count over these, sorted and read as a
+    stream, finds the one or two middle ones. No buffer holds a group, and a group of few distinct
+    values leaves only these. Should the middle lie outside the two values, the job stops rather than give a wrong figure.
+    """
+    v = F.col(value)
+    key = F.struct(*by)
+    # the sketch can't order NaN, which takes the place of infinity there; both are then counted by value
+    sketched = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v).alias("_sketched")
+    keyed = rows.select(F.xxhash64(key).alias("_key"), *by, v.alias("_value"), sketched)
+    cuts = keyed.groupBy("_key", *by).agg(
+        F.count("_value").alias("_n"),
+        F.percentile_approx("_sketched", list(AROUND), SKETCH).alias("_cut"),
+    )
+    pairs = cuts.select("_key", F.struct(*by).alias("_by"), "_n", "_cut")
+    same = F.struct(*by).eqNullSafe(F.col("_by"))
+    placed = lookup(
+        keyed.filter(F.col("_value").isNotNull()), pairs, ["_key"], "inner", spread=["_value", *by], extra=same
+    )
+    # the cuts are values of the column itself, so they compare exactly
+    part = F.when(F.col("_sketched") < F.col("_cut")[0], 0).when(F.col("_sketched") > F.col("_cut")[1], 2).otherwise(1)
+    counted = (
+        placed.withColumn("_part", part)
+        .groupBy("_key", "_by", "_n", "_part", F.when(F.col("_part") == 1, F.col("_value")).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    order = Window.partitionBy("_key", "_by").orderBy("_part", "_value")
+    upto = F.sum("_times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # ranks of the lower and the upper middle, from 1
+    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_times") < rank)
+
+    found = F.when(F.col("_part") == 1, F.col("_value").cast("double")).otherwise(
+        F.raise_error(F.lit("median outside the sketched range")).cast("double")
+    )
+    middle = (
+        counted.withColumn("_upto", upto)
+        .filter(holds(lower) | holds(upper))
+        .withColumn("_found", found)
+        .groupBy("_key", "_by")
+        .agg(((F.min("_found") + F.max("_found")) / 2).alias("median"))
+        .select(F.col("_key").alias("_mkey"), F.col("_by").alias("_mby"), "median")
+    )
+    return cuts.join(middle, (F.col("_key") == F.col("_mkey")) & F.struct(*by).eqNullSafe(F.col("_mby")), "left").select(
+        *by, "median"
+    )
+
+
 def spatial_points_aggregated(
     rows: DataFrame,
     source: str,
@@ -446,11 +505,11 @@ def spatial_points_aggregated(
     picked = select_keys(
         rows, None, None if variable_id is None else [variable_id], start, end, TIME_COLUMN[source]
     )
-    return (
-        _points(picked, source, station, variable, quality_flags)
-        .groupBy(*SERIES, "name", "code", "longitude", "latitude")
-        .agg(POINT_AGGREGATES[agg]("measured").alias("measured"))
-    )
+    points = _points(picked, source, station, variable, quality_flags)
+    by = [*SERIES, "name", "code", "longitude", "latitude"]
+    if agg == "median":
+        return exact_median(points, by, "measured").withColumnRenamed("median", "measured")
+    return points.groupBy(*by).agg(POINT_AGGREGATES[agg]("measured").alias("measured"))
 
 
 def spatial_points_summary(summary: DataFrame, source: str, station: DataFrame, at: str | None = None) -> DataFrame:

@@ -14,48 +14,99 @@ NOT_FOUND = "NOT FOUND"
 OUTSIDE = -999
 
 
-def _inside(rings: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over the edges of all rings (rings are closed: first point = last point)."""
+# Room left for rounding where an edge is cut to a band of cells, as a share of a cell.
+MARGIN = 1e-9
 
-    def crossings(ring: Column) -> Column:
-        def crosses(i: Column) -> Column:
-            a, b = ring[i], ring[i + 1]
-            spans = (a["y"] > y) != (b["y"] > y)
-            at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
-            return F.when(spans & (x < at), 1).otherwise(0)
 
-        edges = F.sequence(F.lit(0), F.size(ring) - 2)
-        return F.aggregate(F.transform(edges, crosses), F.lit(0), lambda acc, v: acc + v)
+def _crossings(edges: Column, x: Column, y: Column) -> Column:
+    """How many edges a ray from the point towards growing x crosses."""
 
-    total = F.aggregate(F.transform(rings, crossings), F.lit(0), lambda acc, v: acc + v)
-    return total % 2 == 1
+    def crosses(e: Column) -> Column:
+        spans = (e["ay"] > y) != (e["by"] > y)
+        at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
+        return spans & (x < at)
 
+    return F.size(F.filter(edges, crosses))
 
-def polygon_cells(polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """For each grid cell the polygons whose bounding box reaches it.
 
-    One row per cell; its list grows with the polygons crossing that cell, not with the points.
-    """
-    xs = F.transform(F.flatten("rings"), lambda p: p["x"])
-    ys = F.transform(F.flatten("rings"), lambda p: p["y"])
+def _edge_bands(polygons: DataFrame, cell: float) -> DataFrame:
+    """(poly, name, edge, cy, low, high): each edge once for every row of cells it reaches, with the columns it covers there."""
+    ids = polygons.select("name", "rings", F.xxhash64("rings").alias("poly")).dropDuplicates(["name", "poly"])
+    rings = ids.select("name", "poly", F.explode("rings").alias("ring"))
+    pairs = F.transform(
+        F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))),
+        lambda b, i: F.struct(
+            F.get("ring", i)["x"].alias("ax"), F.get("ring", i)["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")
+        ),
+    )
+    ay, by, ax, bx = (F.col(f"edge.{c}") for c in ("ay", "by", "ax", "bx"))
+    # a level edge is never crossed
+    edges = rings.select("name", "poly", F.explode(pairs).alias("edge")).filter(ay != by)
+    bottom, top = F.least(ay, by), F.greatest(ay, by)
+
+    def row(y: Column) -> Column:
+        return F.floor(y / cell).cast("int")
+
+    banded = edges.withColumn("cy", F.explode(F.sequence(row(bottom), row(top))))
+
+    def x_at(y: Column) -> Column:
+        inside = F.least(F.greatest(y, bottom), top)
+        return (bx - ax) * ((inside - ay) / (by - ay)) + ax
+
+    ends = [x_at((F.col("cy") - MARGIN) * cell), x_at((F.col("cy") + 1 + MARGIN) * cell)]
+    return banded.withColumns(
+        {
+            "low": F.floor(F.least(*ends) / cell - MARGIN).cast("int"),
+            "high": F.floor(F.greatest(*ends) / cell + MARGIN).cast("int"),
+        }
+    )
 
-    def cells(values: Column) -> Column:
-        low = F.floor(F.array_min(values) / cell).cast("int")
-        high = F.floor(F.array_max(values) / cell).cast("int")
-        return F.sequence(low, high)
 
+def polygon_cells(polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """For each grid cell the polygons that reach it, each with the edges inside the cell and what the rest adds.
+
+    Edges right of a cell are all crossed by a ray from within it where they span the ray's height, so only
+    their ends matter: an end counts one for every edge that has it, and two edges that meet right of the cell cancel out.
+    ``breaks`` keeps the heights left over, at most two for each edge that leaves the cell; a point is inside if its
+    crossings and the breaks above it are odd together. A cell within a polygon keeps one break above all points
+    and no edge. Rings are closed (first point = last point) and are never copied as a whole.
+    """
+    bands = _edge_bands(polygons, cell)
+    own = bands.select(
+        "name", "poly", "cy", F.explode(F.sequence("low", "high")).alias("cx"), "edge", F.lit(None).cast("double").alias("above")
+    )
+    row = F.floor(F.col("y") / cell)
+    # ends below the band are under all its points, those over it above all of them
+    ends = (
+        bands.select("name", "poly", "cy", "low", F.explode(F.array("edge.ay", "edge.by")).alias("y"))
+        .filter(row >= F.col("cy"))
+        .groupBy("name", "poly", "cy", F.when(row > F.col("cy"), F.lit(float("inf"))).otherwise(F.col("y")).alias("above"), "low")
+        .agg((F.count(F.lit(1)) % 2).alias("odd"))
+        .filter("odd = 1")
+        .groupBy("name", "poly", "cy", "above")
+        .agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    )
+    # a cell sees an end where an odd number of its edges start right of the cell: between each two of their columns
+    runs = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size("lows") / 2).cast("int")),
+        lambda k: F.sequence(F.element_at("lows", 2 * k - 1), F.element_at("lows", 2 * k) - 1),
+    )
+    carried = ends.filter(F.size("lows") > 1).select(
+        "name", "poly", "cy", F.explode(F.flatten(runs)).alias("cx"), F.lit(None).cast(bands.schema["edge"].dataType).alias("edge"), "above"
+    )
     return (
-        polygons.select("name", "rings", F.explode(cells(xs)).alias("_cx"), cells(ys).alias("_ys"))
-        .select("name", "rings", "_cx", F.explode("_ys").alias("_cy"))
-        .groupBy("_cx", "_cy")
-        .agg(F.sort_array(F.collect_list(F.struct("name", "rings"))).alias("_candidates"))
+        own.unionByName(carried)
+        .groupBy("cx", "cy", "name", "poly")
+        .agg(F.collect_list("edge").alias("edges"), F.collect_list("above").alias("breaks"))
+        .groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
+        .agg(F.collect_list(F.struct("name", "edges", "breaks")).alias("_candidates"))
     )
 
 
 def point_in_polygon(
     points: DataFrame, polygons: DataFrame, out: str, cell: float = 1.0, lon: str = "longitude", lat: str = "latitude"
 ) -> DataFrame:
-    """Name of the polygon holding each point, else ``NOT FOUND``.
+    """Name of the polygon holding each point by the even-odd rule, the first by name of several, else ``NOT FOUND``.
 
     A point meets one row, that of its cell, and tests its candidates in place: no pairs are
     produced and nothing is grouped afterwards.
@@ -63,10 +114,12 @@ def point_in_polygon(
     x, y = F.col(lon), F.col(lat)
     celled = points.withColumns({"_cx": F.floor(x / cell).cast("int"), "_cy": F.floor(y / cell).cast("int")})
     located = lookup(celled, polygon_cells(polygons, cell), ["_cx", "_cy"], spread=[lon, lat])
-    holding = F.filter("_candidates", lambda p: _inside(p["rings"], x, y))
-    return located.withColumn(out, F.coalesce(F.try_element_at(holding, F.lit(1))["name"], F.lit(NOT_FOUND))).select(
-        *points.columns, out
-    )
+
+    def holds(p: Column) -> Column:
+        return (_crossings(p["edges"], x, y) + F.size(F.filter(p["breaks"], lambda b: b > y))) % 2 == 1
+
+    names = F.transform(F.filter("_candidates", holds), lambda p: p["name"])
+    return located.withColumn(out, F.coalesce(F.array_min(names), F.lit(NOT_FOUND))).select(*points.columns, out)
 
 
 def grid_altitude_lookup(

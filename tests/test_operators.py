@@ -1,12 +1,15 @@
 """Rules that the generated tables reach rarely or not at all."""
 
 import datetime as dt
+import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from pluvio.functions.columns import round_half_even
-from pluvio.operators import climatology, gapfill, qc, rating, retrieve, signal, spatial, summary, write
+from pluvio.operators import climatology, equipment, gapfill, qc, rating, retrieve, signal, spatial, summary, write
 
 T = dt.datetime
 OBS = "station_id int, variable_id int, datetime timestamp, measured double, consisted double, quality_flag int, manual_flag int, is_daily boolean"
@@ -183,3 +186,76 @@ def test_step_of_unknown_interval(spark):
         3: (qc.GOOD, "limits"),
         4: (qc.NOT_CHECKED, qc.NO_NEIGHBOUR),
     }
+
+
+def _even_odd(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+    return odd
+
+
+def test_polygon_cells_equal_the_even_odd_rule(spark):
+    rng = random.Random(5)
+    shapes = []
+    for k in range(12):
+        cx, cy, n = rng.uniform(-3, 3), rng.uniform(-3, 3), rng.randint(3, 40)
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        ring = [(cx + rng.uniform(0.2, 4) * math.cos(a), cy + rng.uniform(0.2, 4) * math.sin(a)) for a in turns]
+        if k % 3 == 0:  # corners on cell borders, level and upright edges
+            ring = [(round(x), round(y)) for x, y in ring]
+        hole = [(cx - 0.1, cy - 0.1), (cx + 0.1, cy - 0.1), (cx + 0.1, cy + 0.1), (cx - 0.1, cy + 0.1)]
+        shapes.append((f"p{k:02d}", [[*ring, ring[0]], [*hole, hole[0]]]))
+    shapes += [("q", [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)]]), ("none", None), ("empty", [])]
+    where = [(rng.uniform(-8, 10), rng.uniform(-8, 10)) for _ in range(3000)]
+    where += [(float(i), float(j)) for i in range(-4, 10) for j in range(-4, 10)] + [(None, 1.0)]
+    points = spark.createDataFrame([(i, *xy) for i, xy in enumerate(where)], "id int, longitude double, latitude double")
+    areas = spark.createDataFrame(
+        [(n, r if r is None else [[tuple(map(float, p)) for p in ring] for ring in r]) for n, r in shapes],
+        "name string, rings array<array<struct<x: double, y: double>>>",
+    )
+    areas = areas.union(areas)  # a repeated area is one
+    expected = {}
+    for i, (x, y) in enumerate(where):
+        names = [] if x is None else [n for n, r in shapes if r and _even_odd(r, x, y)]
+        expected[i] = min(names, default="NOT FOUND")
+    for cell in (0.5, 1.0, 3.7):
+        got = {r.id: r.area for r in spatial.point_in_polygon(points, areas, "area", cell).collect()}
+        assert got == expected
+    # a cell of the large square away from its border keeps one mark and no edge
+    square = spatial.polygon_cells(areas.filter("name = 'q'"), 1.0).filter("_cx = 4 AND _cy = 4").collect()[0]
+    assert [(c.edges, c.breaks) for c in square._candidates] == [([], [math.inf])]
+
+
+def test_exact_median_of_large_skewed_and_odd_groups(spark):
+    rng = random.Random(3)
+    groups = {
+        "wide": [rng.expovariate(1) ** 9 for _ in range(60_001)],
+        "tied": [float(rng.randint(0, 3)) for _ in range(30_000)],
+        "split": [0.0] * 15_000 + [1.0] * 15_000,
+        "two": [1.0, 4.0],
+        "one": [-0.5],
+        "nan": [1.0, math.nan, math.nan],
+        "nulls": [None, 3.0, None, 5.0, 9.0],
+        "void": [None],
+        None: [2.0, 8.0],
+    }
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(7)
+    got = {r.g: r.median for r in retrieve.exact_median(rows, ["g"], "v").collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        if g == "nan":
+            assert math.isnan(got[g])
+        else:
+            known = [v for v in values if v is not None]
+            assert got[g] == (statistics.median(known) if known else None)
+    assert retrieve.exact_median(rows.limit(0), ["g"], "v").collect() == []
+
+
+def test_equipment_history_counts_nulls_as_changes(spark):
+    rows = [(1, T(2024, 1, d), v) for d, v in ((1, None), (2, "a"), (3, "a"), (4, None), (5, None), (6, "b"))]
+    history = spark.createDataFrame(rows, "equipment_id int, datetime timestamp, state string")
+    got = sorted((r.datetime.day, r.old_value, r.new_value) for r in equipment.equipment_change_history(history, ["state"]).collect())
+    assert got == [(2, None, "a"), (4, "a", None), (6, None, "b")]
