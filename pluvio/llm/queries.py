@@ -136,13 +136,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SECRET_PATTERNS = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.WIDE)
 _PARTS = r"""
-    SELECT row_id, source, '{kind}' AS kind, {rank} AS rank, unnest(pieces) AS part, generate_subscripts(pieces, 1) AS k
-    FROM (SELECT row_id, source, string_split(
+    SELECT row_id, source, repository, '{kind}' AS kind, {rank} AS rank, unnest(pieces) AS part, generate_subscripts(pieces, 1) AS k
+    FROM (SELECT row_id, source, repository, string_split(
               regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS pieces FROM texts)
 """
 ORACLE["op4_secrets"] = rf"""
 WITH texts AS (
-    SELECT row_number() OVER () AS row_id, doc_id, source,
+    SELECT row_number() OVER () AS row_id, doc_id, source, {{'doc': doc_id, 'text': md5(text)}} AS repository,
            replace(coalesce(text, ''), chr(57344), chr(57345)) AS t
     FROM documents
 ), parts AS (
@@ -158,16 +158,19 @@ WITH texts AS (
     WHERE CASE kind WHEN 'assign' THEN length(value) >= 12
                     WHEN 'owned' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') ELSE true END
 ), owners AS (
-    SELECT value, count(*) AS n FROM (SELECT DISTINCT value, source FROM kept) GROUP BY value
+    SELECT value, CASE WHEN count(*) >= {secrets.EXAMPLE_OWNERS} OR sum(r) >= {secrets.EXAMPLE_REPOSITORIES} THEN 'example'
+                       WHEN count(*) = 1 THEN 'live' ELSE 'shared' END AS verdict
+    FROM (SELECT value, source, count(*) AS r FROM (SELECT DISTINCT value, source, repository FROM kept) GROUP BY value, source)
+    GROUP BY value
 ), judged AS (
-    SELECT kept.*, n, kind || ':' || start || ':' || stop AS span FROM kept JOIN owners USING (value)
-    WHERE kind <> 'owned' OR n = 1
+    SELECT kept.*, verdict, kind || ':' || start || ':' || stop AS span FROM kept JOIN owners USING (value)
+    WHERE kind <> 'owned' OR verdict = 'live'
 ), summed AS (
     SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
            count(*) FILTER (kind = 'hex') AS n_hex,
            string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'owned') AS base,
            string_agg(span, ',' ORDER BY start, rank) AS spans,
-           count(*) FILTER (n = 1) AS n_live, count(*) FILTER (n >= {secrets.EXAMPLE_OWNERS}) AS n_example
+           count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
     FROM judged GROUP BY row_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,

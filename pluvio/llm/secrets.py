@@ -2,8 +2,9 @@
 
 Base spans come from three patterns. A fourth, wider pattern proposes candidates that only the corpus can judge: every
 candidate value, as a hash, is counted over the distinct repositories and owners it occurs in. A value
-that many owners share is a copied example; one that a single owner has looks live. Wide candidates with a
-single owner are added as ``owned`` spans; base spans always stay, with their verdict beside them.
+that ``EXAMPLE_OWNERS`` owners share, or ``EXAMPLE_REPOSITORIES`` repositories of whichever owners, is a copied example;
+one that a single owner has in fewer repositories looks live; the rest is shared. Live wide candidates
+are added as ``owned`` spans; base spans always stay, with their verdict beside them.
 
 A repository is a document and its owner the ``source`` unless told otherwise; rows without an owner count as
 one owner of their own. Nulls and empty texts have no spans. Repeated rows (same id, same text) count as one
@@ -27,8 +28,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 WIDE = r"[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
-# A value of so many owners is a copied example.
+# A value of so many owners, or in so many repositories, is a copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 20
 # Private-use characters: the first marks the borders of matches, the second stands in for it in texts that
 # have it; no pattern matches either, and both count one code point.
 MARK, STAND_IN = "\ue000", "\ue001"
@@ -95,9 +97,9 @@ def ownership(found: DataFrame) -> DataFrame:
     """(value, repositories, owners, verdict) of every candidate value; each level is summed before it is shuffled."""
     per_owner = found.groupBy("value", "owner", "id", "key").agg(F.lit(1).alias("one")).groupBy("value", "owner")
     counted = per_owner.agg(F.count("*").alias("n")).groupBy("value")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
     return counted.agg(F.sum("n").alias("repositories"), F.count("*").alias("owners")).withColumn(
-        "verdict",
-        F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("owners") == 1, "live").otherwise("shared"),
+        "verdict", F.when(copied, "example").when(F.col("owners") == 1, "live").otherwise("shared")
     )
 
 

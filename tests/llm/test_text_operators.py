@@ -117,6 +117,23 @@ def test_secrets(spark, odd_docs):
     assert secrets.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_secret_verdicts_by_owners_and_repositories(spark):
+    """Verdicts against counts made in plain Python: one owner with many repositories is no live credential."""
+    many = secrets.EXAMPLE_REPOSITORIES
+    values = {"a": [(1, "o")], "b": [(k, "o") for k in range(many)], "c": [(k, "o") for k in range(many - 1)]}
+    values |= {"d": [(1, "o"), (2, "p")], "e": [(1, "o"), (2, "p"), (3, None)], "f": [(1, "o"), (1, "o")]}
+    rows = [(k, own, f"{name * 23}9") for name, places in values.items() for k, own in places]
+    expected = {}
+    for name, places in values.items():
+        owners, repositories = {own for _, own in places}, set(places)
+        copied = len(owners) >= secrets.EXAMPLE_OWNERS or len(repositories) >= many
+        expected[f"{name * 23}9"] = "example" if copied else "live" if len(owners) == 1 else "shared"
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    # runs of one hexadecimal letter are base spans, which show every verdict
+    found = {r.text: {s.verdict for s in r.secrets} for r in secrets.scan(docs).collect()}
+    assert found == {text: {verdict} for text, verdict in expected.items()}
+
+
 def test_pseudonyms(spark, odd_docs):
     texts = [
         "mail und.34@mail7.example.com and Und.34@x.org",
