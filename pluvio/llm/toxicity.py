@@ -3,7 +3,8 @@
 Each word is the bag of its character 3- and 4-grams, with marks at its ends, and of itself; all of them are
 hashed to ``BUCKETS`` rows of one embedding table. A word that occurs n times weighs 1 + ln n. A document is
 the weighted mean of its rows, and a linear softmax over that mean gives the score. Table and softmax are trained together in numpy on the driver, on a bounded sample of
-labelled documents that arrive as bags; words never seen share the rows of their n-grams. As the softmax is linear, the
+labelled documents that arrive as bags of at most ``BAG`` buckets each (of a larger one those of the lowest hash, drawn anew for
+each document, in their shares), so at most ``2 * PER_CLASS * BAG`` times 8 bytes reach the driver; words never seen share the rows of their n-grams. As the softmax is linear, the
 fitted model is one number per bucket, which is what the tasks that score all documents get.
 
 Texts are read whole. Null, empty and wordless texts have the score of the bias alone. Labels of held-out
@@ -29,6 +30,8 @@ from pluvio.llm.common import ship
 from pluvio.llm.labelled import training_rows
 
 BUCKETS, WIDTH = 1 << 16, 8
+# Buckets of a labelled document to train on, at most; scores always use all of a text.
+BAG = 4096
 # Scale of the mean, so that single words of long documents can move the softmax.
 GAIN = 100.0
 # Empty rows that take part in every mean, so that a few words don't decide as surely as a thousand.
@@ -53,8 +56,19 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(seen.keys(), np.int32, len(seen)), np.fromiter(seen.values(), np.float32, len(seen))
 
 
+def drawn(buckets: np.ndarray, counts: np.ndarray, most: int = BAG) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` buckets of a bag, in the order of the bag; the draw depends on the bag alone."""
+    if len(buckets) <= most:
+        return buckets, counts
+    # an odd factor and a shift by the whole bag mix the bits; the rank of the mixed value draws
+    seed = zlib.crc32(buckets.tobytes())
+    mixed = ((buckets.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    kept = np.sort(np.argsort(mixed, kind="stable")[:most])
+    return buckets[kept], counts[kept]
+
+
 def _bags(texts: pd.Series) -> pd.DataFrame:
-    made = [bag(text) for text in texts]
+    made = [drawn(*bag(text)) for text in texts]
     return pd.DataFrame({"buckets": [b.tobytes() for b, _ in made], "counts": [c.tobytes() for _, c in made]})
 
 

@@ -333,6 +333,20 @@ def test_classifiers_hold_out(spark, name, label, least):
     assert (ranks - ones * (ones - 1) / 2) / (ones * (len(held) - ones)) > least
 
 
+def test_large_bags_are_drawn_evenly():
+    buckets, counts = toxicity.bag(" ".join(f"w{k}x{k * k}" for k in range(5000)))
+    kept, n = toxicity.drawn(buckets, counts)
+    assert len(buckets) > toxicity.BAG == len(kept) == len(set(kept.tolist()))
+    known = dict(zip(buckets.tolist(), counts.tolist()))
+    assert all(known[b] == c for b, c in zip(kept.tolist(), n.tolist()))
+    # buckets of every part of the bag, and another bag draws others
+    assert np.histogram(kept, 8, (0, toxicity.BUCKETS))[0].min() > toxicity.BAG / 16
+    other, _ = toxicity.drawn(buckets[1:], counts[1:])
+    assert len(set(kept.tolist()) & set(other.tolist())) < 0.9 * toxicity.BAG
+    small = toxicity.bag("a few words")
+    assert toxicity.drawn(*small)[0] is small[0]
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_on_odd_rows(spark, odd_docs, module):
     labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (6, 1, 0), (6, None, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
