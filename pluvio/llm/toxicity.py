@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     if len(totals) < 2:
         known = {0: -20.0, 1: 20.0}[next(iter(totals), 0)]
         return Model(np.zeros(BUCKETS, np.float32), known)
-    sample = rows.select("id", "label", F.pandas_udf(_bags, "struct<buckets: binary, counts: binary>")("text").alias("bag")).orderBy("id").collect()
+    sample = rows.select("id", "label", F.pandas_udf(_bags, "struct<buckets: binary, counts: binary>")("text").alias("bag")).collect()
+    # sorted here, as a sort by range would make every bag twice
+    sample.sort(key=lambda r: r.id)
     bags = [(np.frombuffer(r.bag.buckets, np.int32), np.frombuffer(r.bag.counts, np.float32)) for r in sample]
     marks = np.array([r.label for r in sample], dtype=np.int64)
     # the sample may hold the classes in other shares than the labels do
