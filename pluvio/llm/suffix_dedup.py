@@ -39,6 +39,8 @@ RUNS = WINDOW - CORE + 1  # places of an anchor in a window
 SLICE, SORTED = 1 << 17, 300_000
 # Occurrences of an anchor whose distinct fragments are sorted in one bucket.
 CROWD = 1000
+# Bits that hold a place in a slice.
+PLACES = np.uint64((1 << 18) - 1)
 # Odd, so that its powers have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -62,6 +64,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _lowest(hashed: np.ndarray) -> np.ndarray:
+    """Place of the lowest hash among each ``RUNS`` neighbours, by the upper bits, the first of equal ones.
+
+    Minima are carried forward and backward within blocks of ``RUNS``; any ``RUNS`` neighbours end one block and begin another.
+    """
+    n = len(hashed)
+    grid = np.full(-(-n // RUNS) * RUNS, np.iinfo(np.uint64).max, np.uint64)
+    grid[:n] = (hashed & ~PLACES) | np.arange(n, dtype=np.uint64)
+    grid = grid.reshape(-1, RUNS)
+    forward = np.minimum.accumulate(grid, axis=1).ravel()
+    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(backward[: n - RUNS + 1], forward[RUNS - 1 : n]) & PLACES).astype(np.int64)
+
+
 def fragments(data: bytes) -> tuple[np.ndarray, ...]:
     """(anchor, fragment, start, shape) of each run of windows with one anchor.
 
@@ -76,7 +92,7 @@ def fragments(data: bytes) -> tuple[np.ndarray, ...]:
         cores = len(own) - CORE + 1
         hashed = _mix((sums[CORE:] - sums[:-CORE]) * inverse[:cores])
         windows = cores - RUNS + 1
-        at = np.arange(windows) + np.lib.stride_tricks.sliding_window_view(hashed, RUNS).argmin(axis=1)
+        at = _lowest(hashed)
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([start[1:], [windows]]) - 1
         shape = (last - start) * 512 + at[start] - start
