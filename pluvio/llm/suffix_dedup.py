@@ -3,19 +3,20 @@
 All windows of ``WINDOW`` bytes are dealt out by content: the anchor of a window is its run of ``CORE`` bytes with
 the lowest hash, so equal windows have equal anchors, and neighbouring windows mostly share one. The windows of a text
 with one anchor make a fragment, cut from the text with the anchor in a known place. Anchors that occur once
-are dropped; equal fragments are counted instead of being sent along, and a bucket with one fragment only has nothing to
-sort. In the other buckets suffixes decide: the anchor's bytes, equal in all fragments of a
-bucket, become one symbol, the fragments of many buckets are put together, and their suffix array, made by
-the grouping construction of ``suffix_array``, brings equal windows next to each other, where they are
-compared symbol by symbol.
+are dropped, and equal fragments are counted instead of being sent along.
 
-A bucket that more than ``CROWD`` occurrences share is not sorted: a long passage that many documents hold, each with
-other text around it, has as many distinct fragments at its edges. Its windows are dealt out one by one and counted by
-content, which combines before the shuffle, so no task holds the bucket.
+A passage that many documents hold, each with other text around it, has as many distinct fragments at its edges. So the
+windows of every anchor with several fragments are dealt again: those with the anchor at one of ``SHARE`` neighbouring places
+have all but ``SHARE`` - 1 bytes in common, which become their core, and a run of them is one row, a core with the few bytes
+to its left and right. Cores that occur once are dropped; what is left has equal neighbours up to those bytes. In each
+bucket of one core suffixes decide: the core becomes one symbol, the strings of many buckets are put
+together, and their suffix array, made by the grouping construction of ``suffix_array``, brings equal windows next to
+each other, where they are compared symbol by symbol. A bucket of more than ``BUCKET`` distinct strings is dealt once more, by
+``LEAST`` places; a string then has one byte on either side at most, so no bucket can hold more than 66,048 of them.
 
 Matches never cross documents; overlapping occurrences count; windows are judged on the input. Nulls and
 texts shorter than a window keep all bytes. Rows that repeat (same id, same text) are copies of each other.
-Texts are read in slices, whole. Fragments and anchors are told apart by 64-bit hashes, windows of a crowded bucket by two.
+Texts are read in slices, whole. Anchors, fragments and cores are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ from pluvio.functions.joins import lookup
 from pluvio.llm.common import fresh, kept, ship
 from pluvio.llm.suffix_array import suffix_array
 
-WINDOW, CORE = 400, 200
+WINDOW, CORE = 400, 209
 RUNS = WINDOW - CORE + 1  # places of an anchor in a window
-# Windows of one slice of a text, and fragments and symbols sorted at once (more only within one bucket).
+# Neighbouring places by which windows are dealt again; each divides the one before.
+SHARE, LEAST = 16, 2
+# Distinct strings of one bucket sorted as dealt by SHARE places.
+BUCKET = 1 << 16
+# Windows of one slice of a text, and symbols sorted at once (more only within one bucket).
 SLICE, SORTED = 1 << 17, 300_000
-# Occurrences of an anchor whose distinct fragments are sorted in one bucket.
-CROWD = 1000
 # Bits that hold a place in a slice.
 PLACES = np.uint64((1 << 18) - 1)
 # Odd, so that its powers have inverses modulo 2^64.
@@ -116,45 +119,22 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the fragments, named by two hashes."""
-    numbers, power, inverse = _tables()
-    other = _mix(numbers)
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            some = batch.slice(k, 256)
-            lows, hashes = [], ([], [])
-            for data in some.column("data").to_pylist():
-                raw = np.frombuffer(data, np.uint8)
-                n = len(raw) - WINDOW + 1
-                lows.append(np.arange(n))
-                for own, into in zip((numbers, other), hashes):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own[raw] * power[: len(raw)], dtype=np.uint64)])
-                    into.append(_mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:n]).view(np.int64))
-            of = pa.array(np.repeat(np.arange(len(lows)), [len(x) for x in lows]))
-            low, a, b = np.concatenate(lows), np.concatenate(hashes[0]), np.concatenate(hashes[1])
-            yield pa.RecordBatch.from_arrays(
-                [*(some.column(c).take(of) for c in ("anchor", "fragment", "n")), pa.array(low, pa.int32()), pa.array(a), pa.array(b)],
-                names=["anchor", "fragment", "n", "low", "a", "b"],
-            )
-
-
-def _repeated(bucket: list[int], pieces: list[bytes], shapes: list[int], times: list[int]) -> list[np.ndarray]:
-    """For each fragment, which of its windows occur twice; ``bucket`` numbers the buckets."""
+def _repeated(bucket: list[int], left: list[bytes], right: list[bytes], times: list[int], width: int) -> list[np.ndarray]:
+    """For each string, which of its windows occur twice; ``bucket`` numbers the buckets, a window is ``width`` symbols."""
     symbols: list[int] = []
-    base, owner, offset = [], [], []
-    for k, (group, data, shape) in enumerate(zip(bucket, pieces, shapes)):
-        more, distance = divmod(shape, 512)
+    base, owner, offset, counts = [], [], [], []
+    for k, (group, before, after) in enumerate(zip(bucket, left, right)):
+        windows = len(before) + len(after) - width + 2
         base.append(len(symbols))
-        # 0 parts fragments, 1 to 256 are bytes, and the anchor's bytes are the bucket's own symbol
-        symbols += [b + 1 for b in data[:distance]]
+        # 0 parts strings, 1 to 256 are bytes, and the core's bytes are the bucket's own symbol
+        symbols += [b + 1 for b in before]
         symbols.append(257 + group)
-        symbols += [b + 1 for b in data[distance + CORE :]]
+        symbols += [b + 1 for b in after]
         symbols.append(0)
-        owner.append(np.full(more + 1, k))
-        offset.append(np.arange(more + 1))
+        owner.append(np.full(windows, k))
+        offset.append(np.arange(windows))
+        counts.append(windows)
     owners, offsets = np.concatenate(owner), np.concatenate(offset)
-    width = WINDOW - CORE + 1
     text = np.array(symbols, np.int32)
     number = np.full(len(text), -1)
     number[np.array(base)[owners] + offsets] = np.arange(len(owners))
@@ -163,51 +143,55 @@ def _repeated(bucket: list[int], pieces: list[bytes], shapes: list[int], times:
     views = np.lib.stride_tricks.sliding_window_view(text, width)
     twice = np.array(times)[owners] > 1
     for k in range(0, len(ordered) - 1, 1 << 14):
-        left, right = ordered[k : k + (1 << 14)], ordered[k + 1 : k + (1 << 14) + 1]
-        equal = (views[left[: len(right)]] == views[right]).all(axis=1)
-        twice[number[left[: len(right)][equal]]] = True
-        twice[number[right[equal]]] = True
-    return np.split(twice, np.cumsum([s // 512 + 1 for s in shapes])[:-1])
+        some, next_ = ordered[k : k + (1 << 14)], ordered[k + 1 : k + (1 << 14) + 1]
+        equal = (views[some[: len(next_)]] == views[next_]).all(axis=1)
+        twice[number[some[: len(next_)][equal]]] = True
+        twice[number[next_[equal]]] = True
+    return np.split(twice, np.cumsum(counts)[:-1])
 
 
-def _sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by anchor; whole buckets are sorted together up to a number of symbols."""
+def _sort_buckets(width: int):
+    """Rows come sorted by core; whole buckets are sorted together up to a number of symbols."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = (rows["anchor"] != rows["anchor"].shift()).cumsum().tolist()
-        marks = _repeated(bucket, rows["data"].tolist(), rows["shape"].tolist(), rows["n"].tolist())
+        bucket = (rows["core"] != rows["core"].shift()).cumsum().tolist()
+        left, right = rows["left"].tolist(), rows["right"].tolist()
+        marks = _repeated(bucket, left, right, rows["n"].tolist(), width)
         out: list[tuple] = []
-        for anchor, fragment, twice in zip(rows["anchor"], rows["fragment"], marks):
+        for core, before, after, twice in zip(rows["core"], left, right, marks):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
-            out += [(anchor, fragment, int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
-        return pd.DataFrame(out, columns=["anchor", "fragment", "low", "high"])
-
-    waiting: list[pd.DataFrame] = []
-    held = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        waiting.append(batch)
-        held += int(batch["data"].str.len().sum())
-        if held >= SORTED:
-            rows = pd.concat(waiting)
-            # the last bucket may go on in the next batch
-            ended = rows["anchor"] != rows["anchor"].iloc[-1]
-            ready, rest = rows[ended], rows[~ended]
-            sizes = ready["data"].str.len().cumsum() // SORTED
-            # cut where a bucket begins
-            part = sizes.where(ready["anchor"] != ready["anchor"].shift()).ffill()
-            for _, own in ready.groupby(part.to_numpy()):
-                yield solve(own)
-            waiting, held = [rest], 0
-    rows = pd.concat(waiting) if waiting else pd.DataFrame()
-    if len(rows):
-        yield solve(rows)
+            out += [(core, before, after, int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
+        return pd.DataFrame(out, columns=["core", "left", "right", "begin", "end"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        held = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            waiting.append(batch)
+            held += int((batch["left"].str.len() + batch["right"].str.len() + 2).sum())
+            if held >= SORTED:
+                rows = pd.concat(waiting)
+                # the last bucket may go on in the next batch
+                ended = rows["core"] != rows["core"].iloc[-1]
+                ready, rest = rows[ended], rows[~ended]
+                sizes = (ready["left"].str.len() + ready["right"].str.len() + 2).cumsum() // SORTED
+                # cut where a bucket begins
+                part = sizes.where(ready["core"] != ready["core"].shift()).ffill()
+                for _, own in ready.groupby(part.to_numpy()):
+                    yield solve(own)
+                waiting, held = [rest], 0
+        rows = pd.concat(waiting) if waiting else pd.DataFrame()
+        if len(rows):
+            yield solve(rows)
+
+    return run
 
 
 def shared_fragments(source: DataFrame) -> DataFrame:
     """Occurrences (row, anchor, fragment, start, shape) of anchors that occur again; ``mixed`` where the anchor has several
-    fragments, and ``crowded`` where these are too many occurrences for one bucket."""
+    fragments."""
     seen = kept(
         source.mapInArrow(_occurrences, "row long, anchor long, fragment long, start int, shape int"), "fragments"
     )
@@ -215,9 +199,9 @@ def shared_fragments(source: DataFrame) -> DataFrame:
         seen.groupBy("anchor")
         .agg(F.count("*").alias("n"), (F.min("fragment") < F.max("fragment")).alias("mixed"))
         .filter("n > 1")
-        .select("anchor", "mixed", (F.col("mixed") & (F.col("n") > CROWD)).alias("crowded"))
+        .select("anchor", "mixed")
     )
-    return kept(seen.join(often, "anchor"), "shared")
+    return kept(lookup(seen, often, ["anchor"], "inner", spread=["row", "start"], copies=4), "shared")
 
 
 def pieces(source: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -243,39 +227,98 @@ def pieces(source: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def _counted(data: DataFrame) -> DataFrame:
-    """(anchor, fragment, low, high): runs of windows that occur twice, of fragments in crowded buckets."""
-    windows = data.mapInArrow(_windows, "anchor long, fragment long, n long, low int, a long, b long")
-    twice = windows.groupBy("anchor", "a", "b").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    lows = (
-        lookup(windows, twice, ["anchor", "a", "b"], "inner", spread="fragment")
-        .groupBy("anchor", "fragment")
-        .agg(F.array_sort(F.collect_list("low")).alias("lows"))
+def strings(data: DataFrame) -> DataFrame:
+    """Fragments as strings (anchor, fragment, n, low, core, left, right): the anchor is the core, between the bytes on its sides."""
+    distance = F.col("shape") % 512
+    return data.select(
+        "anchor",
+        "fragment",
+        "n",
+        F.lit(0).alias("low"),
+        F.col("anchor").alias("core"),
+        F.substring("data", F.lit(1), distance).alias("left"),
+        F.substring("data", distance + CORE + 1, F.octet_length("data")).alias("right"),
     )
-    begins = F.filter("lows", lambda x, i: (i == 0) | (F.get("lows", i - 1) != x - 1))
-    ends = F.filter("lows", lambda x, i: F.coalesce(F.get("lows", i + 1) != x + 1, F.lit(True)))
-    return lows.select("anchor", "fragment", F.inline(F.arrays_zip(begins.alias("low"), ends.alias("high"))))
+
+
+def deal(rows: DataFrame, width: int, share: int) -> DataFrame:
+    """Strings whose windows take their core at ``width`` places, cut into strings of ``share`` places.
+
+    A window with k bytes left of the core has ``width`` - 1 - k right of it. Those of one share have the bytes of the least k on the
+    left, and of the greatest on the right, in common; these and the old core make the new one. ``low`` is the first window's
+    number in the fragment.
+    """
+    before, after, last = F.octet_length("left"), F.octet_length("right"), width - 1
+
+    def cut(j: Column) -> Column:
+        least = j * share
+        most = least + share - 1
+        high, low = F.least(most, before), F.greatest(least, last - after)
+        common = F.substring("left", before - least + 1, least), F.substring("right", F.lit(1), last - most)
+        return F.struct(
+            (F.col("low") + before - high).cast("int").alias("low"),
+            F.xxhash64("core", j, *common).alias("core"),
+            F.substring("left", before - high + 1, high - least).alias("left"),
+            F.substring("right", last - most + 1, most - low).alias("right"),
+        )
+
+    shares = F.sequence(F.floor((last - after) / share).cast("int"), F.floor(before / share).cast("int"))
+    return rows.select("anchor", "fragment", "n", F.inline(F.transform(shares, cut)))
+
+
+def settle(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, fragment, low, high), runs of windows that occur twice, and the strings of buckets to deal once more."""
+    core = ["core", "left", "right"]
+    sizes = (
+        rows.groupBy(*core)
+        .agg(F.sum("n").alias("n"))
+        .groupBy("core")
+        .agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
+        .filter("n > 1")
+        .select("core", "distinct")
+    )
+    shared = kept(lookup(rows, sizes, ["core"], "inner", spread="fragment", copies=4), "cores")
+    crowded = F.col("distinct") > (BUCKET if width > LEAST else 1 << 62)
+    alone, mixed = shared.filter("distinct = 1"), shared.filter((F.col("distinct") > 1) & ~crowded)
+    found = (
+        mixed.groupBy(*core)
+        .agg(F.sum("n").alias("n"))
+        .repartition("core")
+        .sortWithinPartitions("core")
+        .mapInPandas(_sort_buckets(width), "core long, left binary, right binary, begin int, end int")
+    )
+    windows = F.octet_length("left") + F.octet_length("right") - width + 2
+    runs = alone.select("anchor", "fragment", "low", (F.col("low") + windows - 1).alias("high")).union(
+        lookup(mixed, found, core, "inner", spread="fragment", copies=4).select(
+            "anchor", "fragment", (F.col("low") + F.col("begin")).alias("low"), (F.col("low") + F.col("end")).alias("high")
+        )
+    )
+    return runs, shared.filter(crowded).drop("distinct")
 
 
 def repeated_spans(docs: DataFrame, row: Column, text: str) -> DataFrame:
     """(row, spans): merged byte ranges [start, end) that strings occurring twice cover."""
     source = docs.select(row.alias("row"), F.col(text).alias("text"))
     shared = shared_fragments(source)
-    data = pieces(source, shared.filter("mixed AND NOT crowded"))
-    found = data.repartition("anchor").sortWithinPartitions("anchor", "fragment").mapInPandas(
-        _sort_buckets, "anchor long, fragment long, low int, high int"
-    )
-    crowded = shared.filter("crowded")
+    mixed = shared.filter("mixed")
+    found, crowded = settle(kept(deal(strings(pieces(source, mixed)), RUNS, SHARE), "strings"), SHARE)
     if not crowded.isEmpty():
-        found = found.union(_counted(kept(pieces(source, crowded), "crowded")))
-    begin = lambda low: (F.col("start") + low).alias("start")
+        found = found.union(settle(kept(deal(crowded, SHARE, LEAST), "strings"), LEAST)[0])
+    # runs of neighbouring strings become one
+    sorted_ = found.groupBy("anchor", "fragment").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    begins = F.filter("runs", lambda r, i: (i == 0) | (F.get("runs", i - 1)["high"] != r["low"] - 1))
+    ends = F.filter("runs", lambda r, i: F.coalesce(F.get("runs", i + 1)["low"] != r["high"] + 1, F.lit(True)))
+    merged = sorted_.select("anchor", "fragment", F.arrays_zip(begins.alias("low"), ends.alias("high")).alias("runs"))
+    span = lambda r: F.struct(
+        (F.col("start") + r["low"]["low"]).alias("start"), (F.col("start") + r["high"]["high"] + WINDOW).alias("end")
+    )
     covered = (
         shared.filter("NOT mixed")
         .select("row", "start", (F.col("start") + F.floor(F.col("shape") / 512) + WINDOW).cast("int").alias("end"))
         .union(
-            shared.filter("mixed")
-            .join(found, ["anchor", "fragment"])
-            .select("row", begin(F.col("low")), (F.col("start") + F.col("high") + WINDOW).alias("end"))
+            lookup(mixed, merged, ["anchor", "fragment"], "inner", spread="row", copies=4).select(
+                "row", F.inline(F.transform("runs", span))
+            )
         )
     )
     return covered.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
