@@ -7,8 +7,10 @@ two radices and adds, in turn, a keyed hash of one to the other; the radices mul
 values of a format, so no value leaves it:
 
 * card numbers of 13 to 19 digits with a right check digit: all digits before it, the check digit is made anew
-* telephone numbers with a country code: all digits behind the code
-* dates (year-month-day, or day and month with / or . before the year): days of their 400-year cycle
+* telephone numbers with a country code (in groups of three and four, or ending in pairs): all digits behind the code
+* telephone numbers of ten digits, (ddd) ddd-dddd, ddd-ddd-dddd or ddd.ddd.dddd: all digits
+* dates (year, month, day with - or /; day and month with / or . before the year): days of their 400-year cycle
+* dates that only read with the month first (the day is over 12): such days of their 400-year cycle
 * social security numbers with valid area, group and serial: the valid ones
 * IPv4 addresses: all four bytes
 * email addresses: the ASCII letters and digits before the @, as base-36 digits (letters come out lower case)
@@ -28,8 +30,12 @@ ROUNDS = 8
 # Fixed kinds, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
-    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9/]|[.-][0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
+    r"|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?[ .-][0-9]{1,4}(?:[ .-][0-9]{3})?(?:[ .-][0-9]{2}){2,4}(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9.+-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})"
+    r"(?![0-9/]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}"
@@ -138,23 +144,50 @@ def _phone(key: str, value: Column, undo: bool) -> Column:
     return F.concat(code, _put_back(rest, "[0-9]", "[^0-9]", done))
 
 
-def _date(key: str, value: Column, undo: bool) -> Column:
-    iso = value.rlike("^[0-9]{4}-")
-    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.translate(value, ".", "/"), "dd/MM/yyyy")
-    )
-    # 400 Gregorian years have 146,097 = 189 * 773 days; a cycle starts on 1 January of a year divisible by 400
-    start = F.make_date((F.floor(F.year(day) / 400) * 400).cast("int"), F.lit(1), F.lit(1))
+def _day(key: str, day: Column, start: Column, undo: bool) -> Column:
+    """Any day of the cycle from ``start``: 400 Gregorian years have 146,097 = 189 * 773."""
     place = F.datediff(day, start).cast("long")
     radices = F.lit(189).cast("long"), F.lit(773).cast("long")
     pair = feistel(key, F.lit("date"), F.floor(place / 773).cast("long"), place % 773, *radices, undo)
-    moved = F.get(F.transform(F.array(pair), lambda p: F.date_add(start, (p["left"] * 773 + p["right"]).cast("int"))), F.lit(0))
-    separator = F.when(value.contains("."), ".").otherwise("/")
-    text = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(
-        F.replace(F.date_format(moved, "dd/MM/yyyy"), F.lit("/"), separator)
-    )
-    # whole cycles of four-digit years only
-    return F.when(day.isNotNull() & (F.year(day) >= 400) & (F.year(day) < 9600), text).otherwise(value)
+    return F.get(F.transform(F.array(pair), lambda p: F.date_add(start, (p["left"] * 773 + p["right"]).cast("int"))), F.lit(0))
+
+
+def _late_day(key: str, day: Column, start: Column, undo: bool) -> Column:
+    """Days after the 12th of their month: a cycle has 146,097 - 12 * 4,800 = 88,497 = 9 * 9,833."""
+    first = F.year(start)
+    months = (F.year(day) - first) * 12 + F.month(day) - 1
+    place = (F.datediff(day, start) - 12 * (months + 1)).cast("long")
+    radices = F.lit(9).cast("long"), F.lit(9833).cast("long")
+    pair = feistel(key, F.lit("late date"), F.floor(place / 9833).cast("long"), place % 9833, *radices, undo)
+
+    def begin(month: Column) -> Column:
+        date = F.make_date((first + F.floor(month / 12)).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+        return F.datediff(date, start) - 12 * month
+
+    def dated(rank: Column) -> Column:
+        # the month is at most one off its average place
+        near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.floor(rank * 4800 / 88497) + d).cast("int"))
+        month = F.array_max(F.filter(near, lambda m: begin(m) <= rank))
+        return F.date_add(start, (rank + 12 * (month + 1)).cast("int"))
+
+    return F.get(F.transform(F.transform(F.array(pair), lambda p: p["left"] * 9833 + p["right"]), dated), F.lit(0))
+
+
+def _date(key: str, value: Column, undo: bool) -> Column:
+    plain = F.translate(value, "/.", "--")
+    read = lambda form: F.try_to_date(plain, form)
+    out = value
+    # the month comes first only where the day can't
+    for form, move in (("MM-dd-yyyy", _late_day), ("dd-MM-yyyy", _day), ("yyyy-MM-dd", _day)):
+        shape = plain.rlike("^[0-9]{4}-") if form[0] == "y" else ~plain.rlike("^[0-9]{4}-")
+        day = read(form)
+        # a cycle starts on 1 January of a year divisible by 400
+        start = F.make_date((F.floor(F.year(day) / 400) * 400).cast("int"), F.lit(1), F.lit(1))
+        text = _put_back(value, "[0-9]", "[^0-9]", _digits(F.date_format(move(key, day, start, undo), form)))
+        # whole cycles of four-digit years only
+        valid = shape & day.isNotNull() & (F.year(day) >= 400) & (F.year(day) < 9600)
+        out = F.when(valid, text).otherwise(out)
+    return out
 
 
 def _ssn(key: str, value: Column, undo: bool) -> Column:

@@ -5,11 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date, datetime, timedelta
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -160,6 +162,119 @@ def test_pseudonyms(spark, odd_docs):
     assert odd.columns == odd_docs.columns and odd.exceptAll(odd_docs).count() == 0
 
 
+def plain_pseudonym(key, value):
+    """The pseudonym by plain Python."""
+
+    def walk(tweak, left, right, a, b):
+        for step in range(pii.ROUNDS):
+            seed = "|".join([key, tweak, str(step), str(right if step % 2 == 0 else left)])
+            noise = int(hashlib.sha256(seed.encode()).hexdigest()[:15], 16)
+            left, right = ((left + noise) % a, right) if step % 2 == 0 else (left, (right + noise) % b)
+        return left, right
+
+    def moved(tweak, digits, base):
+        half, signs = len(digits) // 2, "0123456789abcdefghijklmnopqrstuvwxyz"
+        sizes = half, len(digits) - half
+        pair = walk(f"{tweak}/{len(digits)}", int(digits[:half] or "0", base), int(digits[half:], base), *(base**n for n in sizes))
+        return "".join(signs[v // base**k % base] for v, n in zip(pair, sizes) for k in reversed(range(n)))
+
+    def put(value, pattern, fill):
+        fill = iter(fill)
+        return re.sub(pattern, lambda _: next(fill), value)
+
+    def check(digits):
+        odd = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in odd) % 10
+
+    kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, value))
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "email":
+        name, host = value.split("@", 1)
+        plain = re.sub("[^A-Za-z0-9]", "", name).lower()
+        chunks = [plain[k : k + 24] for k in range(0, len(plain), 24)]
+        return put(name, "[A-Za-z0-9]", "".join(moved(f"email{i}", c, 36) for i, c in enumerate(chunks))) + "@" + host
+    if kind == "phone":
+        code = (re.match(r"\+([0-9]{1,3}(?=[^0-9])|[0-9])", value) or [""])[0]
+        rest = value[len(code) :]
+        return code + put(rest, "[0-9]", moved("phone" + code, re.sub("[^0-9]", "", rest), 10))
+    if kind == "card":
+        if check(digits):
+            return value
+        body = moved("card", digits[:-1], 10)
+        return put(value, "[0-9]", body + str(-check(body + "0") % 10))
+    if kind == "ip":
+        parts = [int(p) for p in value.split(".")]
+        if max(parts) > 255:
+            return value
+        pair = walk("ip", parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], 1 << 16, 1 << 16)
+        return ".".join(str(x) for p in pair for x in divmod(p, 256))
+    if kind == "ssn":
+        area, group, serial = (int(p) for p in value.split("-"))
+        areas = [n for n in range(1, 900) if n != 666]
+        if area not in areas or not group or not serial:
+            return value
+        left, right = walk("ssn", areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        return f"{areas[left // 99]:03}-{left % 99 + 1:02}-{right + 1:04}"
+    for form in ["%Y-%m-%d"] if value[:4].isdigit() else ["%d-%m-%Y", "%m-%d-%Y"]:
+        try:
+            day = datetime.strptime(re.sub("[/.]", "-", value), form).date()
+        except ValueError:
+            continue
+        if not 400 <= day.year < 9600:
+            return value
+        start = date(day.year // 400 * 400, 1, 1)
+        days = [start + timedelta(n) for n in range(146097)]
+        if form == "%m-%d-%Y":
+            days = [d for d in days if d.day > 12]
+        b = 9833 if form == "%m-%d-%Y" else 773
+        tweak = "late date" if b == 9833 else "date"
+        left, right = walk(tweak, *divmod(days.index(day), b), len(days) // b, b)
+        return put(value, "[0-9]", re.sub("-", "", days[left * b + right].strftime(form)))
+    return value
+
+
+def test_pseudonyms_equal_those_by_brute_force(spark, sf_dir):
+    forms = [
+        "call (743) 555-3824, 743-555-3824, 743.555.3824 or +33 6 12 34 56 78; +7 495 123-45-67, +33 (0) 6 12 34 56 78",
+        "not 1743-555-3824 nor 743-555-38245, 743-555-3824-1, 1.743.555.3824",
+        "on 12/31/1999, 12.31.1999 and 02/29/2000; 31/12.1999 1999/12/31 2000/02/29 31/12/1999 02/03/1999",
+        "not 13/13/1999, 02/30/1999, 1999/13/01, 0399-12-31 or 9600-01-01, 1999/12/31/1",
+        "a b 5@x.y a.b-c_d%e+f@mail.example.org \u00fcn1@x.org " + "q" * 60 + "@x.org",
+    ]
+    texts = [*forms, *(t for t in documents(sf_dir).values() if t)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = pii.pseudonymise(docs, "k").cache()
+    known = {}
+    pattern = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+
+    def swap(match):
+        value = match[0]
+        if value not in known:
+            known[value] = plain_pseudonym("k", value)
+        return known[value]
+
+    found = rows_by_id(done)
+    assert [found[i].text for i in range(len(texts))] == [pattern.sub(swap, t) for t in texts]
+    back = rows_by_id(pii.pseudonymise(done, "k", undo=True))
+    assert all(back[i].text.lower() == t.lower() for i, t in enumerate(texts))
+    for text, parts in ((1, forms[1]), (3, forms[3])):
+        assert found[text].text == parts
+    assert all(v != known[v] for v in ("(743) 555-3824", "+33 6 12 34 56 78", "+7 495 123-45-67", "12/31/1999", "1999/12/31"))
+
+
+def test_late_days_are_permuted(spark):
+    """All days after the 12th of a cycle move to such days, no two to one, and back."""
+    start = F.lit(date(1600, 1, 1))
+    days = spark.range(146097).select(F.date_add(start, F.col("id").cast("int")).alias("day")).filter("day(day) > 12")
+    moved = days.select("day", pii._late_day("k", F.col("day"), start, False).alias("to"))
+    row = moved.agg(
+        F.count_distinct("to").alias("n"),
+        F.min(F.dayofmonth("to")).alias("least"),
+        F.count_if(pii._late_day("k", F.col("to"), start, True) != F.col("day")).alias("lost"),
+    ).first()
+    assert (row.n, row.least, row.lost) == (88497, 13, 0)
+
+
 @pytest.mark.parametrize("a,b", [(627, 233), (898 * 99, 9999), (10, 100)])
 def test_feistel_is_a_permutation(spark, a, b):
     n = min(a * b, 2000)
