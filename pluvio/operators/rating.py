@@ -28,9 +28,10 @@ def latest_curve_asof(obs: DataFrame, curves: DataFrame) -> DataFrame:
     """Newest curve that started before each reading; null where none had.
 
     With validity periods each reading matches one curve, so nothing has to be ranked or grouped
-    afterwards and the shuffle carries readings once (not at all when the curves are broadcast).
+    afterwards and the shuffle carries readings once. There are several curves for each station, too many to broadcast
+    unless there are few stations.
     """
-    rows = lookup(obs, curve_periods(curves), ["station_id"], extra=_in_force("datetime"))
+    rows = lookup(obs, curve_periods(curves), ["station_id"], extra=_in_force("datetime"), shuffled=True)
     return rows.drop("start_date", "_until")
 
 
@@ -56,7 +57,7 @@ def rating_curve_flow(levels: DataFrame, curves: DataFrame, points: DataFrame) -
     within = (h != F.lit(MISSING)) & (
         ((h >= F.col("h1")) & (h < F.col("h2"))) | ((h == F.col("h1")) & F.col("h2").isNull())
     )
-    rows = lookup(latest_curve_asof(levels, curves), curve_segments(points), ["curve_id"], extra=within)
+    rows = lookup(latest_curve_asof(levels, curves), curve_segments(points), ["curve_id"], extra=within, shuffled=True)
     slope = F.try_divide(F.col("q2") - F.col("q1"), F.col("h2") - F.col("h1"))
     line = slope * (h - F.col("h1")) + F.col("q1")
     flow = F.when(h == F.col("h1"), F.col("q1")).otherwise(line)

@@ -126,6 +126,31 @@ def test_rating_curve_edges(spark):
     assert got == {(t, v): q for t, v, q in cases}
 
 
+def generated_curves(spark):
+    """Curves and points whose number Spark can't tell from the bytes they are made of."""
+    curves = spark.range(40).select(
+        F.col("id").cast("int").alias("station_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")
+    ).select(
+        (F.col("station_id") * 10 + F.col("i")).alias("id"), "station_id", F.expr("cast(concat(2020 + i, '-01-01') AS timestamp)").alias("start_date")
+    )
+    points = curves.select(
+        F.col("id").alias("rating_curve_id"), F.explode(F.array(*[F.lit(float(h)) for h in range(1, 9)])).alias("h")
+    ).withColumn("q", F.col("h") * 10 + F.col("rating_curve_id"))
+    return curves, points
+
+
+def physical_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rating_curves_are_not_broadcast(spark):
+    curves, points = generated_curves(spark)
+    levels = spark.createDataFrame([(7, T(2022, 5, 1), 2.5), (3, T(2020, 5, 1), 8.0), (99, T(2020, 5, 1), 8.0)], "station_id int, datetime timestamp, measured double")
+    flows = rating.rating_curve_flow(levels, curves, points)
+    assert "Broadcast" not in physical_plan(flows)
+    assert {(r.station_id, r.flow) for r in flows.collect()} == {(7, 97.0), (3, 110.0), (99, -99.9)}
+
+
 def test_contour_levels_and_grid_size(spark):
     df = spark.createDataFrame([("a", 1.2), ("a", 3.9), ("b", -0.5), ("b", 0.5)], "s string, value double")
     got = {r.s: r.levels for r in spatial.contour_levels(df, ["s"]).collect()}
