@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.columns import round_half_even
 from pluvio.operators import climatology, equipment, gapfill, qc, rating, retrieve, signal, spatial, summary, write
+from pluvio.sources import sheets
 
 T = dt.datetime
 OBS = "station_id int, variable_id int, datetime timestamp, measured double, consisted double, quality_flag int, manual_flag int, is_daily boolean"
@@ -151,6 +152,20 @@ def test_rating_curves_are_not_broadcast(spark):
     assert {(r.station_id, r.flow) for r in flows.collect()} == {(7, 97.0), (3, 110.0), (99, -99.9)}
 
 
+def test_river_sheet_broadcasts_no_curves(spark):
+    curves, points = generated_curves(spark)
+    station = spark.createDataFrame([(7, 0)], "id int, utc_offset_minutes int")
+    rows = spark.createDataFrame([(7, dt.date(2022, 5, 1), "2", "2.5", "dry")], "station_id int, month_start date, day string, level_6am string, level_6pm string")
+    sheet = sheets.ingest_river_sheet(rows, station, curves, points)
+    plan = physical_plan(sheet)
+    # the stations may be broadcast, the curves and their steps not
+    assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastHashJoin") <= 1
+    assert {(r.variable_id, r.datetime, r.measured) for r in sheet.collect()} == {
+        (4015, T(2022, 5, 2, 6), 2.5),
+        (4016, T(2022, 5, 2, 6), 97.0),
+    }
+
+
 def test_contour_levels_and_grid_size(spark):
     df = spark.createDataFrame([("a", 1.2), ("a", 3.9), ("b", -0.5), ("b", 0.5)], "s string, value double")
     got = {r.s: r.levels for r in spatial.contour_levels(df, ["s"]).collect()}
