@@ -577,7 +577,7 @@ def mixed_manifest(files):
 def ingested(t):
     files = stored(mixed_files(t), "mixed-files")
     dims = ingest.Dimensions(t.station(), t.variable(), logger_format(t), hobo_format(t), curves(t), points(t))
-    return ingest.ingest_by_decoder(mixed_manifest(files), files.select("path", "line"), dims)
+    return ingest.ingest_by_decoder(stored(mixed_manifest(files), "mixed-manifest"), files.select("path", "line"), dims)
 
 
 def same_file(sql: str, where: str) -> str:

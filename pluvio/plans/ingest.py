@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.joins import lookup
 from pluvio.operators import qc, summary, write
-from pluvio.session import shared_dir
+from pluvio.session import shared_dir, stored
 from pluvio.sources import loggers, sheets
 from pluvio.sources.lines import clean_line, csv_fields, file_name, first_field, unquoted
 from pluvio.sources.manifest import ERROR, IN_PROCESS, PROCESSED, file_manifest_dedup
@@ -206,11 +206,13 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
     ``manifest`` is (id, filepath, decoder, station_id, file_hash, status_id), ``lines`` are (path, line). Copies of files
     are skipped. A file fails by itself, with a reason and without any reading: its decoder is unknown, it has no lines, no header, a station that
     isn't known, or a line that is neither header nor data. Lines are written once, by decoder, and a decoder reads its own only.
+    Decisions and states are written too, as every decoder needs them; both have a row for each file, so they are never broadcast.
     """
-    queue = file_manifest_dedup(manifest)
+    decided = file_manifest_dedup(manifest)
+    queue = stored(decided.select("id", "filepath", "decoder", "station_id", "new_status_id"), "queue")
     chosen = queue.filter(F.col("new_status_id") == IN_PROCESS)
     files = chosen.select(F.col("filepath").alias("path"), "decoder", "station_id")
-    routed = lookup(lines.select("path", clean_line(F.col("line")).alias("line")), files, ["path"], "inner", spread="line")
+    routed = lookup(lines.select("path", clean_line(F.col("line")).alias("line")), files, ["path"], "inner", spread="line", shuffled=True)
     spark, folder = manifest.sparkSession, shared_dir(manifest.sparkSession, "routed")
     routed.withColumn("part", F.col("decoder")).write.partitionBy("part").parquet(folder)
     kinds = "path string, line string, decoder string, station_id int, part string"
@@ -224,7 +226,7 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
     facts = _file_facts(written)
     judged = (
         chosen.withColumnRenamed("filepath", "path")
-        .join(facts, "path", "left")
+        .join(facts.hint("merge"), "path", "left")
         .withColumn("_code", named)
         .join(codes, "_code", "left")
     )
@@ -236,12 +238,13 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
         .when(F.col("spoilt").isNotNull(), F.concat(F.lit("not a line of data: "), "spoilt"))
     )
     text = F.concat(F.lit('Error Processing file with "'), F.coalesce("decoder", F.lit("")), F.lit('" decoder. '), reason)
-    done = judged.select(
+    found = judged.select(
         "id",
         F.col("path").alias("filepath"),
         F.when(reason.isNull(), PROCESSED).otherwise(ERROR).alias("status_id"),
         F.substring(text, 1, 1024).alias("observation"),
     )
+    done = stored(found, "states")
     skipped = queue.filter(F.col("new_status_id") != IN_PROCESS).select(
         "id", "filepath", F.col("new_status_id").alias("status_id"), F.lit(None).cast("string").alias("observation")
     )
@@ -250,7 +253,7 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
     good = done.filter(F.col("status_id") == PROCESSED).select(F.col("filepath").alias("path"))
     readings = None
     for name, decoder in DECODERS.items():
-        own = lookup(written.filter(F.col("part") == name).drop("part"), good, ["path"], "left_semi", spread="line")
+        own = lookup(written.filter(F.col("part") == name).drop("part"), good, ["path"], "left_semi", spread="line", shuffled=True)
         rows = decoder.decode(own, dims).select(*[F.col(c).cast(kind).alias(c) for c, kind in READING])
         readings = rows if readings is None else readings.unionByName(rows)
     return Ingest(readings, states)

@@ -26,7 +26,7 @@ def file_manifest_dedup(manifest: DataFrame) -> DataFrame:
 
     A file is skipped while another file with the same content is neither failed nor skipped. Files
     are handled in id order, so of several waiting copies the last one is read. The copies are
-    counted per hash (one small row each), never gathered.
+    counted per hash (one small row each), never gathered and never broadcast.
     """
     waiting = F.col("status_id").isin(NOT_PROCESSED, REPROCESS)
     queue = manifest.filter(waiting)
@@ -39,7 +39,7 @@ def file_manifest_dedup(manifest: DataFrame) -> DataFrame:
     skip = (F.col("_active") > 0) | (F.col("id") != F.col("_last"))
     return (
         # a content copied very often is spread by file, its counts are one row
-        lookup(queue, per_hash, ["file_hash"], "inner", spread="id")
+        lookup(queue, per_hash, ["file_hash"], "inner", spread="id", shuffled=True)
         .withColumn("decision", F.when(skip, "skip").otherwise("process"))
         .withColumn("new_status_id", F.when(skip, SKIPPED).otherwise(IN_PROCESS))
         .drop("_active", "_last")
