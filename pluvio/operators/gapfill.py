@@ -183,8 +183,10 @@ def export_preamble(
 
 def export_station_csv(wide: DataFrame, path: str) -> None:
     """One CSV folder per station; rows are spread by station and period, so a large station gets
-    several files instead of one writer."""
+    several files instead of one writer. The number of tasks is given: the time goes by files, and left to
+    itself Spark merges the tasks by their few bytes into one that writes all folders."""
     spread = [c for c in ("Year", "Month") if c in wide.columns]
-    wide.repartition("station_id", *spread).sortWithinPartitions(
+    tasks = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide.repartition(tasks, "station_id", *spread).sortWithinPartitions(
         "station_id", *[c for c in ("Year", "Month", "Day", "Time") if c in wide.columns]
     ).write.mode("overwrite").partitionBy("station_id").option("header", True).csv(path)
