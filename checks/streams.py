@@ -138,16 +138,12 @@ register("stream_lightning_area_late", lambda t: lightning_counts(t, AREA, late=
 
 
 def file_ingest(t):
-    """Writes the logger files, then ingests the folder."""
+    """Writes the logger files, a path and a line a row, then ingests the folder."""
     store, checkpoint = new_store(t, "file-ingest")
     folder = f"{store.root}/incoming"
-    lines = logger_lines(t).withColumn("file", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.dat$", ""))
-    # the file name carries the station code, so every (station, day) becomes one folder of files
-    lines.select("file", "line").repartition("file").write.partitionBy("file").text(folder)
-    incoming = t.spark.readStream.text(folder).select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"file=([^/]+)/.*$", "$1.dat").alias("path"),
-        F.col("value").alias("line"),
-    )
+    # a logger file for every (station, day) is far too small to be a file of its own here
+    logger_lines(t).select("path", "line").write.parquet(folder)
+    incoming = t.spark.readStream.schema("path string, line string").parquet(folder)
     jobs.stream_file_ingest(
         incoming,
         store,
