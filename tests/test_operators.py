@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.columns import round_half_even
 from pluvio.operators import climatology, equipment, gapfill, qc, rating, retrieve, signal, spatial, summary, write
-from pluvio.sources import sheets
+from pluvio.sources import manifest, sheets
 
 T = dt.datetime
 OBS = "station_id int, variable_id int, datetime timestamp, measured double, consisted double, quality_flag int, manual_flag int, is_daily boolean"
@@ -166,6 +166,20 @@ def test_river_sheet_broadcasts_no_curves(spark):
     }
 
 
+def test_manifest_counts_are_not_broadcast(spark):
+    files = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 2)], "id long, file_hash string, status_id int")
+    decided = manifest.file_manifest_dedup(files)
+    assert "Broadcast" not in physical_plan(decided)
+    assert {(r.id, r.decision) for r in decided.collect()} == {(1, "skip"), (2, "process")}
+
+
+def test_export_is_written_by_several_tasks(spark, tmp_path):
+    wide = spark.range(40).select(F.col("id").alias("station_id"), F.lit("2024").alias("Year"), F.lit("01").alias("Month"), F.lit(1.0).alias("CLK"))
+    gapfill.export_station_csv(wide, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("station_id=*/part-*.csv"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+
+
 def test_contour_levels_and_grid_size(spark):
     df = spark.createDataFrame([("a", 1.2), ("a", 3.9), ("b", -0.5), ("b", 0.5)], "s string, value double")
     got = {r.s: r.levels for r in spatial.contour_levels(df, ["s"]).collect()}
