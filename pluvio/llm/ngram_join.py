@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import fresh, kept, ship
+from pluvio.llm.common import Passing, fresh, kept, ship
 from pluvio.llm.graph import Forest, components
 
 # N-grams and documents of one slice of a block, on average over the hash.
@@ -225,13 +226,17 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, id: str, text: str
     ship(docs.sparkSession)
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sets = kept(source.mapInArrow(_sets(words, num, den), SETS.format(id=kind)), "sets")
-    # copies agree on all segments: one row of each set stands for them
-    first = sets.filter("n > 0").groupBy("node").agg(
-        F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.first("segments").alias("segments"), F.first("spare").alias("spare")
-    )
-    first = kept(first, "nodes")
-    met = _meet(first)
+    # segments take as much room as the texts: they are kept twice only while copies are left out, and go when the sets have met
+    with ExitStack() as done:
+        with Passing(source.mapInArrow(_sets(words, num, den), SETS.format(id=kind)), "sets") as every:
+            # copies agree on all segments: one row of each set stands for them
+            one = every.filter("n > 0").groupBy("node").agg(
+                F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.first("segments").alias("segments"), F.first("spare").alias("spare")
+            )
+            one = done.enter_context(Passing(one, "nodes"))
+            sets = kept(every.select("id", "key", "n", "node"), "ids")
+        first = kept(one.select("node", "first", "n"), "firsts")
+        met = _meet(one)
     blocks = components(met.select("a", "b"))
     # a vertex is a set in one size class
     vertices = met.select("node", F.col("a").alias("vertex")).union(met.select("low", "b")).distinct()
@@ -284,12 +289,12 @@ def _meet(first: DataFrame) -> DataFrame:
     # the segments of one document in one size class; those that no other has are the rarest and need no rank
     ordered = Window.partitionBy("node", "class").orderBy(F.desc("often"), "segment")
     ranked = shared.withColumn("rank", F.row_number().over(ordered)).join(spare, ["node", "class"])
-    stay = kept(ranked.filter("rank > spare").select("node", "segment"), "segments")
-    lowest = stay.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    pairs = stay.join(lowest, "segment").filter("node != low").withColumn("class", F.col("segment").bitwiseAND(mask))
-    return kept(
-        pairs.select("node", "low", F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b")).distinct(), "meetings"
-    )
+    with Passing(ranked.filter("rank > spare").select("node", "segment"), "segments") as stay:
+        lowest = stay.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+        pairs = stay.join(lowest, "segment").filter("node != low").withColumn("class", F.col("segment").bitwiseAND(mask))
+        return kept(
+            pairs.select("node", "low", F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b")).distinct(), "meetings"
+        )
 
 
 def _grams_of(words: int):

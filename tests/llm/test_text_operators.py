@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -19,6 +21,7 @@ from tokenizers import Tokenizer
 from checks.compare import compare
 from pluvio.llm import (
     bpe,
+    common,
     decontamination,
     embedding_join,
     ngram_join,
@@ -530,3 +533,29 @@ def test_one_of_each_class_stays(spark):
     left = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in left) == [(0, "a b"), (1, "w0 "), (2, ""), (2, "")]
 
+
+
+def test_kept_rows_leave_no_shuffle_files(spark):
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        found = blocks.getAllBlocks()
+        names = (found.apply(k).name() for k in range(found.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = shuffled()
+    rows = common.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 30
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    left = shuffled() - before
+    assert not left and rows.count() == 7
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_ngram_join_removes_what_it_kept_for_a_while(spark, odd_docs):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    assert ngram_join.deduplicate(odd_docs, words=2).count()
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert not left & {"sets", "nodes", "segments"} and {"ids", "firsts", "meetings"} <= left
