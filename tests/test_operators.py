@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.columns import round_half_even
 from pluvio.operators import climatology, equipment, gapfill, qc, rating, retrieve, signal, spatial, summary, write
+from pluvio.session import configure
 from pluvio.sources import manifest, sheets
 
 T = dt.datetime
@@ -313,3 +314,10 @@ def test_equipment_history_counts_nulls_as_changes(spark):
     history = spark.createDataFrame(rows, "equipment_id int, datetime timestamp, state string")
     got = sorted((r.datetime.day, r.old_value, r.new_value) for r in equipment.equipment_change_history(history, ["state"]).collect())
     assert got == [(2, None, "a"), (4, "a", None), (6, None, "b")]
+
+
+def test_tasks_read_a_bounded_part_of_large_files(spark):
+    """So that the first half of an aggregate over nearly distinct keys holds what it reads; small files are packed as before."""
+    settings = configure(spark)._jsparkSession.sessionState().conf()
+    assert settings.filesMaxPartitionBytes() <= 16 << 20
+    assert settings.filesMaxPartitionBytes() // settings.filesOpenCostInBytes() == 32
