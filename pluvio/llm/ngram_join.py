@@ -280,7 +280,8 @@ def _meet(first: DataFrame) -> DataFrame:
     """(node, low, a, b): sets that share a segment which neither spares, each with the lowest one of that segment; a and b
     are the two as vertices of the segment's size class."""
     parts = first.select("node", F.explode("segments").alias("segment"))
-    often = parts.groupBy("segment").agg(F.count("*").alias("often")).filter("often > 1")
+    # counted apart: its shuffle, as large as that of the join, is gone before that begins
+    often = kept(parts.groupBy("segment").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     mask = F.lit((1 << CLASS_BITS) - 1)
     shared = parts.join(often, "segment").withColumn("class", F.col("segment").bitwiseAND(mask))
     spare = first.select("node", F.explode("spare").alias("s")).select(
