@@ -6,11 +6,13 @@ import re
 import time
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -519,6 +521,21 @@ def test_bpe_in_one_worker(spark):
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
+def test_bpe_reads_long_texts_in_small_batches(spark):
+    """What a worker holds at once is bounded by bytes, not by a number of rows of any length."""
+    df = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))  # 20 MB
+    codec = bpe.SharedCodec(df, RANKS, PATTERN)
+
+    @F.pandas_udf("long")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([batch.str.len().sum()] * len(batch))
+
+    assert df.select(held("text").alias("n")).agg(F.max("n")).first()[0] <= 5_000_000
+    done = bpe.decode(bpe.encode(df, codec), codec)
+    assert done.filter(F.col("decoded") == F.col("text").cast("binary")).count() == 1000
+
+
 def test_norms_at_the_ends_of_the_range(spark):
     rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.01]), (3, [1e200, 1e200]), (4, [1.0, 1.0]), (5, [-1e-310, -1e-310]), (6, [1e308, 0.0])]
     found = rows_by_id(embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "id")
