@@ -23,15 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import fresh, ship
+from pluvio.llm.common import fresh, ship, small_batches
 from pluvio.llm.pieces import splitter
 
 # Entries each memory of an earlier answer may hold before it starts anew; results don't depend on it.
 MEMO = 1 << 17
 # Pieces up to this many characters are remembered with their ids.
 MEMO_PIECE = 64
-# Bytes of rows that Spark sends to a worker at once; 64 MB by default, held several times over in both directions.
-BATCH = "4m"
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -186,12 +184,12 @@ _MADE: dict[tuple[str, str], Encoder | Decoder] = {}
 class SharedCodec:
     """Tables of a rank file (bounded by it), made once and broadcast; each worker builds its part once.
 
-    The session's batches to Python are limited to ``BATCH`` bytes from here on; a longer row goes by itself.
+    The session's batches to Python are small from here on.
     """
 
     def __init__(self, docs: DataFrame, path: str, pattern: str):
         ship(docs.sparkSession)
-        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        small_batches(docs.sparkSession)
         pairs = read_ranks(path)
         tokens = [token for token, _ in pairs]
         tables = (tokens, [rank for _, rank in pairs], merge_parents(tokens), pattern)

@@ -351,6 +351,35 @@ def test_suffix_dedup_of_a_long_passage(spark, monkeypatch, bucket):
         assert bytes(r.deduplicated.kept) == bytes(b for b, g in zip(own, gone) if not g)
 
 
+def test_suffix_dedup_reads_long_texts_in_small_batches(spark, monkeypatch, tmp_path):
+    """What a worker holds of the texts at once is bounded by bytes, where they are read and where they are cut."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    passage, sizes = "".join(random.Random(6).choices("abcdefgh ", k=800_000)), {x: tmp_path / x for x in ("read", "cut")}
+
+    def note(step, n):
+        with sizes[step].open("a") as f:
+            f.write(f"{n}\n")
+
+    def occurrences(batches, run=suffix_dedup._occurrences):
+        yield from run(note("read", batch.nbytes) or batch for batch in batches)
+
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        note("cut", texts.str.len().sum())
+        return done(texts, ranges)
+
+    done = suffix_dedup._cut
+    monkeypatch.setattr(suffix_dedup, "_occurrences", occurrences)
+    monkeypatch.setattr(suffix_dedup, "_cut", cut)
+    docs = spark.range(0, 26, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.char(F.col("id") + 65)).alias("text")
+    )  # 21 MB
+    rows = suffix_dedup.remove_repeats(docs).select("doc_id", "deduplicated.*").collect()
+    assert {r.doc_id: (bytes(r.kept), r.spans) for r in rows} == {i: (bytes([65 + i]), [(0, 800_000)]) for i in range(26)}
+    for step in sizes.values():
+        held = [int(n) for n in step.read_text().split()]
+        assert sum(held) >= 26 * 800_000 and max(held) <= 5_000_000
+
+
 def shingles(text, words):
     own = (text or "").encode().lower().split()
     return frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset()
