@@ -20,6 +20,22 @@ class Forest:
         if len(found) > 1:
             self.label[np.isin(self.label, found[1:])] = found[0]
 
+    def grow(self, n: int) -> None:
+        """``n`` more places, each by itself."""
+        self.label = np.append(self.label, np.arange(len(self.label), len(self.label) + n))
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Many links at once: components that touch take the lowest label of those they touch, until none differ."""
+        while True:
+            a, b = self.label[left], self.label[right]
+            open_ = a != b
+            if not open_.any():
+                return
+            left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(above := self.label[self.label], self.label):
+                self.label = above
+
     def edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each linked node with its component's first one: no more edges than nodes, and the same components."""
         inner = self.label != np.arange(len(self.label))

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -476,6 +477,36 @@ def test_embedding_join_of_scaled_copies(spark, monkeypatch):
     assert {r.id: r.n_links for r in found} == dict(enumerate(want.tolist()))
 
 
+def test_embedding_join_over_many_blocks(spark, monkeypatch):
+    """Noise, which no ball tells apart, and groups, in single precision: every pair of blocks is met once."""
+    monkeypatch.setattr(embedding_join, "CELL", 40)
+    monkeypatch.setattr(embedding_join, "SIDE", 16)
+    rng = np.random.default_rng(5)
+    groups = np.repeat(rng.normal(size=(12, 24)), 15, axis=0) + rng.normal(size=(180, 24)) * 0.35
+    vectors = np.array([*rng.normal(size=(400, 24)), *groups]).astype(np.float32).astype(np.float64)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    lowest = np.arange(len(vectors))
+    for _ in vectors:
+        lowest = np.where(linked, lowest[None, :], len(vectors)).min(axis=1)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    found = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.id: (r.n_links, r.component) for r in found} == {k: (int(linked[k].sum()) - 1, int(lowest[k])) for k in range(len(vectors))}
+    assert linked.sum() > 2 * len(vectors)
+
+
+def test_embedding_join_copies_no_vector():
+    """Noise among a hundred pivots: a vector has one home, and what leaves at once is bounded (copies to all cells took a gigabyte)."""
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=(10000, 64))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(list(noise)), pa.array(np.ones(10000, np.int64))], names=["node", "v", "n"])
+    out = list(embedding_join._homes({64: embedding_join._separate(noise[:100] / np.linalg.norm(noise[:100], axis=1, keepdims=True))})([batch]))
+    assert sum(b.num_rows for b in out) == 10000 and max(b.nbytes for b in out) < 8_000_000
+    cells = np.concatenate([b.column(0).to_numpy() for b in out])
+    assert (cells[:100] == np.arange(100) + 64 * embedding_join.PIVOTS).all()
+    assert b"".join(v for b in out for v in b.column(3).to_pylist()) == noise.tobytes()
+
+
 @pytest.mark.parametrize("name,label,least", [("op7_toxicity", "toxic", 0.9), ("op8_quality", "quality", 0.9)])
 def test_classifiers_hold_out(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
