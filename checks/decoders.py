@@ -1,5 +1,7 @@
 """Decoders, on messages and files that Spark writes from the given tables."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from checks.places import CURVES, POINTS, curves, flow_sql, points
@@ -524,7 +526,7 @@ def in_path(folder, *parts):
 
 
 def mixed_files(t):
-    """(decoder, path, line) of six formats. Some logger files have a line of noise; the names of some wide files have no known station."""
+    """Lines (path, line) of six formats by decoder. Some logger files have a line of noise; the names of some wide files have no known station."""
     day = F.regexp_extract("path", r"(\d{2})\.\w+$", 1).try_cast("int")
     code = F.regexp_extract("path", r"ST(\d+)", 1).try_cast("int")
     toa5 = logger_lines(t).filter(code % 3 == 0)
@@ -534,22 +536,17 @@ def mixed_files(t):
     stray = wide.filter(code % 5 == 0).withColumn("path", F.replace("path", F.lit("_ST"), F.lit("_XX")))
     daily = daily_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
     river = river_sheet(t).withColumn("month", F.date_format("month_start", "yyyy-MM"))
-    made = {
+    return {
+        "MANUAL DAILY": sheet_lines(in_path("daily", "station_id", "_", "month", ".csv"), ["day", "month", *sheets.DAILY_COLUMNS])(daily),
+        "HYDROLOGY": sheet_lines(in_path("river", "station_id", "_", "month", ".csv"), ["day", "month", "level_6am", "level_6pm"])(river),
         "TOA5": toa5.unionByName(noise),
         "HOBO": hobo,
         "SURFACE": wide.unionByName(stray),
-        "MANUAL DAILY": sheet_lines(in_path("daily", "station_id", "_", "month", ".csv"), ["day", "month", *sheets.DAILY_COLUMNS])(daily),
         "MANUAL HOURLY": sheet_lines(
             in_path("hourly", "station_code", "_", "day", ".csv"),
             ["day", "hour", "station_code", *sheets.SYNOPTIC_COLUMNS, *sheets.CLOUD_GROUPS, *sheets.PAST_WEATHER],
         )(synoptic_sheet(t)),
-        "HYDROLOGY": sheet_lines(in_path("river", "station_id", "_", "month", ".csv"), ["day", "month", "level_6am", "level_6pm"])(river),
     }
-    out = None
-    for decoder, lines in made.items():
-        rows = lines.select(F.lit(decoder).alias("decoder"), "path", "line")
-        out = rows if out is None else out.unionByName(rows)
-    return out
 
 
 def mixed_manifest(files):
@@ -575,7 +572,9 @@ def mixed_manifest(files):
 
 
 def ingested(t):
-    files = stored(mixed_files(t), "mixed-files")
+    # one after the other, so that what one shuffles is gone before the next; those that shuffle most come first
+    made = [stored(lines.select(F.lit(d).alias("decoder"), "path", "line"), "mixed-files") for d, lines in mixed_files(t).items()]
+    files = functools.reduce(lambda some, more: some.unionByName(more), made)
     dims = ingest.Dimensions(t.station(), t.variable(), logger_format(t), hobo_format(t), curves(t), points(t))
     return ingest.ingest_by_decoder(stored(mixed_manifest(files), "mixed-manifest"), files.select("path", "line"), dims)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.joins import lookup
 from pluvio.operators import qc, summary, write
-from pluvio.session import shared_dir, stored
+from pluvio.session import cleaned, shared_dir, stored
 from pluvio.sources import loggers, sheets
 from pluvio.sources.lines import clean_line, csv_fields, file_name, first_field, unquoted
 from pluvio.sources.manifest import ERROR, IN_PROCESS, PROCESSED, file_manifest_dedup
@@ -82,41 +83,42 @@ class Dimensions:
 @dataclass(frozen=True)
 class Decoder:
     """``header`` and ``data`` tell lines of a file apart, any other line that is not blank spoils the file (unless ``lenient``);
-    ``code`` is the station code of a path, where the path has it."""
+    ``code`` is the station code of a path, where the path has it; ``columns`` are those of a sheet, found by the names in its header."""
 
     decode: Callable[[DataFrame, Dimensions], DataFrame]
     header: Callable[[Column], Column]
     data: Callable[[Column], Column]
     code: Callable[[Column], Column] | None = None
     lenient: bool = False
+    columns: tuple[str, ...] = ()
 
 
 def _second(line: Column) -> Column:
     return unquoted(F.substring_index(F.substring_index(line, ",", 2), ",", -1))
 
 
-def _sheet(rows: DataFrame, *more: str) -> DataFrame:
-    """Lines of sheets saved as CSV, as columns named by the line that starts with ``day``; others that a sheet lacks are blank."""
+def _names(header: Column) -> Column:
+    return F.transform(csv_fields(header), lambda f: F.lower(unquoted(f)))
+
+
+def _sheet(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """Lines of sheets saved as CSV, as the columns named; ``slots`` are their places in the sheet, those that it lacks are blank."""
     fields = csv_fields(F.col("line"))
-    named = F.transform(fields, lambda f: F.lower(unquoted(f)))
-    header = rows.filter(first_field(F.col("line")) == "day").groupBy("path").agg(F.first(named).alias("names"))
-    data = lookup(rows.filter(first_field(F.col("line")) != "day"), header, ["path"], "inner", spread="line")
+    data = rows.filter((first_field(F.col("line")) != "day") & F.col("slots").isNotNull())
     cells = data.withColumn("_f", F.transform(fields, unquoted))
-    values = [F.coalesce(F.get("_f", F.array_position("names", c).cast("int") - 1), F.lit("")).alias(c) for c in SHEET_COLUMNS]
+    values = [F.coalesce(F.get("_f", F.get("slots", F.lit(k)) - 1), F.lit("")).alias(c) for k, c in enumerate(columns)]
     # as a generated row the columns are computed once; a plain select would be merged into every use of them
     return cells.select("path", *more, F.inline(F.array(F.struct(*values))))
 
 
-SHEET_COLUMNS = list(
-    dict.fromkeys(
-        ["day", "month", "hour", "station_code", "level_6am", "level_6pm", *sheets.DAILY_COLUMNS, *sheets.SYNOPTIC_COLUMNS, *sheets.CLOUD_GROUPS, *sheets.PAST_WEATHER]
-    )
-)
+RIVER_SHEET = ["day", "month", "level_6am", "level_6pm"]
+DAILY_SHEET = ["day", "month", *sheets.DAILY_COLUMNS]
+HOURLY_SHEET = ["day", "hour", "station_code", *sheets.SYNOPTIC_COLUMNS, *sheets.CLOUD_GROUPS, *sheets.PAST_WEATHER]
 
 
-def _monthly(rows: DataFrame) -> DataFrame:
+def _monthly(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Sheets of a station and month; the manifest names the station."""
-    return _sheet(rows, "station_id").withColumn("month_start", F.to_date(F.concat("month", F.lit("-01"))))
+    return _sheet(rows, columns, "station_id").withColumn("month_start", F.to_date(F.concat("month", F.lit("-01"))))
 
 
 def _is_int(text: Column) -> Column:
@@ -124,7 +126,11 @@ def _is_int(text: Column) -> Column:
 
 
 def _time(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern)).isNotNull()
+    """Whether the text is a time; one without a mark of the pattern is none, which is cheaper to see than to try."""
+    marked = F.lit(True)
+    for mark in dict.fromkeys(c for c in pattern if not c.isalnum()):
+        marked = marked & text.contains(mark)
+    return F.when(marked, F.try_to_timestamp(text, F.lit(pattern)).isNotNull()).otherwise(F.lit(False))
 
 
 def _path_code(path: Column) -> Column:
@@ -158,46 +164,74 @@ DECODERS: dict[str, Decoder] = {
         _wide_code,
     ),
     "HYDROLOGY": Decoder(
-        lambda rows, d: sheets.ingest_river_sheet(_monthly(rows), d.station, d.curves, d.points),
+        lambda rows, d: sheets.ingest_river_sheet(_monthly(rows, RIVER_SHEET), d.station, d.curves, d.points),
         _is_day_header,
         lambda line: _is_int(first_field(line)),
         lenient=True,
+        columns=tuple(RIVER_SHEET),
     ),
     "MANUAL DAILY": Decoder(
-        lambda rows, d: sheets.ingest_daily_sheet(_monthly(rows), d.station),
+        lambda rows, d: sheets.ingest_daily_sheet(_monthly(rows, DAILY_SHEET), d.station),
         _is_day_header,
         lambda line: _is_int(first_field(line)),
         lenient=True,
+        columns=tuple(DAILY_SHEET),
     ),
     "MANUAL HOURLY": Decoder(
-        lambda rows, d: sheets.ingest_synoptic_hourly(_sheet(rows), d.station),
+        lambda rows, d: sheets.ingest_synoptic_hourly(_sheet(rows, HOURLY_SHEET), d.station),
         _is_day_header,
         lambda line: first_field(line).try_cast("date").isNotNull(),
         lenient=True,
+        columns=tuple(HOURLY_SHEET),
     ),
 }
 
 
 @dataclass(frozen=True)
 class Ingest:
-    """Decoded readings, and (id, filepath, status_id, observation) of every waiting file."""
+    """Decoded readings, and (id, filepath, status_id, observation) of every waiting file. Lines are routed when readings are asked for."""
 
-    readings: DataFrame
     states: DataFrame
+    decode: Callable[[], DataFrame]
+
+    @functools.cached_property
+    def readings(self) -> DataFrame:
+        return self.decode()
+
+
+def _by_decoder(values: dict[str, Column]) -> Column:
+    out = F.lit(None)
+    for name, value in values.items():
+        out = F.when(F.col("decoder") == name, value).otherwise(out)
+    return out
+
+
+def _spoilt(decoder: Decoder, line: Column) -> Column:
+    return ~decoder.header(line) & ~decoder.data(line) & (F.trim(line) != "")
 
 
-def _file_facts(lines: DataFrame) -> DataFrame:
-    """Per file: lines, header lines, dated lines and the first line by text that is neither."""
+def _file_facts(lines: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Numbers of lines by file, of fixed width whatever the decoder; and header lines, and lines that are neither header nor data, by the
+    decoder of a file."""
     line = F.col("line")
-    header, data, strict = F.lit(False), F.lit(False), F.lit(False)
+    kinds = list(dict.fromkeys(d.header for d in DECODERS.values()))
+    strict = {name: F.count_if(_spoilt(d, line)) for name, d in DECODERS.items() if not d.lenient}
+    counts = [F.count_if(header(line)).alias(f"_h{k}") for k, header in enumerate(kinds)]
+    facts = lines.groupBy("path").agg(*counts, *[c.alias(f"_s{k}") for k, c in enumerate(strict.values())])
+    headers = _by_decoder({name: F.col(f"_h{kinds.index(d.header)}") for name, d in DECODERS.items()})
+    spoilt = _by_decoder({name: F.col(f"_s{k}") for k, name in enumerate(strict)})
+    return facts, headers, spoilt
+
+
+def _first_spoilt(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Of each file the first line by text that is neither header nor data; files are (path, decoder), few or many."""
+    line = F.col("line")
+    own = lookup(lines, files, ["path"], "inner", spread="line", copies=1)
+    wrong = F.lit(False)
     for name, decoder in DECODERS.items():
-        own = F.col("decoder") == name
-        header, data = header | (own & decoder.header(line)), data | (own & decoder.data(line))
-        strict = strict | (own & F.lit(not decoder.lenient))
-    spoilt = strict & ~header & ~data & (F.trim(line) != "")
-    return lines.groupBy("path").agg(
-        F.count_if(header).alias("headers"), F.min(F.when(spoilt, F.substring(line, 1, 200))).alias("spoilt")
-    )
+        if not decoder.lenient:
+            wrong = wrong | ((F.col("decoder") == name) & _spoilt(decoder, line))
+    return own.filter(wrong).groupBy("path").agg(F.min(F.substring(line, 1, 200)).alias("spoilt"))
 
 
 def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -> Ingest:
@@ -205,55 +239,82 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
 
     ``manifest`` is (id, filepath, decoder, station_id, file_hash, status_id), ``lines`` are (path, line). Copies of files
     are skipped. A file fails by itself, with a reason and without any reading: its decoder is unknown, it has no lines, no header, a station that
-    isn't known, or a line that is neither header nor data. Lines are written once, by decoder, and a decoder reads its own only.
-    Decisions and states are written too, as every decoder needs them; both have a row for each file, so they are never broadcast.
+    isn't known, or a line that is neither header nor data. Files are judged by numbers of their lines, before any line is moved; then the lines of
+    good files are written once, by decoder, and a decoder reads its own only. Decisions and states are written too, as every decoder needs them;
+    both have a row for each file, so they are never broadcast.
     """
     decided = file_manifest_dedup(manifest)
     queue = stored(decided.select("id", "filepath", "decoder", "station_id", "new_status_id"), "queue")
     chosen = queue.filter(F.col("new_status_id") == IN_PROCESS)
-    files = chosen.select(F.col("filepath").alias("path"), "decoder", "station_id")
-    routed = lookup(lines.select("path", clean_line(F.col("line")).alias("line")), files, ["path"], "inner", spread="line", shuffled=True)
-    spark, folder = manifest.sparkSession, shared_dir(manifest.sparkSession, "routed")
-    routed.withColumn("part", F.col("decoder")).write.partitionBy("part").parquet(folder)
-    kinds = "path string, line string, decoder string, station_id int, part string"
-    written = spark.read.schema(kinds).parquet(folder)
+    text = lines.select("path", clean_line(F.col("line")).alias("line"))
 
     codes = dims.station.select(F.col("code").alias("_code"), F.lit(True).alias("_known"))
-    named = F.lit(None).cast("string")
-    for name, decoder in DECODERS.items():
-        if decoder.code is not None:
-            named = F.when(F.col("decoder") == name, decoder.code(F.col("path"))).otherwise(named)
-    facts = _file_facts(written)
-    judged = (
+    named = _by_decoder({name: d.code(F.col("path")) for name, d in DECODERS.items() if d.code is not None})
+    facts, headers, spoilt = _file_facts(text)
+    by_path = Window.partitionBy("path")
+    counted = (
         chosen.withColumnRenamed("filepath", "path")
         .join(facts.hint("merge"), "path", "left")
-        .withColumn("_code", named)
+        # a path that comes twice is judged by the lines of both
+        .select(
+            *["id", "path", "decoder", "station_id"],
+            F.sum(headers).over(by_path).alias("headers"),
+            F.sum(spoilt).over(by_path).alias("spoilt_lines"),
+            named.alias("_code"),
+        )
         .join(codes, "_code", "left")
     )
+    known = F.col("decoder").isin(list(DECODERS))
     reason = (
-        F.when(~F.col("decoder").isin(list(DECODERS)) | F.col("decoder").isNull(), "unknown decoder")
+        F.when(~known | F.col("decoder").isNull(), "unknown decoder")
         .when(F.col("headers").isNull(), "no such file, or an empty one")
         .when(F.col("headers") == 0, "no header")
         .when(F.col("_code").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("unknown station "), "_code"))
-        .when(F.col("spoilt").isNotNull(), F.concat(F.lit("not a line of data: "), "spoilt"))
     )
-    text = F.concat(F.lit('Error Processing file with "'), F.coalesce("decoder", F.lit("")), F.lit('" decoder. '), reason)
-    found = judged.select(
-        "id",
-        F.col("path").alias("filepath"),
+    judged = stored(counted.withColumn("reason", reason).select("id", "path", "decoder", "station_id", "spoilt_lines", "reason"), "judged")
+    # by the size of what is written Spark sees whether they are few
+    wrong = stored(judged.filter("spoilt_lines > 0").select("path", "decoder").distinct(), "spoilt")
+    texts = _first_spoilt(text, wrong)
+    reason = F.coalesce("reason", F.concat(F.lit("not a line of data: "), "spoilt"))
+    said = F.concat(F.lit('Error Processing file with "'), F.coalesce("decoder", F.lit("")), F.lit('" decoder. '), reason)
+    found = judged.join(texts.hint("merge"), "path", "left").select(
+        *["id", "decoder", "station_id", F.col("path").alias("filepath")],
         F.when(reason.isNull(), PROCESSED).otherwise(ERROR).alias("status_id"),
-        F.substring(text, 1, 1024).alias("observation"),
+        F.substring(said, 1, 1024).alias("observation"),
     )
     done = stored(found, "states")
     skipped = queue.filter(F.col("new_status_id") != IN_PROCESS).select(
         "id", "filepath", F.col("new_status_id").alias("status_id"), F.lit(None).cast("string").alias("observation")
     )
-    states = done.unionByName(skipped)
-
-    good = done.filter(F.col("status_id") == PROCESSED).select(F.col("filepath").alias("path"))
+    states = done.drop("decoder", "station_id").unionByName(skipped)
+    return Ingest(states, lambda: _decoded(text, done, dims))
+
+
+def _places(columns: tuple[str, ...]) -> Callable[[Column], Column]:
+    """From names to the place of each column, from one on; zero where it is missing."""
+    return lambda names: F.array(*[F.array_position(names, c).cast("int") for c in columns])
+
+
+def _decoded(text: DataFrame, done: DataFrame, dims: Dimensions) -> DataFrame:
+    """Readings of good files. With each line goes what its header says of the columns, so that sheets need no look-up of their own."""
+    good = F.max(F.col("status_id") == PROCESSED).over(Window.partitionBy("path"))
+    files = done.withColumnRenamed("filepath", "path").withColumn("_good", good).filter("_good").select("path", "decoder", "station_id")
+    heads = text.filter(_is_day_header(F.col("line"))).groupBy("path").agg(F.min("line").alias("_head"))
+    # the names are an element of an array, so that they are found once and not for every column
+    names = F.array(_names(F.col("_head")))
+    found = {name: F.get(F.transform(names, _places(d.columns)), F.lit(0)) for name, d in DECODERS.items() if d.columns}
+    named = files.join(heads.hint("merge"), "path", "left")
+    slots = F.when(F.col("_head").isNotNull(), _by_decoder(found))
+    placed = named.select("path", "decoder", "station_id", slots.alias("slots"))
+    routed = lookup(text, placed, ["path"], "inner", spread="line", copies=1, shuffled=True)
+    spark, folder = text.sparkSession, shared_dir(text.sparkSession, "routed")
+    with cleaned(spark):
+        routed.withColumn("part", F.col("decoder")).write.partitionBy("part").parquet(folder)
+    kinds = "path string, line string, decoder string, station_id int, slots array<int>, part string"
+    written = spark.read.schema(kinds).parquet(folder)
     readings = None
     for name, decoder in DECODERS.items():
-        own = lookup(written.filter(F.col("part") == name).drop("part"), good, ["path"], "left_semi", spread="line", shuffled=True)
+        own = written.filter(F.col("part") == name).drop("part")
         rows = decoder.decode(own, dims).select(*[F.col(c).cast(kind).alias(c) for c, kind in READING])
         readings = rows if readings is None else readings.unionByName(rows)
-    return Ingest(readings, states)
+    return readings

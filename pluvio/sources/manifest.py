@@ -38,8 +38,9 @@ def file_manifest_dedup(manifest: DataFrame) -> DataFrame:
     )
     skip = (F.col("_active") > 0) | (F.col("id") != F.col("_last"))
     return (
-        # a content copied very often is spread by file, its counts are one row
-        lookup(queue, per_hash, ["file_hash"], "inner", spread="id", shuffled=True)
+        # there are about as many contents as files: no copies of their counts; a content copied very often is left to
+        # adaptive execution, which splits what is too large for a task
+        lookup(queue, per_hash, ["file_hash"], "inner", spread="id", copies=1, shuffled=True)
         .withColumn("decision", F.when(skip, "skip").otherwise("process"))
         .withColumn("new_status_id", F.when(skip, SKIPPED).otherwise(IN_PROCESS))
         .drop("_active", "_last")

@@ -1,5 +1,8 @@
 """Composed plans."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,61 @@ def test_files_by_decoder_in_batches(spark, tables, tmp_path):
     assert found[1].observation == 'Error Processing file with "TOA5" decoder. not a line of data: noise'
     assert "no header" in found[2].observation and "unknown station XX" in found[3].observation and "unknown decoder" in found[4].observation
     assert sorted(r.measured for r in store.table("obs").collect()) == [3.0, 4.0, 5.0]
+
+
+def _sheet_files(spark, tables):
+    """Sheets with their own order of columns, a spoilt logger file, and a manifest of them."""
+    station = spark.createDataFrame([(1, "ST1", 0, None, True)], "id int, code string, utc_offset_minutes int, reference_station_id int, is_automatic boolean")
+    layout = spark.createDataFrame([("V", 1, 3600)], "lookup_key string, variable_id int, seconds int")
+    dims = ingest.Dimensions(station, tables.variable(), layout, layout, curves(tables), points(tables))
+    texts = {
+        "a": ("MANUAL DAILY", "day,rainfall,month\n3,1.5,2024-02\n30,2.5,2024-02\ntotal,,"),
+        "b": ("MANUAL DAILY", "day,\"month\",other,rainfall,temp_max\n4,2024-03,x,7,8"),
+        "c": ("TOA5", "\"TOA5\",\"ST1\"\n\"TIMESTAMP\",\"RECORD\",\"V\"\n2024-01-01 01:00:00,1,5\nb-a:d d\na worse:- one"),
+        "ST1_d": ("TOA5", "\"TOA5\",\"ST1\"\n\"TIMESTAMP\",\"RECORD\",\"V\"\n2024-01-01 01:00:00,1,5"),
+        "e": ("MANUAL DAILY", "month,rainfall\n2024-02,3"),
+    }
+    lines = spark.createDataFrame([(p, x) for p, (_, text) in texts.items() for x in text.split("\n")], "path string, line string")
+    rows = [(k, p, kind, 1, p, 1) for k, (p, (kind, _)) in enumerate(texts.items())]
+    manifest = spark.createDataFrame(rows, "id long, filepath string, decoder string, station_id int, file_hash string, status_id int")
+    return manifest, lines, dims
+
+
+def test_files_are_judged_before_lines_move(spark, tables, monkeypatch):
+    """States need no routed lines: these are written once readings are asked for."""
+    made = []
+    monkeypatch.setattr(ingest, "shared_dir", lambda s, purpose, real=ingest.shared_dir: made.append(purpose) or real(s, purpose))
+    found = ingest.ingest_by_decoder(*_sheet_files(spark, tables))
+    states = {r.filepath: (r.status_id, r.observation) for r in found.states.collect()}
+    assert [states[p][0] for p in ("a", "b", "c", "ST1_d", "e")] == [3, 3, 4, 3, 4]
+    assert "unknown station c" in states["c"][1] and "no header" in states["e"][1] and not made
+    rows = {(r.variable_id, str(r.datetime)): r.measured for r in found.readings.filter("measured <> -99.9").collect()}
+    assert rows == {(0, "2024-02-03 00:00:00"): 1.5, (0, "2024-03-04 00:00:00"): 7.0, (16, "2024-03-04 00:00:00"): 8.0, (1, "2024-01-01 01:00:00"): 5.0}
+    assert made == ["routed"]
+
+
+def test_first_spoilt_line(spark, tables):
+    """The first by text of several, though marks of a time stand in them."""
+    manifest, lines, dims = _sheet_files(spark, tables)
+    lines = lines.withColumn("path", F.replace("path", F.lit("c"), F.lit("ST1_c")))
+    states = ingest.ingest_by_decoder(manifest.withColumn("filepath", F.replace("filepath", F.lit("c"), F.lit("ST1_c"))), lines, dims).states
+    said = states.filter("filepath = 'ST1_c'").first().observation
+    assert said == 'Error Processing file with "TOA5" decoder. not a line of data: a worse:- one'
+
+
+def test_sheet_lines_meet_no_look_up(spark):
+    """Columns of a sheet come from the places that stand beside each line, without a join or shuffle of the lines."""
+    rows = spark.range(0).selectExpr("'p' AS path", "'1,2' AS line", "1 AS station_id", "array(1, 0, 2, 0) AS slots")
+    plan = ingest._monthly(rows, ingest.RIVER_SHEET)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    sums = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and sums.count() == 7
