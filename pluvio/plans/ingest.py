@@ -257,7 +257,7 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
         .join(facts.hint("merge"), "path", "left")
         # a path that comes twice is judged by the lines of both
         .select(
-            *["id", "path", "decoder", "station_id"],
+            *["id", "path", "decoder"],
             F.sum(headers).over(by_path).alias("headers"),
             F.sum(spoilt).over(by_path).alias("spoilt_lines"),
             named.alias("_code"),
@@ -271,14 +271,14 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
         .when(F.col("headers") == 0, "no header")
         .when(F.col("_code").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("unknown station "), "_code"))
     )
-    judged = stored(counted.withColumn("reason", reason).select("id", "path", "decoder", "station_id", "spoilt_lines", "reason"), "judged")
+    judged = stored(counted.withColumn("reason", reason).select("id", "path", "decoder", "spoilt_lines", "reason"), "judged")
     # by the size of what is written Spark sees whether they are few
     wrong = stored(judged.filter("spoilt_lines > 0").select("path", "decoder").distinct(), "spoilt")
     texts = _first_spoilt(text, wrong)
     reason = F.coalesce("reason", F.concat(F.lit("not a line of data: "), "spoilt"))
     said = F.concat(F.lit('Error Processing file with "'), F.coalesce("decoder", F.lit("")), F.lit('" decoder. '), reason)
     found = judged.join(texts.hint("merge"), "path", "left").select(
-        *["id", "decoder", "station_id", F.col("path").alias("filepath")],
+        *["id", F.col("path").alias("filepath")],
         F.when(reason.isNull(), PROCESSED).otherwise(ERROR).alias("status_id"),
         F.substring(said, 1, 1024).alias("observation"),
     )
@@ -286,8 +286,8 @@ def ingest_by_decoder(manifest: DataFrame, lines: DataFrame, dims: Dimensions) -
     skipped = queue.filter(F.col("new_status_id") != IN_PROCESS).select(
         "id", "filepath", F.col("new_status_id").alias("status_id"), F.lit(None).cast("string").alias("observation")
     )
-    states = done.drop("decoder", "station_id").unionByName(skipped)
-    return Ingest(states, lambda: _decoded(text, done, dims))
+    states = done.unionByName(skipped)
+    return Ingest(states, lambda: _decoded(text, chosen, done, dims))
 
 
 def _places(columns: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -295,10 +295,10 @@ def _places(columns: tuple[str, ...]) -> Callable[[Column], Column]:
     return lambda names: F.array(*[F.array_position(names, c).cast("int") for c in columns])
 
 
-def _decoded(text: DataFrame, done: DataFrame, dims: Dimensions) -> DataFrame:
+def _decoded(text: DataFrame, chosen: DataFrame, done: DataFrame, dims: Dimensions) -> DataFrame:
     """Readings of good files. With each line goes what its header says of the columns, so that sheets need no look-up of their own."""
-    good = F.max(F.col("status_id") == PROCESSED).over(Window.partitionBy("path"))
-    files = done.withColumnRenamed("filepath", "path").withColumn("_good", good).filter("_good").select("path", "decoder", "station_id")
+    good = done.filter(F.col("status_id") == PROCESSED).select(F.col("filepath").alias("path"))
+    files = chosen.select(F.col("filepath").alias("path"), "decoder", "station_id").join(good.hint("merge"), "path", "left_semi")
     heads = text.filter(_is_day_header(F.col("line"))).groupBy("path").agg(F.min("line").alias("_head"))
     # the names are an element of an array, so that they are found once and not for every column
     names = F.array(_names(F.col("_head")))

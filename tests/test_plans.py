@@ -1,6 +1,7 @@
 """Composed plans."""
 
 import time
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -127,6 +128,15 @@ def test_files_are_judged_before_lines_move(spark, tables, monkeypatch):
     assert made == ["routed"]
 
 
+def test_repeated_station_repeats_no_line(spark, tables):
+    """A station that comes twice gives each of its readings twice, as a join does, whatever it does to the states."""
+    manifest, lines, dims = _sheet_files(spark, tables)
+    twice = replace(dims, station=dims.station.unionByName(dims.station))
+    found = ingest.ingest_by_decoder(manifest, lines, twice)
+    assert found.states.filter("filepath = 'ST1_d'").count() == 2
+    assert found.readings.filter("variable_id = 1").count() == 2
+
+
 def test_first_spoilt_line(spark, tables):
     """The first by text of several, though marks of a time stand in them."""
     manifest, lines, dims = _sheet_files(spark, tables)
